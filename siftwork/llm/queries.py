@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siftwork.llm import common, jpeg, packing, piece_bpe, sharding
+from siftwork.llm import common, jpeg, neardup, packing, piece_bpe, sharding, topk
 
 
 def op3_packing(spark, sf_dir):
@@ -24,9 +24,30 @@ def op6_media(spark, sf_dir):
     return jpeg.media_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op10_top_k(spark, sf_dir):
+    return topk.search(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_packing, op4_piece_bpe, op5_sharding, op6_media)}
+    found = (op3_packing, op4_piece_bpe, op5_sharding, op6_media, op8_near_duplicates, op10_top_k)
+    return {f.__name__: f for f in found}
+
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_top_k": TOP_K}
