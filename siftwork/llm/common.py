@@ -67,8 +67,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes in `member`, mapped by `fold`) and the row of each.
+def words_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """Hashes of the words (runs of bytes in `member`, mapped by `fold`), the row of each, and for
+    each of `prefixes` the hashes of the words' first so many bytes.
 
     A word ends at the end of its row. 64-bit polynomial hashes, mixed: two different words of a
     corpus with 10^9 distinct words collide with a chance near 0.03 in all.
@@ -80,7 +81,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: np
     begins[row_starts] = inside[row_starts]
     where = np.flatnonzero(begins)
     if not len(where):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(0, np.int64), *[none for _ in prefixes]
     kept = np.flatnonzero(inside)
     first = np.searchsorted(kept, where)
     length = np.diff(np.append(first, len(kept)))
@@ -91,7 +93,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: np
     place = np.arange(len(kept)) - np.repeat(first, length)
     value = (fold[data[kept]].astype(np.uint64) + np.uint64(1)) * power[place]
     hashed = mix64(np.add.reduceat(value, first) + length.astype(np.uint64))
-    return hashed, np.searchsorted(offsets, where, side="right") - 1
+    more = []
+    for p in prefixes:
+        value[place >= p] = 0
+        more.append(mix64(np.add.reduceat(value, first) + np.uint64(p << 32)))
+    return hashed, np.searchsorted(offsets, where, side="right") - 1, *more
 
 
 def ascii_lower() -> np.ndarray:
