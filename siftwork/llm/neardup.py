@@ -264,3 +264,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     lost = docs.where(F.col("doc_id").isNull())
     extra = _signature_table(lost, words).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return scratch.tie(out.unionByName(extra))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, that near_duplicates() keeps.
+
+    The ids to drop go to the texts, never the texts to the ids, if they are few; of rows that
+    repeat the kept doc_id, all stay with their text.
+    """
+    result = near_duplicates(docs, words, percent)
+    dropped = result._siftwork_scratch.keep(result.where(~F.col("kept")).select("doc_id").distinct())
+    out = common.small_join(docs, dropped, "doc_id", "left_anti")
+    return result._siftwork_scratch.tie(out.select(*docs.columns))

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siftwork.llm import common, jpeg, neardup, packing, piece_bpe, sharding, topk
+from siftwork.llm import common, html_crf, jpeg, neardup, packing, pii, piece_bpe, quality, sharding, topk, toxicity
+
+
+def op1_quality(spark, sf_dir):
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op2_main_text(spark, sf_dir):
+    return html_crf.main_text(common.table(spark, sf_dir, "pages"))
 
 
 def op3_packing(spark, sf_dir):
@@ -24,16 +32,25 @@ def op6_media(spark, sf_dir):
     return jpeg.media_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_personal_data(spark, sf_dir):
+    return pii.find(common.table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark, sf_dir):
     return topk.search(common.table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    found = (op3_packing, op4_piece_bpe, op5_sharding, op6_media, op8_near_duplicates, op10_top_k)
+    found = (op1_quality, op2_main_text, op3_packing, op4_piece_bpe, op5_sharding, op6_media, op7_toxicity, op8_near_duplicates, op9_personal_data, op10_top_k)
     return {f.__name__: f for f in found}
 
 
