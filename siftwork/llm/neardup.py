@@ -12,16 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import common
 from siftwork.llm.components import components
 
 HALVES, HALF_ROWS = 8, 2
-#: Buckets up to this size are compared pair by pair; larger ones through central members, then in blocks.
+#: Buckets up to this size are compared pair by pair; larger ones through a central member, then in blocks.
 SMALL_BUCKET = 24
-CENTRES = 6
 #: Members of a block in the exact pass over large buckets.
 BLOCK = 256
 
@@ -176,7 +175,7 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
 
     1. Rows with the same shingle set are one node, named by the smallest doc_id.
     2. Table keys with up to SMALL_BUCKET nodes give all pairs; larger ones give pairs with their
-       CENTRES most central nodes only, central being a member of many and large buckets.
+       most central node only, central being a member of many and large buckets.
     3. Pairs are verified on the full sets, and components are taken.
     4. Exact pass for the large buckets: families (components of the pairs with centres) are cut
        into blocks; nodes outside their family's largest component meet all of the family, block by
@@ -198,10 +197,10 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     any_hot = not hot.isEmpty()
     if any_hot:
         weight = hot.groupBy("id").agg(F.sum("n").alias("weight"))
-        ranked = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-        centres = hot.select("key", "id").join(weight, "id").withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= CENTRES)
-        spokes = hot.join(centres.select("key", F.col("id").alias("_centre"), "_r"), "key").where(F.col("id") != F.col("_centre"))
-        spokes = scratch.keep(spokes.groupBy(F.col("id").alias("a"), F.col("_centre").alias("b")).agg(F.min("_r").alias("rank")))
+        top = F.max(F.struct("weight", (-F.col("id")).alias("_less")))
+        centres = hot.join(weight, "id").groupBy("key").agg((-top["_less"]).alias("_centre"))
+        spokes = hot.join(centres, "key").where(F.col("id") != F.col("_centre"))
+        spokes = scratch.keep(spokes.select(F.col("id").alias("a"), F.col("_centre").alias("b")).distinct())
         pairs = pairs.union(spokes.select("a", "b"))
     pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
