@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a vectorised kernel looks at; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows whose keys may be broadcast: 8 bytes each, so 16 MB at most. Above it, joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
