@@ -1,11 +1,473 @@
-"""The registry of queries over the standard tables, each with its DuckDB counterpart."""
+"""The registry of queries over the standard tables, each with its DuckDB counterpart where SQL has one."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from siftwork.functions import boxes as B
+from siftwork.functions import text as T
+from siftwork.functions import vectors as V
+from siftwork.operators import detection, ingest, labels, metrics, retrieval, tracking_metrics, tracks
+from siftwork.plans import adapters as A
+from siftwork.session import pin, table
+from siftwork.streaming import tracker
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+#: Views that several counterparts start from.
+WITH_TOKENS = f"tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({STOP}))) AS term FROM documents)"
+WITH_BM25 = f"""{WITH_TOKENS},
+  post AS (SELECT term, id, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+  dl AS (SELECT doc_id AS id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({STOP}))) AS dl FROM documents),
+  df AS (SELECT term, ln(((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post GROUP BY term),
+  idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+  q AS (SELECT item_id AS qid, term, count(*) AS qn FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({STOP}))) AS term FROM benchmark) GROUP BY ALL),
+  scored AS (SELECT qid, post.id AS id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 6) AS score
+    FROM post JOIN idf USING (term) JOIN q USING (term) JOIN dl ON dl.id = post.id GROUP BY qid, post.id),
+  sparse AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0))"""
+WITH_GRADES = """d AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body FROM documents),
+  s AS (SELECT item_id AS qid, trim(regexp_replace(lower(span), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS span, grade FROM (
+    SELECT item_id, substr(text, 1, 60) AS span, 3 AS grade FROM benchmark UNION ALL SELECT item_id, substr(text, 61, 60), 2 FROM benchmark WHERE length(text) > 100)),
+  grades AS (SELECT qid, id, max(grade) AS grade FROM d JOIN s ON contains(body, span) GROUP BY ALL)"""
+WITH_DENSE = """dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+    SELECT b.item_id AS qid, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+    FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id CROSS JOIN embeddings c)))"""
+WITH_BOXES = """g AS (SELECT CAST(l_orderkey AS BIGINT) AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, l_returnflag AS cls,
+    CAST(l_partkey % 200 AS DOUBLE) AS x1, CAST(l_suppkey % 100 AS DOUBLE) AS y1, CAST(l_partkey % 200 AS DOUBLE) + 20 + CAST(l_quantity AS DOUBLE) AS x2, CAST(l_suppkey % 100 AS DOUBLE) + 20 + CAST(l_quantity AS DOUBLE) AS y2,
+    l_discount < 0.01 AS ign, CAST(l_tax AS DOUBLE) AS l_tax, l_suppkey, l_partkey FROM lineitem),
+  p AS (SELECT image_id, pos, CASE WHEN l_suppkey % 11 = 0 THEN 'A' ELSE cls END AS cls, x1 + l_tax * 100 AS x1, y1, x2 + l_tax * 100 AS x2, y2, 0.3::DOUBLE + ((l_partkey * 7 + pos * 13) % 100) / 200.0::DOUBLE AS conf FROM g WHERE l_tax < 0.075::DOUBLE),
+  c0 AS (SELECT p.image_id, p.cls, p.pos AS pp, g.pos AS gp, conf, g.ign,
+    greatest(0.0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0.0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS inter, (p.x2 - p.x1) * (p.y2 - p.y1) AS ap, (g.x2 - g.x1) * (g.y2 - g.y1) AS ag
+    FROM p JOIN g ON p.image_id = g.image_id AND p.cls = g.cls),
+  c AS (SELECT image_id, cls, pp, gp, conf, ign, coalesce(inter / nullif(ap + ag - inter, 0), 0) AS iou FROM c0 WHERE coalesce(inter / nullif(ap + ag - inter, 0), 0) >= 0.5)"""
+WITH_FRAMES = """u AS (SELECT track_id, frame, cls, x FROM (SELECT CAST(user_id AS BIGINT) AS track_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, event_type AS cls, CAST(value AS DOUBLE) AS x,
+    row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- retrieval --------------------------------------------------------------------------------
+
+
+@query("""SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def knn_exact(spark, d):
+    return retrieval.knn(A.vectors(spark, d).select("id", "vec"), A.asked(spark, d)).select("qid", "id", "score", "rank")
+
+
+@query("""SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id % 100 = 0 AND c.label IN (1, 2, 3))) WHERE rank <= 10""")
+def knn_filtered(spark, d):
+    return retrieval.knn(A.vectors(spark, d), A.asked(spark, d), where={"label": [1, 2, 3]}).select("qid", "id", "score", "rank")
+
+
+@query()
+def knn_approximate(spark, d):
+    return retrieval.knn_approximate(A.vectors(spark, d).select("id", "vec"), A.asked(spark, d)).select("qid", "id", "score", "rank")
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 5) AS total FROM embeddings")
+def l2_normalize(spark, d):
+    v = A.vectors(spark, d)
+    return v.select("id", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.aggregate(V.l2_normalize(F.col("vec")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query(f"WITH {WITH_TOKENS} SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM tok GROUP BY term")
+def term_statistics(spark, d):
+    return retrieval.postings(A.texts(spark, d)).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+@query(f"WITH {WITH_BM25} SELECT qid, id, score, rank FROM sparse WHERE rank <= 10")
+def bm25_top(spark, d):
+    return retrieval.bm25(A.texts(spark, d), A.questions(spark, d)).select("qid", "id", "score", "rank")
+
+
+def _legs(spark, d, k=25):
+    items = A.questions(spark, d).select("qid")
+    asked = A.vectors(spark, d).join(items, F.col("id") == F.col("qid")).select("qid", F.col("vec").alias("qvec"))
+    return retrieval.knn(A.vectors(spark, d).select("id", "vec"), asked, k), retrieval.bm25(A.texts(spark, d), A.questions(spark, d), k)
+
+
+@query(f"""WITH {WITH_BM25}, {WITH_DENSE}, f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(dr) AS dr, min(sr) AS sr FROM (
+  SELECT qid, id, rank, rank AS dr, NULL AS sr FROM dense WHERE rank <= 25 UNION ALL SELECT qid, id, rank, NULL, rank FROM sparse WHERE rank <= 25) GROUP BY qid, id)
+  SELECT qid, id, round(rrf, 6) AS score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST, id) AS final_rank FROM f) WHERE final_rank <= 5""")
+def hybrid_rrf(spark, d):
+    return retrieval.hybrid(*_legs(spark, d)).select("qid", "id", F.round("score", 6).alias("score"), "final_rank")
+
+
+@query(f"""WITH {WITH_BM25} SELECT b.item_id AS qid, coalesce(score, 0.0) AS confidence, score IS NULL OR score < 60 AS refused FROM benchmark b LEFT JOIN (SELECT * FROM sparse WHERE rank = 1) t ON t.qid = b.item_id""")
+def refusal_gate(spark, d):
+    hits = retrieval.bm25(A.texts(spark, d), A.questions(spark, d), 1).select("qid", "id", "score", F.col("rank").alias("final_rank"), F.lit(None).cast("double").alias("rerank_score"))
+    return retrieval.gate(A.questions(spark, d), hits, 60)
+
+
+@query("""SELECT qid, final_rank, used FROM (SELECT conv_id AS qid, turn AS final_rank, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE used <= 1200 OR r = 1""")
+def context_packing(spark, d):
+    c = table(pin(spark), d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("final_rank"), "text")
+    return retrieval.pack_context(c, 300).select("qid", "final_rank", "used")
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS t FROM documents) ORDER BY t, lang LIMIT 50""")
+def stratified_sample(spark, d):
+    return retrieval.stratified(A.documents(spark, d).select("doc_id", "lang"), 50, "lang", "doc_id")
+
+
+@query("""WITH t AS (SELECT doc_id AS id, sha256(concat('m', chr(0), text)) AS key FROM documents), c AS (SELECT DISTINCT key FROM t WHERE id % 2 = 0)
+  SELECT count(*) FILTER (WHERE key IN (SELECT key FROM c)) AS hits, count(*) FILTER (WHERE key NOT IN (SELECT key FROM c)) AS misses FROM t""")
+def embedding_cache(spark, d):
+    t = A.texts(spark, d)
+    cache = t.where("id % 2 = 0").select(F.sha2(F.concat(F.lit("m"), F.lit("\0"), F.col("text")), 256).alias("key")).distinct()
+    hit, miss = retrieval.cached_vectors(t, cache, "m")
+    return hit.agg(F.count("*").alias("hits")).crossJoin(miss.agg(F.count("*").alias("misses")))
+
+
+# -- evaluation -------------------------------------------------------------------------------
+
+
+@query(f"WITH {WITH_GRADES} SELECT qid, id AS chunk_id, CAST(grade AS INTEGER) AS grade FROM grades")
+def resolve_grades(spark, d):
+    return ingest.resolve_grades(A.spans(spark, d), A.texts(spark, d).withColumnRenamed("id", "chunk_id"))
+
+
+def _grades(spark, d):
+    return ingest.resolve_grades(A.spans(spark, d), A.texts(spark, d).withColumnRenamed("id", "chunk_id")).withColumnRenamed("chunk_id", "id")
+
+
+PER_QUERY = f"""WITH {WITH_BM25}, {WITH_GRADES},
+  ideal AS (SELECT qid, sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) END) AS idcg, count(*) FILTER (WHERE grade >= 2) AS n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS i FROM grades) GROUP BY qid),
+  seen AS (SELECT h.qid, h.rank, grade, CASE WHEN grade >= 2 THEN 1 ELSE 0 END AS rel, sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY h.qid ORDER BY h.rank) AS cum FROM sparse h JOIN grades g ON g.qid = h.qid AND g.id = h.id WHERE h.rank <= 10),
+  f AS (SELECT qid, sum(rel) AS r, min(CASE WHEN rel = 1 THEN rank END) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg, sum(CASE WHEN rel = 1 THEN cum / rank END) AS ap FROM seen GROUP BY qid),
+  m AS (SELECT qid, round(coalesce(r, 0) / 10, 6) AS precision, round(coalesce(coalesce(r, 0) / nullif(n, 0), 0.0), 6) AS recall, CAST(coalesce(r, 0) > 0 AS BIGINT) AS hit, round(coalesce(1 / first, 0.0), 6) AS rr, round(coalesce(dcg, 0.0), 6) AS dcg,
+    round(coalesce(dcg / nullif(idcg, 0), 0.0), 6) AS ndcg, round(coalesce(ap / nullif(least(n, 10), 0), 0.0), 6) AS ap FROM ideal LEFT JOIN f USING (qid))"""
+
+
+@query(PER_QUERY + " SELECT * FROM m")
+def ranking_metrics(spark, d):
+    return metrics.ranking(retrieval.bm25(A.texts(spark, d), A.questions(spark, d)), _grades(spark, d))
+
+
+@query(PER_QUERY + """ SELECT category, count(*) AS n, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS rr, round(avg(dcg), 4) AS dcg, round(avg(ndcg), 4) AS ndcg, round(avg(ap), 4) AS ap
+  FROM (SELECT *, qid % 6 AS category FROM m) GROUP BY GROUPING SETS ((), (category))""")
+def macro_metrics(spark, d):
+    return metrics.macro(ranking_metrics(spark, d).withColumn("category", F.col("qid") % 6), ["category"])
+
+
+@query(f"WITH {WITH_GRADES} SELECT round(avg(least(n, 3) / 3), 6) AS ceiling FROM (SELECT count(*) FILTER (WHERE grade >= 2) AS n FROM grades GROUP BY qid)")
+def precision_ceiling(spark, d):
+    return metrics.precision_ceiling(_grades(spark, d), 3)
+
+
+@query("""SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = greatest(1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT))""")
+def latency_p95(spark, d):
+    return metrics.nearest_rank_p95(table(pin(spark), d, "events").select("event_type", "value"), "value", "event_type")
+
+
+SWEEP = """WITH c AS (SELECT quality = 1 AS yes, CAST(floor((doc_id * 37) % 100 / 100.0::DOUBLE * 100 + 1e-9) AS INTEGER) AS slot FROM labels),
+  t AS (SELECT CAST(step AS INTEGER) AS step, count(*) FILTER (WHERE yes AND slot >= step) AS tp, count(*) FILTER (WHERE yes AND slot < step) AS fn, count(*) FILTER (WHERE NOT yes AND slot >= step) AS fp, count(*) FILTER (WHERE NOT yes AND slot < step) AS tn FROM c, range(1, 90) r(step) GROUP BY step),
+  x AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r, coalesce(tn / nullif(tn + fp, 0), 0.0) AS s FROM t),
+  y AS (SELECT step, tp, fn, fp, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, round((r + s) / 2, 6) AS balanced FROM x)"""
+
+
+@query(SWEEP + " SELECT * FROM y")
+def refusal_sweep(spark, d):
+    rows = table(pin(spark), d, "labels").select((F.col("quality") == 1).alias("answerable"), ((F.col("doc_id") * 37) % 100 / F.lit(100.0)).alias("confidence"))
+    return metrics.refusal_sweep(rows)
+
+
+@query(SWEEP + " SELECT * FROM y ORDER BY balanced DESC, f1 DESC, step LIMIT 1")
+def best_threshold(spark, d):
+    return metrics.best_threshold(refusal_sweep(spark, d))
+
+
+# -- texts and ingestion ----------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', '\n', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', '\n\n', 'g'), E' \\t\\n\\r\\f\\x0B')) AS digest FROM documents""")
+def collapse_whitespace(spark, d):
+    return A.documents(spark, d).select("doc_id", F.md5(T.collapse_whitespace(F.col("text"))).alias("digest"))
+
+
+@query()
+def clean_documents(spark, d):
+    return A.documents(spark, d).select("doc_id", T.clean(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) * 1.33::DOUBLE) AS BIGINT) + CAST(floor(len(regexp_extract_all(text, '[^A-Za-z0-9_ \\t\\n\\r\\f]')) / 4) AS BIGINT)) END AS tokens,
+  length(text) < 30 OR (1 - len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) / nullif(length(text), 0)) > 0.8 AS noise FROM documents""")
+def token_estimates(spark, d):
+    t = F.col("text")
+    return A.documents(spark, d).select("doc_id", T.count_tokens(t).alias("tokens"), T.is_noise(t).alias("noise"))
+
+
+@query("""SELECT heading, count(*) AS n FROM (SELECT CASE WHEN length(l) BETWEEN 1 AND 120 THEN coalesce(nullif(regexp_extract(l, '^#{1,6} +(.+)$', 1), ''), nullif(regexp_extract(l, '^(\\d+(?:\\.\\d+)*\\.? +[A-Z].*)$', 1), '')) END AS heading
+  FROM (SELECT trim(unnest(string_split(text, '\n'))) AS l FROM documents)) WHERE heading IS NOT NULL GROUP BY heading""")
+def headings(spark, d):
+    lines = A.documents(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
+    h = T.heading(F.col("line"))
+    plain = F.rlike(F.trim("line"), F.lit(r"^#{1,6} +|^\d"))
+    return lines.select(F.when(plain, h).alias("heading")).where("heading IS NOT NULL").groupBy("heading").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(url, '\\.[^./]+$', ''), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'doc') AS slug FROM pages""")
+def document_slugs(spark, d):
+    return table(pin(spark), d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', '', 'g'), '(?s)<[^>]+>', '\n', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM pages)""")
+def html_fallback_text(spark, d):
+    t = T.strip_html(F.col("html"))
+    return table(pin(spark), d, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' [' || (turn + 1) || '] and 【' || (turn + 7) || '】', '[\\[【［]\\s*(\\d{1,2})[^\\d\\]】］]{0,40}[\\]】］]', '[\\1]', 'g'), '\\[0(\\d)\\]', '[\\1]', 'g') AS t FROM conversations),
+  e AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d{1,2})\\]', 1), lambda x: CAST(x AS INTEGER))) AS ids FROM a)
+  SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS cited, CAST(len(list_filter(ids, lambda x: x BETWEEN 1 AND 5)) AS BIGINT) AS valid FROM e""")
+def citations(spark, d):
+    c = table(pin(spark), d, "conversations")
+    answer = F.concat("text", F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and 【"), (F.col("turn") + 7).cast("string"), F.lit("】"))
+    v = T.validate_citations(answer, F.lit(5))
+    return c.select("conv_id", "turn", F.size(T.citations(answer)).cast("long").alias("cited"), F.size(v["valid"]).cast("long").alias("valid"))
+
+
+@query("""WITH p AS (SELECT source AS doc_id, doc_id AS page, text FROM documents), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1),
+  l AS (SELECT DISTINCT doc_id, page, trim(unnest(string_split(text, '\n'))) AS line FROM p)
+  SELECT doc_id, line FROM (SELECT doc_id, line, count(*) AS c FROM l WHERE length(line) BETWEEN 1 AND 120 GROUP BY ALL) JOIN n USING (doc_id) WHERE n >= 3 AND c >= greatest(2, CAST(floor(n * 0.05::DOUBLE) AS BIGINT))""")
+def boilerplate_lines(spark, d):
+    return ingest.boilerplate(A.pages(spark, d), ratio=0.05)
+
+
+@query()
+def chunks(spark, d):
+    return ingest.keep_first(ingest.chunk_pages(A.pages(spark, d)))
+
+
+@query("""SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents GROUP BY text""")
+def content_dedup(spark, d):
+    rows = A.documents(spark, d).select("doc_id", F.sha2("text", 256).alias("sha"))
+    return ingest.keep_first(rows, "sha", ("doc_id",))
+
+
+@query("""SELECT count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources, count(*) FILTER (WHERE length(text) < 50) AS scanned FROM documents""")
+def ingest_totals(spark, d):
+    return A.documents(spark, d).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.countDistinct("source").alias("sources"), F.count_if(F.length("text") < 50).alias("scanned"))
+
+
+# -- boxes and detection ----------------------------------------------------------------------
+
+
+@query(f"WITH {WITH_BOXES} SELECT image_id, cls, pp, gp, ign, round(iou, 6) AS iou FROM c")
+def iou_pairs(spark, d):
+    return detection.candidates(A.truth_boxes(spark, d), A.found_boxes(spark, d), ["image_id", "cls"]).select("image_id", "cls", "pp", "gp", "ign", F.round("iou", 6).alias("iou"))
+
+
+@query(f"""WITH RECURSIVE {WITH_BOXES},
+  r AS (SELECT image_id, cls, pp, list({{'iou': iou, 'gp': gp}} ORDER BY iou DESC, gp DESC) AS cand, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, pp) AS r FROM c WHERE NOT ign GROUP BY image_id, cls, pp, conf),
+  w AS (SELECT image_id, cls, r, pp, cand[1].gp AS gp, cand[1].iou AS iou, [cand[1].gp] AS used FROM r WHERE r = 1
+    UNION ALL SELECT n.image_id, n.cls, n.r, n.pp, list_filter(n.cand, lambda x: NOT list_contains(w.used, x.gp))[1].gp, list_filter(n.cand, lambda x: NOT list_contains(w.used, x.gp))[1].iou,
+      CASE WHEN list_filter(n.cand, lambda x: NOT list_contains(w.used, x.gp))[1] IS NULL THEN w.used ELSE list_append(w.used, list_filter(n.cand, lambda x: NOT list_contains(w.used, x.gp))[1].gp) END
+    FROM w JOIN r n ON n.image_id = w.image_id AND n.cls = w.cls AND n.r = w.r + 1)
+  SELECT image_id, cls, pp, gp, round(iou, 6) AS iou FROM w WHERE gp IS NOT NULL""")
+def greedy_matches(spark, d):
+    pairs = detection.candidates(A.truth_boxes(spark, d), A.found_boxes(spark, d), ["image_id", "cls"])
+    return detection.greedy(pairs, ["image_id", "cls"]).select("image_id", "cls", "pp", "gp", F.round("iou", 6).alias("iou"))
+
+
+@query()
+def detection_ap(spark, d):
+    return detection.evaluate(A.truth_boxes(spark, d), A.found_boxes(spark, d), (0.5, 0.75))
+
+
+@query()
+def detection_operating_point(spark, d):
+    gt = A.truth_boxes(spark, d)
+    return detection.operating_point(detection.outcomes(gt, A.found_boxes(spark, d), ["image_id", "cls"]), gt)
+
+
+@query()
+def detection_confusion(spark, d):
+    return detection.confusion(A.truth_boxes(spark, d), A.found_boxes(spark, d))
+
+
+RESULTS = "SELECT l_returnflag AS cls, CAST(l_extendedprice AS DOUBLE) AS conf, CASE WHEN l_linenumber % 3 > 0 THEN 1 ELSE 0 END AS tp, CASE WHEN l_linenumber % 3 > 0 THEN 0 ELSE 1 END AS fp FROM lineitem"
+
+
+@query(f"""WITH x AS ({RESULTS}), lv AS (SELECT cls, conf, sum(tp) AS t, sum(fp) AS f FROM x GROUP BY cls, conf),
+  cum AS (SELECT cls, conf, sum(t) OVER w AS tp, sum(f) OVER w AS fp FROM lv WINDOW w AS (PARTITION BY cls ORDER BY conf DESC)), g AS (SELECT cls, count(*) AS n FROM x GROUP BY cls),
+  pr AS (SELECT cls, tp / (tp + fp) AS p, tp / n AS r FROM cum JOIN g USING (cls)),
+  best AS (SELECT cls, k, max(p) FILTER (WHERE r >= k * 0.01::DOUBLE) AS b FROM pr, range(0, 101) t(k) GROUP BY cls, k)
+  SELECT cls, round(sum(coalesce(b, 0)) / 101, 6) AS ap FROM best GROUP BY cls""")
+def average_precision(spark, d):
+    li = table(pin(spark), d, "lineitem")
+    tp = (F.col("l_linenumber") % 3 > 0).cast("int")
+    rows = li.select(F.col("l_returnflag").alias("cls"), F.col("l_extendedprice").cast("double").alias("conf"), tp.alias("tp"), (1 - tp).alias("fp"))
+    return detection.average_precision(detection.pr_curve(rows, rows.groupBy("cls").agg(F.count("*").alias("n_gt"))))
+
+
+@query(f"WITH {WITH_BOXES} SELECT image_id, pos, CASE WHEN (x2 - x1) * (y2 - y1) < 1024 THEN 'small' WHEN (x2 - x1) * (y2 - y1) < 9216 THEN 'medium' ELSE 'large' END AS band, round((x1 + x2) / 2, 6) AS cx, round((x2 - x1) / (y2 - y1), 6) AS aspect FROM g")
+def box_geometry(spark, d):
+    b = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    z = B.xyxy_to_xyah(*b)
+    return A.truth_boxes(spark, d).select("image_id", "pos", B.band(B.area(*b)).alias("band"), F.round(z[0], 6).alias("cx"), F.round(z[2], 6).alias("aspect"))
+
+
+# -- labels and splits ------------------------------------------------------------------------
+
+
+@query("""SELECT CASE WHEN l_linenumber % 7 = 0 THEN 'bad_field_count' WHEN l_linenumber % 7 = 6 THEN 'unparseable' WHEN l_suppkey % 5 > 3 THEN 'bad_class_id' WHEN l_discount > 0.08 THEN 'out_of_range'
+  WHEN l_tax = 0 THEN 'degenerate_box' ELSE 'none' END AS issue, count(*) AS n FROM lineitem GROUP BY 1""")
+def label_issues(spark, d):
+    li = table(pin(spark), d, "lineitem")
+    w = F.when(F.col("l_tax") == 0, "0").otherwise("0.2")
+    cx = F.when(F.col("l_discount") > 0.08, "1.5").otherwise("0.5")
+    line = F.concat_ws(" ", (F.col("l_suppkey") % 5).cast("string"), cx, F.when(F.col("l_linenumber") % 7 == 6, "x").otherwise("0.5"), w, F.when(F.col("l_linenumber") % 7 == 0, F.lit(None)).otherwise("0.3"))
+    rows = li.select(F.lit("i").alias("image_id"), F.lit(0).alias("line_no"), line.alias("line"))
+    return labels.parse_labels(rows, 4).groupBy(F.coalesce("issue", F.lit("none")).alias("issue")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT scene_id, CAST(count(DISTINCT split) AS BIGINT) AS splits FROM (SELECT 's' || (o_custkey % 16) AS scene_id, CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM orders) GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+def split_leaks(spark, d):
+    m = A.manifest(spark, d)
+    return labels.leaks(m.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("image_id") % 3 + 1).cast("int"))))
+
+
+@query()
+def scene_splits(spark, d):
+    return labels.assign_splits(A.manifest(spark, d))
+
+
+@query()
+def dataset_fingerprint(spark, d):
+    return labels.dataset_hash(A.manifest(spark, d))
+
+
+@query("""SELECT image_id, CAST(coalesce(n, 0) AS BIGINT) AS n_objects, coalesce(c, '') AS classes, CASE WHEN n > 4 THEN 'heavy' ELSE 'unknown' END AS occlusion FROM (SELECT CAST(o_orderkey AS BIGINT) AS image_id FROM orders)
+  LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n, string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS c FROM lineitem GROUP BY 1) ON k = image_id""")
+def manifest_enrichment(spark, d):
+    boxes = table(pin(spark), d, "lineitem").select(F.col("l_orderkey").cast("long").alias("image_id"), F.col("l_returnflag").alias("cls"))
+    return labels.enrich(A.manifest(spark, d).drop("n_objects"), boxes, 4).select("image_id", "n_objects", "classes", "occlusion")
+
+
+@query(f"""WITH {WITH_FRAMES} SELECT track_id, frame FROM (SELECT track_id, frame, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS n FROM u WHERE frame % 15 = 0 AND x >= 5) WHERE n <= 20""")
+def frame_sampling(spark, d):
+    rows = A.user_frames(spark, d).select(F.col("track_id").alias("video"), "frame", F.col("x").alias("blur"))
+    return labels.sample_frames(rows, 30.0, 2.0, 20).select(F.col("video").alias("track_id"), "frame")
+
+
+# -- tracks -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {WITH_FRAMES}, v AS (SELECT track_id, cls, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, cls) AS r FROM u GROUP BY track_id, cls)
+  SELECT track_id, first_frame, last_frame, n_frames, cls, round((last_frame - first_frame + 1) / 30.0::DOUBLE, 6) AS dwell_s FROM (SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM u GROUP BY track_id) JOIN v USING (track_id) WHERE r = 1 AND n_frames >= 3""")
+def track_summaries(spark, d):
+    return tracks.summaries(A.user_frames(spark, d)).select("track_id", "first_frame", "last_frame", "n_frames", "cls", "dwell_s")
+
+
+@query(f"""WITH {WITH_FRAMES}, s AS (SELECT *, nullif(sign(x - 100), 0) AS s FROM u), p AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s)
+  SELECT track_id, frame, cls, CASE WHEN s > 0 THEN 'in' ELSE 'out' END AS direction FROM p WHERE s <> p""")
+def line_crossings(spark, d):
+    return tracks.line_crossings(A.user_frames(spark, d), F.col("x") - 100)
+
+
+@query(f"""WITH {WITH_FRAMES} SELECT track_id, "start", "end", "end" - "start" - 1 AS gap FROM (SELECT track_id, frame AS "start", lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS "end" FROM u WHERE cls <> 'error') WHERE "end" - "start" - 1 >= 15""")
+def occlusion_events(spark, d):
+    return tracks.occlusions(A.user_frames(spark, d).where("cls <> 'error'"))
+
+
+RANKS = """WITH r AS (SELECT q.vec_id AS qid, c.vec_id AS id, q.label = c.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS rank
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND NOT (q.label = c.label AND q.vec_id % 2 = c.vec_id % 2))"""
+
+
+@query(RANKS + """, h AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k FROM r WHERE same), p AS (SELECT qid, min(rank) AS first, avg(k / rank) AS ap FROM h GROUP BY qid)
+  SELECT count(*) AS n, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS cmc1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS cmc5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 6) AS cmc10, round(avg(ap), 6) AS map FROM p""")
+def reid_cmc_map(spark, d):
+    rows = A.vectors(spark, d).select("id", F.col("label").alias("identity"), (F.col("id") % 2).alias("camera"), "vec")
+    return tracks.cmc_map(tracks.rank_identities(rows, rows.where("id % 100 = 0")))
+
+
+@query("""WITH n AS (SELECT a.vec_id AS id, a.label AS l, min({'d': round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), 'o': b.vec_id, 'l': b.label}) AS b FROM embeddings a JOIN embeddings b ON a.vec_id % 7 = b.vec_id % 7 AND a.vec_id % 100 = 0 AND b.vec_id % 2 = 1 GROUP BY a.vec_id, a.label)
+  SELECT id, b.o AS other, b.d AS distance, b.l = l AND b.d < 0.9 AS ok FROM n""")
+def cross_camera(spark, d):
+    rows = A.vectors(spark, d).select("id", F.col("label").alias("identity"), (F.col("id") % 7).alias("cls"), "vec")
+    return tracks.cross_camera(rows.where("id % 100 = 0"), rows.where("id % 2 = 1"), 0.9)
+
+
+@query(RANKS + """, c AS (SELECT label, vec_id FROM embeddings), p AS (SELECT q.label = c.label AS same, CAST(least(20, floor(round(1 - list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) * 20 + 1e-9)) AS INTEGER) AS slot FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND NOT (q.label = c.label AND q.vec_id % 2 = c.vec_id % 2)),
+  s AS (SELECT CAST(step AS INTEGER) AS step, count(*) FILTER (WHERE same AND slot < step) AS tp, count(*) FILTER (WHERE NOT same AND slot < step) AS fp, count(*) FILTER (WHERE same AND slot >= step) AS fn FROM p, range(1, 21) t(step) GROUP BY step)
+  SELECT step, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM s""")
+def tau_sweep(spark, d):
+    rows = A.vectors(spark, d).select("id", F.col("label").alias("identity"), (F.col("id") % 2).alias("camera"), "vec")
+    ranks = tracks.rank_identities(rows, rows.where("id % 100 = 0"))
+    return tracks.tau_sweep(ranks.select("same", F.round(1 - F.col("score"), 6).alias("distance")))
+
+
+@query("""SELECT scene_id, v[1] AS first, v[2] AS second FROM (SELECT 's' || (o_custkey % 16) AS scene_id, list_sort(list(DISTINCT 'v' || (o_custkey % 48))) AS v FROM orders GROUP BY 1) WHERE len(v) >= 2""")
+def camera_pairs(spark, d):
+    return tracks.camera_pairs(A.manifest(spark, d))
+
+
+@query()
+def camera_gallery(spark, d):
+    rows = A.vectors(spark, d).select((F.col("id") % 20).alias("track_id"), F.col("id").alias("frame"), "vec")
+    return tracks.camera_gallery(rows, 2, 6)
+
+
+@query()
+def track_scores(spark, d):
+    gt, pred = A.track_boxes(spark, d)
+    return tracking_metrics.clear_mot(tracking_metrics.frame_matches(gt, pred))
+
+
+@query()
+def track_identity(spark, d):
+    return tracking_metrics.idf1(*A.track_boxes(spark, d))
+
+
+@query()
+def track_hota(spark, d):
+    return tracking_metrics.hota(*A.track_boxes(spark, d), alphas=(0.25, 0.5, 0.75))
+
+
+@query()
+def occlusion_recovery(spark, d):
+    gt, pred = A.track_boxes(spark, d)
+    events = tracks.occlusions(A.user_frames(spark, d).where("cls <> 'error'"))
+    return tracks.recovery(events, tracking_metrics.frame_matches(gt, pred).where("kind = 'match'"))
+
+
+def _detections(spark, d):
+    rows = A.user_frames(spark, d)
+    place = (F.col("track_id") % 40) * 60.0 + F.pmod(F.col("frame"), F.lit(6))
+    return rows.select(
+        F.concat(F.lit("c"), (F.col("track_id") % 16).cast("string")).alias("camera_id"), "frame", F.col("track_id").alias("det_id"), F.lit("person").alias("cls"), F.lit(0.9).alias("conf"),
+        place.alias("x1"), F.lit(0.0).alias("y1"), (place + 40).alias("x2"), F.lit(80.0).alias("y2"),
+    )
+
+
+@query()
+def tracker_bytetrack(spark, d):
+    return tracker.track(_detections(spark, d), tracker.TRACKERS["bytetrack"])
+
+
+@query("""SELECT event_type, count(*) AS n, round(sum(CAST(value AS DOUBLE)), 2) AS total FROM events GROUP BY event_type""")
+def event_totals(spark, d):
+    return table(pin(spark), d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
