@@ -156,10 +156,11 @@ def ranking_metrics(spark, d):
     return metrics.ranking(retrieval.bm25(A.texts(spark, d), A.questions(spark, d)), _grades(spark, d))
 
 
-@query(PER_QUERY + """ SELECT category, count(*) AS n, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS rr, round(avg(dcg), 4) AS dcg, round(avg(ndcg), 4) AS ndcg, round(avg(ap), 4) AS ap
+@query(PER_QUERY + """ SELECT coalesce(CAST(category AS VARCHAR), 'all') AS category, count(*) AS n, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(rr), 4) AS rr, round(avg(dcg), 4) AS dcg, round(avg(ndcg), 4) AS ndcg, round(avg(ap), 4) AS ap
   FROM (SELECT *, qid % 6 AS category FROM m) GROUP BY GROUPING SETS ((), (category))""")
 def macro_metrics(spark, d):
-    return metrics.macro(ranking_metrics(spark, d).withColumn("category", F.col("qid") % 6), ["category"])
+    per = metrics.macro(ranking_metrics(spark, d).withColumn("category", F.col("qid") % 6), ["category"])
+    return per.withColumn("category", F.coalesce(F.col("category").cast("string"), F.lit("all")))
 
 
 @query(f"WITH {WITH_GRADES} SELECT round(avg(least(n, 3) / 3), 6) AS ceiling FROM (SELECT count(*) FILTER (WHERE grade >= 2) AS n FROM grades GROUP BY qid)")
