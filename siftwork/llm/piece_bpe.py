@@ -118,10 +118,11 @@ class PieceModel:
             best = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), start)
             going = (best >> 32) < _NONE
             if not going.all():
-                ended = np.flatnonzero(~going)
-                for k in ended.tolist():
-                    out[name[k]] = sym[start[k] : start[k] + length[k]].tolist()
                 keep = np.repeat(going, length)
+                flat, low = sym[~keep].tolist(), 0
+                for k, size in zip(name[~going].tolist(), length[~going].tolist(), strict=True):
+                    out[k] = flat[low : low + size]
+                    low += size
                 shift = np.cumsum(~keep)
                 sym, merged, rank, last = sym[keep], merged[keep], rank[keep], last[keep]
                 best, name, length = best[going], name[going], length[going]
@@ -138,7 +139,7 @@ class PieceModel:
             at = at - np.arange(len(at))
             sym, merged, rank, last = sym[keep], merged[keep], rank[keep], last[keep]
             length = length - 1
-            near = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            near = np.concatenate([at, np.maximum(at - 1, 0)])  # some twice, with equal values
             right = sym[np.minimum(near + 1, len(sym) - 1)]
             merged[near], fresh = self._look(sym[near], right)
             fresh[last[near]] = _NONE
@@ -154,14 +155,19 @@ class PieceModel:
         found = iter(self.agendas(short) if short else [])
         out = []
         for w in words:
-            ids: list[int] = []
-            for s in next(found) if len(w) < LONG_WORD else self.agenda(w):
-                ids += [s] if s < self.size else [self.byte[b] for b in chr(s - self.size).encode()]
+            ids = next(found) if len(w) < LONG_WORD else self.agenda(w)
+            if max(ids) >= self.size:  # characters that are no piece, as bytes
+                ids = [i for s in ids for i in ([s] if s < self.size else [self.byte[b] for b in chr(s - self.size).encode()])]
             out.append(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: bytes pieces as UTF-8, space marks as spaces, without the first space."""
+        try:
+            text = "".join([self._surface[i] for i in ids])
+            return text[1:] if text[:1] == " " else text
+        except TypeError:  # bytes or silent pieces among them
+            pass
         parts, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -181,6 +187,14 @@ class PieceModel:
     def _silent(self) -> set[int]:
         return {i for i in range(self.size) if self.library.is_control(i)}
 
+    @functools.cached_property
+    def _surface(self) -> list[str | None]:
+        return [None if i in self.byte_of or i in self._silent else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+
+    @functools.cached_property
+    def spelled(self) -> list[str]:
+        return [str(i) for i in range(self.size)]
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text with the end id."""
         return [i for ids in self.encode_words(self.words(text)) for i in ids] + [self.end]
@@ -194,16 +208,34 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def fill(model: PieceModel, known: dict, words: list[str]) -> None:
-    """Add count, ids as text, decoded form and the library's agreement for each new word."""
-    lib = model.library
-    plain = [w[1:].replace(SPACE, " ") for w in words]
-    theirs = lib.encode(plain, num_threads=1)
-    texts = lib.decode(theirs, num_threads=1)
-    for w, ids, ref, text in zip(words, model.encode_words(words), theirs, texts, strict=True):
-        said = model.decode(ids)
-        agrees = ids == ref and said == text
-        known[w] = (len(ref), " ".join(map(str, ref)), " " + text, agrees)
+class Memory:
+    """What a worker knows about words: count, ids as text and decoded form; words that did not agree."""
+
+    def __init__(self, model: PieceModel):
+        self.model, self.known, self.bad = model, {}, set()
+
+    def learn(self, words: set[str]) -> None:
+        """Work out the words that are new, by the agenda, and hold them against the library."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.bad.clear()
+        words = [w for w in words if w not in self.known]
+        if not words:
+            return
+        model, spelled = self.model, self.model.spelled
+        theirs = model.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+        texts = model.library.decode(theirs, num_threads=1)
+        for w, ids, ref, text in zip(words, model.encode_words(words), theirs, texts, strict=True):
+            said = model.decode(ids)
+            if ids != ref or said != text:
+                self.bad.add(w)
+                ids, said = ref, text
+            self.known[w] = (len(ids), " ".join([spelled[i] for i in ids]), " " + said)
+
+
+@functools.lru_cache(2)
+def memory(path: str) -> Memory:
+    return Memory(load(path))
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -216,22 +248,19 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("library_agrees", pa.bool_())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
-        known: dict = {}
+        held = memory(model_path)
+        model, known, bad = held.model, held.known, held.bad
         for batch in batches:
             for part in common.slices(batch, "_text"):
                 split = [model.words(t) for t in common.texts_of(part.column(1))]
-                every = set().union(*split)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if new := [w for w in every if w not in known]:
-                    fill(model, known, new)
+                held.learn(set().union(*split))
                 rows = []
                 for doc_id, words in zip(part.column(0).to_pylist(), split, strict=True):
                     got = [known[w] for w in words]
                     ids = " ".join([x[1] for x in got] + [str(model.end)])
                     text = "".join([x[2] for x in got])[1:]
-                    rows.append((doc_id, sum([x[0] for x in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), all([x[3] for x in got])))
+                    agrees = not bad or bad.isdisjoint(words)
+                    rows.append((doc_id, sum([x[0] for x in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), agrees))
                 yield common.batch_of(schema, zip(*rows, strict=True))
 
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, SCHEMA)
