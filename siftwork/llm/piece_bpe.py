@@ -23,8 +23,8 @@ from siftwork.llm import common
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean"
-#: Words a worker remembers, about 100 MB; then it starts anew.
-REMEMBERED = 300_000
+#: Words a worker remembers, about 260 MB; then it starts anew.
+REMEMBERED = 700_000
 #: Characters from which a word uses the heap.
 LONG_WORD = 200
 _NONE = np.int64(1) << 30
