@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -126,12 +127,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The latest scratch folders stay, also where only a frame derived from the result is left.
+_LATEST: deque = deque(maxlen=8)
+
+
 class Scratch:
-    """Tables written under the shared checkpoint folder; gone when the result that uses them is."""
+    """Tables written under the shared checkpoint folder.
+
+    They go when neither the result that uses them nor one of the eight latest calls holds them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{checkpoint_dir(spark)}/siftwork-{uuid.uuid4().hex}", 0
         self._end = weakref.finalize(self, _remove, spark, self.path)
+        _LATEST.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write `df` and read it back: lineage ends here, and lost executors cost no recomputation."""

@@ -11,8 +11,8 @@ from siftwork.llm.common import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id reachable, for the ids of `edges` (a, b).
 
-    Each round maps every node to the smallest of itself and its neighbours and contracts the
-    edges; the number of nodes with edges at least halves. Tables are written between rounds, so
+    Each round maps every node to the smallest of itself and its neighbours, follows that map to
+    its end and contracts the edges; the number of nodes with edges at least halves. Tables are written between rounds, so
     that plans stay short and lost executors cost little. Loops and repeated edges are harmless.
     """
     links = scratch.keep(edges.select("a", "b").where("a != b").distinct())
@@ -20,9 +20,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         lower = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        # Follow the map to its end for short chains; what is left is a link of the next round.
-        jump = lower.select(F.col("a").alias("_to"), F.col("low").alias("_lower"))
-        step = scratch.keep(lower.join(jump, lower["low"] == jump["_to"], "left").select("a", F.coalesce("_lower", "low").alias("low")))
+        # Follow the map to its end, twice as far each time: every node then names a local minimum.
+        step = lower
+        while True:
+            jump = step.select(F.col("a").alias("_to"), F.col("low").alias("_lower"))
+            further = F.coalesce("_lower", "low")
+            step = scratch.keep(step.join(jump, step["low"] == jump["_to"], "left").select("a", further.alias("low"), (further != F.col("low")).alias("moved")))
+            if step.where("moved").isEmpty():
+                break
+            step = step.drop("moved")
         known = scratch.keep(known.join(step, known["component"] == step["a"], "left").select("id", F.coalesce("low", "component").alias("component")))
         left = step.select(F.col("a").alias("_a"), F.col("low").alias("_la"))
         right = step.select(F.col("a").alias("_b"), F.col("low").alias("_lb"))

@@ -224,6 +224,8 @@ class Memory:
             return
         model, spelled = self.model, self.model.spelled
         theirs = model.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+        if SPACE in words:  # the library sees a lone mark only after another word
+            theirs[words.index(SPACE)] = model.library.encode("a ")[len(model.library.encode("a")) :]
         texts = model.library.decode(theirs, num_threads=1)
         for w, ids, ref, text in zip(words, model.encode_words(words), theirs, texts, strict=True):
             said = model.decode(ids)

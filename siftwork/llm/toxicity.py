@@ -19,6 +19,8 @@ PREFIXES = (5, 4)
 MOST_LABELLED = 12_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
 PASSES = 6
+#: The bias without any labelled row: nothing is flagged.
+NO_LABELS = -30.0
 
 
 def _member() -> np.ndarray:
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     sketched = common.arrow_map(picked, sketch, "doc_id long, label double, x binary")
     got = sketched.repartition(1).mapInArrow(learn, "feature long, weight double").toPandas()
     weights = got[got.feature >= 0].sort_values("feature")
-    bias = float(got[got.feature < 0].weight.iloc[0]) if len(got) else 0.0
+    bias = float(got[got.feature < 0].weight.iloc[0]) if len(got) else NO_LABELS
     return bias, weights.feature.to_numpy(), weights.weight.to_numpy()
 
 
