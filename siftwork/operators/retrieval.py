@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
 from siftwork.functions import vectors as V
+from siftwork.session import spread
 
 #: Rows of a query side that may be broadcast; more are joined in blocks.
 BROADCAST_QUERIES = 20_000
@@ -82,15 +84,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
 
     Postings meet only the terms that some query has; scores of 0 or less are left out.
     """
-    post = postings(docs, stopwords)
-    n = docs.count()
-    sizes = docs.select("id", F.size(T.tokenize(F.col("text"), stopwords)).alias("dl"))
-    mean = sizes.agg(F.avg("dl")).first()[0] or 1.0
+    tokens = spread(docs).select("id", T.tokenize(F.col("text"), stopwords).alias("tokens"))
+    sizes = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    n, mean = sizes["n"], sizes["mean"] or 1.0
+    post = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    post = post.persist(StorageLevel.DISK_ONLY)  # read for df, for the mean idf and for the scores
     df = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = (df.agg(F.avg("raw")).first()[0] or 0.0) * epsilon
     asked = queries.select("qid", F.explode(T.tokenize(F.col("text"), stopwords)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
     idf = df.join(asked.select("term").distinct(), "term", "left_semi").withColumn("idf", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")))
-    hits = post.join(idf, "term").join(asked, "term").join(sizes, "id")
+    hits = post.join(idf, "term").join(asked, "term")
     part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, k)

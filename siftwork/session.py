@@ -34,3 +34,12 @@ def pin(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder, by a path that only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """`df` over at least as many partitions as there are cores, for tables in a few small files.
+
+    A table with more splits than cores, as any large one, is left as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

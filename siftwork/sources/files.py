@@ -20,7 +20,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 def read_text(spark: SparkSession, root: str) -> DataFrame:
     """Text and Markdown files as one page each."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.select(T.slug(F.regexp_extract("path", r"([^/]*)$", 1)).alias("doc_id"), T.title(F.col("path")).alias("title"), F.lit(1).alias("page_no"), "text", F.length("text").alias("char_count"))
 
 

@@ -147,6 +147,13 @@ class Tracker:
         if frame <= self.frame:
             self.late += 1
             return []
+        if self.tracks:  # frames without rows were empty; after the buffer no track is left to age
+            none = np.zeros((0, 4))
+            for f in range(self.frame + 1, min(frame, self.frame + self.s.buffer + 3)):
+                self._frame_step(f, none, np.zeros(0), [], [], None)
+        return self._frame_step(frame, boxes, conf, classes, looks, warp)
+
+    def _frame_step(self, frame: int, boxes: np.ndarray, conf: np.ndarray, classes: list[str], looks: list, warp: np.ndarray | None) -> list[tuple]:
         s, self.frame = self.s, frame
         looks = [None if v is None or not np.any(v) else np.asarray(v, float) / np.linalg.norm(v) for v in looks]
         high = [k for k in range(len(conf)) if conf[k] >= s.high]
@@ -218,7 +225,7 @@ class Tracker:
 
 
 def _run(tracker: Tracker, pdf: pd.DataFrame) -> list[tuple]:
-    """All frames of `pdf` in order. Rows without a class are ticks: they age the tracks of empty frames."""
+    """All frames of `pdf` in order. Rows without a class are ticks, which say that a frame was empty."""
     out = []
     for frame, rows in pdf.sort_values(["frame", "det_id"], kind="stable").groupby("frame", sort=True):
         rows = rows[rows.cls.notna()]
