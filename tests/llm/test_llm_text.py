@@ -219,9 +219,22 @@ def test_kneser_ney_sums_to_one_and_rejects_junk(spark, docs):
     rows = [(i, " ".join(word() for _ in range(60)) + ".", "en") for i in range(200)] + [(500, "XQ!! " * 60, "en"), (501, "baba " * 60, "en"), (502, None, None), (503, "ba de ki lo", None)]
     made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(150)] + [(500, 0), (None, 1)], "doc_id long, quality int")
-    table = quality.train(quality.trusted_rows(made, labels)).table()
+    words = quality.train(quality.trusted_rows(made, labels))
+    table = words.model.table()
     sums = np.exp2(table.astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
     assert np.allclose(sums, 1, atol=1e-3)
+    share = {r["key"]: r["share"] for r in words.shares.collect()}
+    assert abs(sum(share.values()) + words.mass - 1) < 1e-9
+    twice = made.union(made.limit(3)).union(spark.createDataFrame([(900, "long " + "ba de " * 70_000, "en")], made.schema))
+    got = {}
+    for r in quality.score(twice, words).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == twice.count()
+    for row in twice.collect():  # word by word
+        data, key, _, start, length = quality.words_in(pa.array([row["text"]], pa.string()))
+        bits = [np.log2(share.get(k, 0) + words.mass * 2**s) for k, s in zip(key.view(np.int64).tolist(), quality.spelled(data, start, length, table), strict=True)]
+        size = int((length + 1).sum())
+        assert all(r["n_symbols"] == size and np.isclose(r["perplexity"], 2 ** (-sum(bits) / max(size, 1)), rtol=1e-3) for r in got[row["doc_id"]])
     kept = {r["doc_id"]: r["kept"] for r in quality.classify(made, labels).collect()}
     assert np.mean([kept[i] for i in range(200)]) > 0.95 and not kept[500] and not kept[501] and not kept[502]
     assert quality.keep_good(made, labels).count() == sum(kept.values())
@@ -229,8 +242,7 @@ def test_kneser_ney_sums_to_one_and_rejects_junk(spark, docs):
     assert sum(r["kept"] for r in nothing) == sum(bool(r["n_symbols"]) for r in nothing)
 
 
-def test_symbols_fold_repeats():
-    codes, ends = quality.symbols(pa.array(["ab ab  ab c", None, "ab"]))
-    start, repeat, space = quality.START, quality.REPEAT, quality.SPACE
-    assert codes.tolist() == [start] * 3 + [0, 1, repeat, repeat, space, 2] + [start] * 6 + [0, 1]
-    assert ends.tolist() == [0, 9, 12, 17]
+def test_repeated_words_become_empty_words():
+    _, key, row, start, length = quality.words_in(pa.array(["ab ab  ab c", None, "ab"]))
+    assert length.tolist() == [2, 0, 0, 1, 2] and row.tolist() == [0, 0, 0, 0, 2] and start.tolist() == [0, 3, 7, 10, 11]
+    assert key[1] == key[2] == quality.REPEATED and key[0] == key[4] != key[3]
