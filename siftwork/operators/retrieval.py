@@ -51,24 +51,30 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, where: dict | None =
     return ranked(scored, k)
 
 
-def knn_approximate(corpus: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, planes: int = 6, seed: int = 7) -> DataFrame:
-    """Neighbours among those that share a random-hyperplane bucket in one of `tables`, scored exactly."""
+def knn_approximate(corpus: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16, planes: int = 6, seed: int = 7) -> DataFrame:
+    """Neighbours among those in a random-hyperplane bucket of one of `tables` that the query probes, scored exactly.
+
+    A query probes its own bucket and the `planes` buckets that differ from it in one bit.
+    """
     import random
 
     r = random.Random(seed)
     dims = corpus.select(F.max(F.size("vec"))).first()[0] or 1
 
-    def buckets(vec: Column) -> Column:
+    def buckets(vec: Column, probe: bool) -> Column:
         out = []
         for t in range(tables):
             bits = [F.when(V.dot(vec, F.array(*[F.lit(r.gauss(0, 1)) for _ in range(dims)])) > 0, 1 << b).otherwise(0) for b in range(planes)]
             out.append(sum(bits[1:], bits[0]) + t * (1 << planes))
-        return F.array(*out)
+        own = F.array(*out)
+        if not probe:
+            return own
+        return F.flatten(F.transform(own, lambda x: F.array(x, *[x.bitwiseXOR(F.lit(1 << b)) for b in range(planes)])))
 
     state = r.getstate()
-    left = corpus.withColumn("bucket", F.explode(buckets(F.col("vec"))))
+    left = corpus.withColumn("bucket", F.explode(buckets(F.col("vec"), False)))
     r.setstate(state)
-    right = queries.withColumn("bucket", F.explode(buckets(F.col("qvec"))))
+    right = queries.withColumn("bucket", F.explode(buckets(F.col("qvec"), True)))
     pairs = left.join(right, "bucket").select("qid", "id").distinct().join(corpus, "id").join(queries, "qid")
     return ranked(pairs.select("qid", "id", F.round(V.dot(F.col("vec"), F.col("qvec")), 6).alias("score")), k)
 
