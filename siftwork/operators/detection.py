@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from siftwork.functions import boxes as B
 
 XYXY = ("x1", "y1", "x2", "y2")
+#: Overlaps of mAP50-95.
+THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
 
 def candidates(gt: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
@@ -39,7 +41,10 @@ def greedy(pairs: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
 
 def outcomes(gt: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """Every prediction with tp, fp and iou; an unmatched one over an ignored box is neither."""
-    pairs = candidates(gt, pred, keys, least)
+    return _judged(pred, candidates(gt, pred, keys, least), keys, least)
+
+
+def _judged(pred: DataFrame, pairs: DataFrame, keys: list[str], least: float) -> DataFrame:
     matched = greedy(pairs, keys, least)
     soft = pairs.where("ign").select(*keys, "pp").distinct().withColumn("soft", F.lit(True))
     out = pred.select(*keys, F.col("pos").alias("pp"), "conf").join(matched, [*keys, "pp"], "left").join(soft, [*keys, "pp"], "left")
@@ -47,37 +52,42 @@ def outcomes(gt: DataFrame, pred: DataFrame, keys: list[str], least: float = 0.5
     return out.select(*keys, "pp", "conf", tp.cast("int").alias("tp"), (~tp & F.col("soft").isNull()).cast("int").alias("fp"), "iou", "gp")
 
 
-def pr_curve(results: DataFrame, n_gt: DataFrame, by: str = "cls") -> DataFrame:
+def _names(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def pr_curve(results: DataFrame, n_gt: DataFrame, by: str | list[str] = "cls") -> DataFrame:
     """Precision and recall after each prediction, in the order of confidence, for each value of `by`.
 
     Equal confidences are summed first: a window over counts per confidence, not over all rows.
     """
-    levels = results.groupBy(by, "conf").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
-    run = Window.partitionBy(by).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    by = _names(by)
+    levels = results.groupBy(*by, "conf").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
+    run = Window.partitionBy(*by).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
     cum = levels.withColumn("tp", F.sum("t").over(run)).withColumn("fp", F.sum("f").over(run)).join(F.broadcast(n_gt), by)
-    return cum.select(by, "conf", "tp", "fp", (F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("precision"), (F.col("tp") / F.nullif(F.col("n_gt"), F.lit(0))).alias("recall"))
+    return cum.select(*by, "conf", "tp", "fp", (F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("precision"), (F.col("tp") / F.nullif(F.col("n_gt"), F.lit(0))).alias("recall"))
 
 
-def average_precision(curve: DataFrame, by: str = "cls", points: int = 101) -> DataFrame:
+def average_precision(curve: DataFrame, by: str | list[str] = "cls", points: int = 101) -> DataFrame:
     """Mean over recall levels of the best precision at that recall or a higher one."""
-    ends = Window.partitionBy(by).orderBy(F.desc("recall"), F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    by = _names(by)
+    ends = Window.partitionBy(*by).orderBy(F.desc("recall"), F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
     envelope = curve.withColumn("best", F.max("precision").over(ends))
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy(by).orderBy("recall", F.desc("conf"))), F.lit(-1.0))
+    before = F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy("recall", F.desc("conf"))), F.lit(-1.0))
     steps = envelope.withColumn("_before", before)
     level = lambda k: k * F.lit(0.01) if points == 101 else k / F.lit(float(points - 1))
     hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: (level(k) <= F.col("recall")) & (level(k) > F.col("_before"))))
-    return steps.groupBy(by).agg(F.round(F.sum(hits * F.col("best")) / points, 6).alias("ap"))
+    return steps.groupBy(*by).agg(F.round(F.sum(hits * F.col("best")) / points, 6).alias("ap"))
 
 
 def evaluate(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = (0.5,), image: str = "image_id", cls: str = "cls") -> DataFrame:
     """(iou threshold, class, ap) for classes with truth; all thresholds share one candidate join."""
-    n_gt = gt.where(~F.col("ign")).groupBy(cls).agg(F.count("*").alias("n_gt"))
-    parts = None
-    for t in thresholds:
-        one = average_precision(pr_curve(outcomes(gt, pred, [image, cls], t), n_gt, cls), cls)
-        one = n_gt.select(cls).join(one, cls, "left").select(F.lit(t).alias("threshold"), cls, F.coalesce("ap", F.lit(0.0)).alias("ap"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    pairs = candidates(gt, pred, [image, cls], min(thresholds)).withColumn("threshold", levels).where(F.col("iou") >= F.col("threshold"))
+    n_gt = gt.where(~F.col("ign")).groupBy(cls).agg(F.count("*").alias("n_gt")).withColumn("threshold", levels)
+    results = _judged(pred.withColumn("threshold", levels), pairs, ["threshold", image, cls], min(thresholds))
+    ap = average_precision(pr_curve(results, n_gt, ["threshold", cls]), ["threshold", cls])
+    return n_gt.select("threshold", cls).join(ap, ["threshold", cls], "left").select("threshold", cls, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def operating_point(results: DataFrame, gt: DataFrame, conf: float = 0.25) -> DataFrame:

@@ -26,8 +26,13 @@ def _together(gt: DataFrame, pred: DataFrame) -> DataFrame:
 def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """(seq, frame, gt_id, pred_id, iou, kind): matches that stick to the last frame's pair while it
     overlaps enough, the optimum for the rest; kind 'miss', 'extra' and 'ignored' for what is left."""
+    return matches_at(gt, pred, (least,)).drop("alpha")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def matches_at(gt: DataFrame, pred: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """frame_matches() for each of `alphas`, in a column before the others; a sequence is read once."""
+
+    def at(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         out, last = [], {}
         for frame, rows in pdf.sort_values(["frame", "side", "track_id"], kind="stable").groupby("frame", sort=True):
             every = rows[rows.side == 0]
@@ -52,9 +57,13 @@ def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFra
             out += [(frame, None, t, 0.0, "ignored" if near[j] >= least else "extra") for j, t in enumerate(pid) if j not in hit_p]
         found = pd.DataFrame(out, columns=["frame", "gt_id", "pred_id", "iou", "kind"])
         found.insert(0, "seq", pdf.seq.iloc[0])
+        found.insert(0, "alpha", least)
         return found.astype({"gt_id": "Int64", "pred_id": "Int64"})
 
-    return _together(gt, pred).groupBy("seq").applyInPandas(kernel, "seq long, frame long, gt_id long, pred_id long, iou double, kind string")
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([at(pdf, alpha) for alpha in alphas], ignore_index=True)
+
+    return _together(gt, pred).groupBy("seq").applyInPandas(kernel, "alpha double, seq long, frame long, gt_id long, pred_id long, iou double, kind string")
 
 
 def clear_mot(matches: DataFrame) -> DataFrame:
@@ -97,10 +106,7 @@ def idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
 
 def hota(gt: DataFrame, pred: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(alpha, hota, deta, assa), frame matches by overlap alone at each alpha."""
-    parts = None
-    for alpha in alphas:
-        m = frame_matches(gt, pred, alpha).withColumn("alpha", F.lit(alpha))
-        parts = m if parts is None else parts.unionByName(m)
+    parts = matches_at(gt, pred, tuple(alphas))
     counts = parts.groupBy("alpha").agg(F.count(F.when(F.col("kind") == "match", 1)).alias("tp"), F.count(F.when(F.col("kind") == "miss", 1)).alias("fn"), F.count(F.when(F.col("kind") == "extra", 1)).alias("fp"))
     pair = parts.where("kind = 'match'").groupBy("alpha", "seq", "gt_id", "pred_id").agg(F.count("*").alias("tpa"))
     of_g = gt.where(~F.col("ign")).groupBy("seq", F.col("track_id").alias("gt_id")).agg(F.count("*").alias("ng"))

@@ -287,7 +287,7 @@ def greedy_matches(spark, d):
 
 @query()
 def detection_ap(spark, d):
-    return detection.evaluate(A.truth_boxes(spark, d), A.found_boxes(spark, d), (0.5, 0.75))
+    return detection.evaluate(A.truth_boxes(spark, d), A.found_boxes(spark, d), detection.THRESHOLDS)
 
 
 @query()
@@ -437,7 +437,7 @@ def track_identity(spark, d):
 
 @query()
 def track_hota(spark, d):
-    return tracking_metrics.hota(*A.track_boxes(spark, d), alphas=(0.25, 0.5, 0.75))
+    return tracking_metrics.hota(*A.track_boxes(spark, d))
 
 
 @query()

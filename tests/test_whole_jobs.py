@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from siftwork.plans import catalog
+from siftwork.operators import detection, tracking_metrics
+from siftwork.plans import adapters, catalog
 
 
 def data_of(size):
@@ -20,3 +22,21 @@ def test_approximate_neighbours_against_exact_ones(spark, size):
     data = data_of(size)
     exact, near = ({(r["qid"], r["id"]) for r in catalog.queries()[name](spark, data).collect() if r["qid"] != r["id"]} for name in ("knn_exact", "knn_approximate"))
     assert len(exact & near) >= 0.9 * len(exact) > 0
+
+
+def test_all_levels_of_hota_and_average_precision(spark):
+    """19 alphas and ten thresholds are registered, and each level equals a run for it alone."""
+    data = data_of("sf0.001")
+    hota = {r["alpha"]: r for r in catalog.queries()["track_hota"](spark, data).collect()}
+    assert sorted(hota) == [round(0.05 * k, 2) for k in range(1, 20)]
+    ap = {(r["threshold"], r["cls"]): r["ap"] for r in catalog.queries()["detection_ap"](spark, data).collect()}
+    assert sorted({t for t, _ in ap}) == [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    gt, pred = adapters.truth_boxes(spark, data), adapters.found_boxes(spark, data)
+    n_gt = gt.where("not ign").groupBy("cls").agg(F.count("*").alias("n_gt"))
+    for t in (0.5, 0.75, 0.95):
+        alone = detection.average_precision(detection.pr_curve(detection.outcomes(gt, pred, ["image_id", "cls"], t), n_gt))
+        assert {c: v for (at, c), v in ap.items() if at == t} == {r["cls"]: r["ap"] for r in alone.collect()}
+    truth, found = adapters.track_boxes(spark, data)
+    for alpha in (0.05, 0.95):
+        kinds = {r["kind"]: r["count"] for r in tracking_metrics.frame_matches(truth, found, alpha).groupBy("kind").count().collect()}
+        assert hota[alpha]["deta"] == round(kinds.get("match", 0) / sum(kinds.values()), 6)
