@@ -1,10 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, open to new words.
 
-The upper level counts words of all trusted rows, a table that grows with the corpus; it is never
-gathered, but joined to the documents' words in shards of the word. Below it, in place of a uniform
-share for words not seen, stands the spelling: n-grams of symbols over the distinct trusted words
-(Kneser-Ney continuation counts), whose table the alphabet bounds (SYMBOLS^ORDER). A word that
-repeats the word before it counts as the empty word, of one symbol.
+The top level counts pairs of words of all trusted rows, the level below it in how many contexts a
+word continues; these tables grow with the corpus. They are never gathered, but joined to the
+documents' pairs and words in shards of the key. Below them, in place of a uniform share for words
+not seen, stands the spelling: n-grams of symbols over the distinct trusted words (Kneser-Ney
+continuation counts), whose table the alphabet bounds (SYMBOLS^ORDER). A word that repeats the word
+before it counts as the empty word, of one symbol. The first word of a row follows its last one, so
+that each word is a context once. A repeated word is no context (all mass is handed down), or else
+runs of one word, once seen, would be as likely as text.
+
+p(w|v) = share(v, w) + hand(v) * low(w) is hand(v) * low(w) for a pair not seen. So words bring the
+bits of low(w) and hand(v), and a pair that was seen adds log2(1 + share(v, w) / (hand(v) * low(w))).
 
 A group of documents sends each of its distinct words once, with a list of (document, count), so
 that the join moves a fraction of the text. Lists come back as sums per group and shard.
@@ -36,6 +42,8 @@ FOLDS = 5
 GROUP_BYTES, GROUP_ROWS = 32 << 20, 1 << 14
 #: (word, document) entries that a summing task holds before it hands on.
 HELD = 1 << 20
+#: Ranges of keys in which the pairs of a group are listed.
+PAIR_RANGES = 8
 #: Key of a word that repeats the one before it.
 REPEATED = np.uint64(0x5EED)
 _INSIDE = np.ones(256, bool)
@@ -181,6 +189,20 @@ def words_in(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, np.where(again, REPEATED, key), row, start, np.where(again, 0, length)
 
 
+def pairs_of(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word: the key of the word before it, round the row, and the key of both."""
+    prev = np.empty_like(key)
+    if len(key):
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        prev[1:] = key[:-1]
+        prev[first] = key[np.append(first[1:], len(key)) - 1]
+    return prev, pair_key(prev, key)
+
+
+def pair_key(prev: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return common.mix64(common.mix64(prev + np.uint64(1)) + key)
+
+
 def spelled(data: np.ndarray, start: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
     """log2 of the probability that the spelling model gives to each word and the blank after it."""
     if not len(start):
@@ -221,32 +243,121 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return common.arrow_map(found.groupBy("word").agg(F.sum("n").alias("n")), keyed, "key long, word string, n long")  # keys do not travel
 
 
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(prev, key, n): counts of the pairs of words of all rows; a task counts HELD words at a time first."""
+    schema = pa.schema([("prev", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def emit(got: list[tuple]) -> Iterator[pa.RecordBatch]:
+        prev, key, pair = (np.concatenate(x) for x in zip(*got, strict=True))
+        _, first, n = np.unique(pair, return_index=True, return_counts=True)
+        prev, key = prev[first].view(np.int64), key[first].view(np.int64)
+        for low in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in (prev, key, n)], schema=schema)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
+        for batch in batches:
+            for part in common.slices(batch, "_text"):
+                _, key, row, _, _ = words_in(part.column(0))
+                prev, pair = pairs_of(key, row)
+                got.append((prev, key, pair))
+                held += len(key)
+                if held > HELD:
+                    yield from emit(got)
+                    got, held = [], 0
+        if got:
+            yield from emit(got)
+
+    found = common.arrow_map(docs.select(F.col("text").alias("_text")), kernel, "prev long, key long, n long")
+    return found.groupBy("prev", "key").agg(F.sum("n").alias("n"))
+
+
 class Words:
-    """The trained model: `shares` (key, share), the mass left to the spelling, and its table."""
+    """The trained model: `shares` (key, share), the mass left to the spelling, and its table.
+
+    Of order 2, `shares` has `hand` too: log2 of the mass that a word, as context, hands down; rows
+    of pairs have the bits they add in `share` and no `hand`.
+    """
 
-    def __init__(self, shares: DataFrame, mass: float, model: Model):
-        self.shares, self.mass, self.model = shares, mass, model
+    def __init__(self, shares: DataFrame, mass: float, model: Model, order: int = 1):
+        self.shares, self.mass, self.model, self.order = shares, mass, model, order
 
 
-def train(trusted: DataFrame) -> Words:
-    """Both levels, from all words of all rows of `trusted`. No words: all mass goes to a uniform spelling."""
-    scratch = common.Scratch(trusted.sparkSession)
-    counts = scratch.keep(word_counts(trusted))
+def _cut(counts: DataFrame) -> F.Column:
     d1, d2, d3 = _discounts(counts)
     n = F.col("n")
-    cut = F.least(F.when(n == 1, d1).when(n == 2, d2).otherwise(d3), n.cast("double"))
+    return F.least(F.when(n == 1, d1).when(n == 2, d2).otherwise(d3), n.cast("double"))
+
+
+def train(trusted: DataFrame, order: int = 1) -> Words:
+    """All levels, from all words of all rows of `trusted`. No words: all mass goes to a uniform spelling.
+
+    Order 1 counts words; order 2 counts pairs, and of words the contexts.
+    """
+    scratch = common.Scratch(trusted.sparkSession)
+    counts = word_counts(trusted)
+    if order > 1:
+        pairs = scratch.keep(pair_counts(trusted))
+        counts = counts.drop("n").join(pairs.groupBy("key").agg(F.count("*").alias("n")), "key")
+    counts = scratch.keep(counts)
+    cut = _cut(counts)
     total, freed = counts.agg(F.sum("n"), F.sum(cut)).first()
     mass = float(freed) / total if total else 1.0
-    shares = counts.select("key", ((n - cut) / float(total or 1)).alias("share"))
-    return Words(scratch.tie(shares), mass, spelling(counts.select(F.concat("word", F.lit(" ")).alias("text"))))
+    shares = counts.select("key", ((F.col("n") - cut) / float(total or 1)).alias("share"))
+    model = spelling(counts.select(F.concat("word", F.lit(" ")).alias("text")))
+    if order > 1:
+        shares = _with_pairs(counts.select("key", "word", ((F.col("n") - cut) / float(total or 1)).alias("share")), pairs, mass, model, scratch)
+    return Words(scratch.tie(shares), mass, model, order)
+
+
+def _with_pairs(words: DataFrame, pairs: DataFrame, mass: float, model: Model, scratch: common.Scratch) -> DataFrame:
+    """(key, share, hand) of words and of pairs; see Words."""
+    low_schema = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("low", pa.float64())])
+    bonus_schema = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("hand", pa.float64())])
+
+    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            data, offsets = common.buffer_of(batch.column("word"))
+            share = batch.column("share").to_numpy()
+            low = share + mass * np.exp2(spelled(data, offsets[:-1], np.diff(offsets), table))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("share"), pa.array(low)], schema=low_schema)
+
+    def bonus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prev, key = (batch.column(c).to_numpy().view(np.uint64) for c in ("prev", "key"))
+            bits = np.log2(1 + batch.column("ratio").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(prev, key).view(np.int64)), pa.array(bits), pa.nulls(len(bits), pa.float64())], schema=bonus_schema)
+
+    pairs = pairs.where(F.col("prev") != F.lit(int(REPEATED)))
+    cut = _cut(pairs)
+    contexts = pairs.groupBy(F.col("prev").alias("key")).agg(F.sum("n").cast("double").alias("total"), F.sum(cut).alias("freed"))
+    both = scratch.keep(common.arrow_map(words, lows, "key long, share double, low double").join(contexts, "key", "left"))
+    found = pairs.withColumn("over", F.col("n") - cut).join(both.select("key", "low"), "key").join(both.select(F.col("key").alias("prev"), "freed"), "prev")
+    ratio = F.col("over") / (F.col("freed") * F.col("low"))  # (over / total) / (freed / total * low)
+    seen = common.arrow_map(found.select("prev", "key", ratio.alias("ratio")), bonus, "key long, share double, hand double")
+    return both.select("key", "share", F.log2(F.col("freed") / F.col("total")).alias("hand")).union(seen)
 
 
 _META = "meta struct<row: int, row_key: long, doc_id: long, lang: string, n_symbols: long>"
 _META_TYPE = pa.struct([("row", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64())])
 
 
-def _listed(rows: DataFrame, model: Model) -> DataFrame:
-    """Of each group of rows: every distinct word with its spelling and entries, and a row for each document."""
+def _entries(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the first place of each, and by rising key the number of the key and the entry."""
+    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
+    pair, n = np.unique((at.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64), return_counts=True)
+    times = -(-n // 4)
+    pair, code = np.repeat(pair, times), np.full(int(times.sum()), 3, np.int64)
+    code[np.cumsum(times) - 1] = (n - 1) % 4
+    return distinct, first, (pair >> np.uint64(32)).astype(np.uint32), ((pair & np.uint64(0xFFFF)).astype(np.int64) * 4 + code).astype(_ENTRY)
+
+
+def _listed(rows: DataFrame, model: Model, order: int = 1) -> DataFrame:
+    """Of each group of rows: every distinct word with its spelling and entries, and a row for each document.
+
+    Of order 2, every distinct pair with its entries too, without a spelling.
+    """
     schema = pa.schema([("key", pa.int64()), ("grp", pa.int64()), ("spell", pa.float32()), ("entries", pa.binary()), ("meta", _META_TYPE)])
 
     def emit(grp: int, got: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -256,19 +367,31 @@ def _listed(rows: DataFrame, model: Model) -> DataFrame:
         columns = [pa.concat_arrays(meta.column(c).chunks) for c in ("row_key", "doc_id", "lang")]
         own = pa.StructArray.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *columns, pa.array(np.concatenate([g[5] for g in got]))], fields=list(_META_TYPE))
         yield pa.RecordBatch.from_arrays([pa.array(common.mix64(at).view(np.int64)), pa.array(np.full(n, grp)), pa.nulls(n, pa.float32()), pa.nulls(n, pa.binary()), own], schema=schema)
-        distinct, first = np.unique(np.concatenate([g[1] for g in got]), return_index=True)
+        yield from lists(grp, [(g[1], g[3], g[4]) for g in got], [g[2] for g in got])
+        if order > 1:
+            for k in range(PAIR_RANGES):  # a range of keys at a time, to hold less
+                low, high = np.uint64(k * ((1 << 64) // PAIR_RANGES)), np.uint64((k + 1) * ((1 << 64) // PAIR_RANGES) - 1)
+                some = []
+                for *_, (distinct, number, entry) in got:
+                    a, b = np.searchsorted(distinct, low), np.searchsorted(distinct, high, side="right")
+                    c, d = np.searchsorted(number, [a, b])
+                    some.append((distinct[a:b], number[c:d] - np.uint32(a), entry[c:d]))
+                yield from lists(grp, some, None)
+
+    def lists(grp: int, parts: list[tuple], spells: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        distinct, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
         if not len(distinct):
             return
-        spell = np.concatenate([g[2] for g in got])[first]
-        word = np.concatenate([np.searchsorted(distinct, g[1]).astype(np.uint32)[g[3]] for g in got])
-        entry = np.concatenate([g[4] for g in got])[np.argsort(word, kind="stable")]
+        spell = pa.nulls(len(distinct), pa.float32()) if spells is None else pa.array(np.concatenate(spells)[first])
+        word = np.concatenate([np.searchsorted(distinct, p[0]).astype(np.uint32)[p[1]] for p in parts])
+        entry = np.concatenate([p[2] for p in parts])[np.argsort(word, kind="stable")]
         ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(distinct)))]) * _ENTRY.itemsize
         for low in range(0, len(distinct), 50_000):
             high = min(low + 50_000, len(distinct))
             offs = (ends[low : high + 1] - ends[low]).astype(np.int32)
             data = entry[ends[low] // _ENTRY.itemsize : ends[high] // _ENTRY.itemsize].tobytes()
             blob = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[low:high].view(np.int64)), pa.array(np.full(high - low, grp)), pa.array(spell[low:high]), blob, pa.nulls(high - low, _META_TYPE)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[low:high].view(np.int64)), pa.array(np.full(high - low, grp)), spell.slice(low, high - low), blob, pa.nulls(high - low, _META_TYPE)], schema=schema)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
@@ -280,15 +403,14 @@ def _listed(rows: DataFrame, model: Model) -> DataFrame:
                     yield from emit(grp, got)
                     grp, got, held, bytes_ = grp + 1, [], 0, 0
                 data, key, row, start, length = words_in(part.column("_text"))
-                distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
-                pair, n = np.unique((at.astype(np.uint64) << np.uint64(32)) | (row + held).astype(np.uint64), return_counts=True)
-                times = -(-n // 4)
-                pair, code = np.repeat(pair, times), np.full(int(times.sum()), 3, np.int64)
-                code[np.cumsum(times) - 1] = (n - 1) % 4
-                entry = ((pair & np.uint64(0xFFFF)).astype(np.int64) * 4 + code).astype(_ENTRY)
+                distinct, first, number, entry = _entries(key, row + held)
+                pairs = ()
+                if order > 1:
+                    pair, _, *rest = _entries(pairs_of(key, row)[1], row + held)
+                    pairs = (pair, *rest)
                 size = np.bincount(row, weights=length + 1, minlength=part.num_rows).astype(np.int64)
                 meta = part.select(["row_key", "doc_id", "lang"])
-                got.append((meta, distinct, spelled(data, start[first], length[first], table).astype(np.float32), (pair >> np.uint64(32)).astype(np.uint32), entry, size))
+                got.append((meta, distinct, spelled(data, start[first], length[first], table).astype(np.float32), number, entry, size, pairs))
                 held, bytes_ = held + part.num_rows, bytes_ + len(data)
         if got:
             yield from emit(grp, got)
@@ -318,14 +440,18 @@ def _summed(joined: DataFrame, mass: float) -> DataFrame:
             own = batch.filter(entries.is_null())
             if own.num_rows:
                 yield pa.RecordBatch.from_arrays([own.column("grp"), pa.nulls(own.num_rows, pa.binary()), own.column("meta").cast(_META_TYPE)], schema=schema)
-            batch = batch.filter(entries.is_valid())
+            # a pair that was not seen adds nothing
+            batch = batch.filter(pa.compute.and_(entries.is_valid(), pa.compute.or_(batch.column("spell").is_valid(), batch.column("share").is_valid())))
             if not batch.num_rows:
                 continue
             blobs = batch.column("entries").to_pylist()
             entry = np.frombuffer(b"".join(blobs), _ENTRY)
             many = np.array([len(b) for b in blobs]) // _ENTRY.itemsize
             share = batch.column("share").to_numpy(zero_copy_only=False)
-            bits = np.log2(np.nan_to_num(share) + mass * np.exp2(batch.column("spell").to_numpy(zero_copy_only=False).astype(float)) + 1e-300)
+            spell = batch.column("spell").to_numpy(zero_copy_only=False).astype(float)  # none: a pair
+            bits = np.where(np.isnan(spell), np.nan_to_num(share), np.log2(np.nan_to_num(share) + mass * np.exp2(np.nan_to_num(spell)) + 1e-300))
+            if "hand" in batch.schema.names:
+                bits = bits + np.nan_to_num(batch.column("hand").to_numpy(zero_copy_only=False))
             got.append((np.repeat(batch.column("grp").to_numpy(), many), (entry >> 2).astype(np.int64), np.repeat(bits, many) * ((entry & 3) + 1)))
             held += len(entry)
             if held > HELD:
@@ -363,7 +489,7 @@ def score(docs: DataFrame, words: Words) -> DataFrame:
     No symbols: perplexity 1.
     """
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").alias("_text"))
-    summed = _summed(_listed(rows, words.model).join(words.shares, "key", "left"), words.mass)
+    summed = _summed(_listed(rows, words.model, words.order).join(words.shares, "key", "left"), words.mass)
     return summed.groupBy("grp").applyInArrow(_finished, "row_key long, doc_id long, lang string, n_symbols long, perplexity double")
 
 
@@ -384,7 +510,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession)
-    words = train(trusted_rows(docs, labels).where(~held_out()))
+    words = train(trusted_rows(docs, labels).where(~held_out()), order=2)
     scored = scratch.keep(score(docs, words))
     held = common.small_join(scored, good_ids(labels).where(held_out()), "doc_id", "left_semi")
     rest = held.where("n_symbols > 0").agg(F.percentile_approx("perplexity", QUANTILE, ACCURACY)).first()[0]
