@@ -46,16 +46,22 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         one = [self.fast.decode_single_token_bytes(i) for i in range(self.fast.n_vocab)]
         self.stops = np.zeros(1 << 17, bool)  # ids after which a sentence may end
         self.stops[[i for i, b in enumerate(one) if b.rstrip(b"\"')]\n").endswith((b".", b"!", b"?")) or b"\n" in b]] = True
 
+    def plain(self, text: str) -> list[int]:
+        """tokenizers finds its added tokens in a text, too; such texts are its own to encode."""
+        if any(t in text for t in self.added):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
     def ids(self, text: str) -> np.ndarray:
-        return np.append(np.asarray(self.fast.encode_ordinary(text), np.uint32), np.uint32(END))
+        return np.append(np.asarray(self.plain(text), np.uint32), np.uint32(END))
 
     def check(self, text: str) -> None:
-        if self.slow.encode(text, add_special_tokens=False).ids != self.fast.encode_ordinary(text):
+        if self.slow.encode(text, add_special_tokens=False).ids != self.plain(text):
             raise ValueError("tiktoken and tokenizers give other ids for a text")
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,22 @@ def test_quality_sees_the_order_of_words(spark):
         own = keys[x["doc_id"]]
         bits = [np.log2((pairs[v, w] - cut_pair.get((v, w), 0)) / (total[v] or 1) + (freed[v] / total[v] if total[v] else 1) * low(w)) for v, w in zip(own[-1:] + own[:-1], own, strict=True)]
         assert np.isclose(x["perplexity"], 2 ** (-sum(bits) / max(x["n_symbols"], 1)), rtol=1e-3)
+
+
+def test_packing_of_texts_with_the_added_token(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from siftwork.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["plain first text", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "", "é<|endoftext|>\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {}
+    for r in packing.pack(docs, path, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    library = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+        assert sorted(found[i]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes()), len(ids)) for a, n, *_ in sorted(found[i])]
+        assert sum(n for _, n, *_ in found[i]) == len(ids)
