@@ -28,14 +28,20 @@ class ImpactIndex:
     """Posting segments of a block of integer vectors, largest impact first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        # Of equal vectors only the k + 1 smallest ids can be among k results (one may be the query).
+        # Of equal vectors only the k + 1 smallest ids can be among k results (one may be the query's),
+        # each in at most k rows.
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
+        place = np.arange(len(ids))
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
-        keep = np.arange(len(ids)) - start <= k
+        other = fresh.copy()
+        other[1:] |= ids[1:] != ids[:-1]
+        number = np.cumsum(other)  # of the (vector, id)
+        keep = (place - np.maximum.accumulate(np.where(other, place, 0)) < k) & (number - np.maximum.accumulate(np.where(fresh, number, 0)) <= k)
         self.ids, self.vectors = ids[keep], vectors[keep]
+        # Rows of the id with most of them: so many places a query's own rows may take.
+        self.most = int(np.unique(self.ids, return_counts=True)[1].max(initial=1))
         size = np.abs(self.vectors)
         level = (size // STEP).astype(np.int64)
         vec, dim = np.nonzero(size)
@@ -92,8 +98,8 @@ class ImpactIndex:
         """(query id, vector id, score) of the k best other rows of this block for each query."""
         top = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * self.vectors.shape[1]
         kind = np.float32 if top < 1e9 else np.float64
-        # k + 1, as the query's own row may take a place
-        found = self.possible(queries, min(k + 1, len(self.ids)), kind)
+        # The query's own rows may take places before k others; few ids are in more than one row.
+        found = self.possible(queries, min(k + self.most, len(self.ids)), kind)
         own = np.repeat(np.arange(len(ids)), [len(f) for f in found])
         at = np.concatenate(found) if found else np.zeros(0, np.int64)
         score = np.empty(len(at), np.int64)

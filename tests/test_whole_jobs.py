@@ -115,3 +115,21 @@ def test_packing_of_texts_with_the_added_token(spark):
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, packing.END], "<u4")
         assert sorted(found[i]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes()), len(ids)) for a, n, *_ in sorted(found[i])]
         assert sum(n for _, n, *_ in found[i]) == len(ids)
+
+
+@pytest.mark.parametrize("times", [1, 6, 10])
+def test_top_k_of_a_repeated_query(spark, monkeypatch, times):
+    """As in the SQL, each row of a query meets each row of other ids; its own rows take no place."""
+    from siftwork.llm import topk
+
+    monkeypatch.setattr(topk, "PARTS_AT_LEAST", 1)
+    r = random.Random(2)
+    rows = [(i, [r.randint(-40, 40) / 256 for _ in range(8)]) for i in range(1, 50)]
+    rows += [(50, [0.5] * 8)] * times + [(i, [0.5] * 8) for i in (51, 52, 77)] + [(60, [0.25] * 8)] * 4 + [(100, [0.4] * 8), (150, [0.5] * 8)]
+    want = []
+    ints = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    for q in (50, 100, 150):
+        best = sorted((-int(own @ v), c) for i, own in ints if i == q for c, v in ints if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.search(df).collect()) == sorted(want)
