@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import weakref
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -108,51 +107,78 @@ def ascii_lower() -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; where it is unset (tests), one in the temp folder."""
+    """The folder that the cluster shares. Where it is unset: on one machine a temporary one, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siftwork-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder is the cluster's to clear
-        pass
-
-
-#: The latest scratch folders stay, also where only a frame derived from the result is left.
-_LATEST: deque = deque(maxlen=8)
+#: Makes Spark remove a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Tables written under the shared checkpoint folder.
 
-    They go when neither the result that uses them nor one of the eight latest calls holds them.
+    They stay until free() or release() is called, or Spark ends. What a result reads is not freed,
+    so that frames derived from it work as long as the session does; release(df) lets go of it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{checkpoint_dir(spark)}/siftwork-{uuid.uuid4().hex}", 0
-        self._end = weakref.finalize(self, _remove, spark, self.path)
-        _LATEST.append(self)
+        self._at = {}
+        self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path(self.path))
+        self._files.deleteOnExit(self._path(self.path))
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write `df` and read it back: lineage ends here, and lost executors cost no recomputation."""
+        """Write `df` and read it back: lineage ends here, lost executors cost no recomputation, and shuffle files go."""
         self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+        path, conf = f"{self.path}/{self.n}", self.spark.conf
+        before = conf.get(_TIDY, None)
+        conf.set(_TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_TIDY) if before is None else conf.set(_TIDY, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._at[id(out)] = (out, path)
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove tables of keep() that nothing reads any more."""
+        for df in tables:
+            self._files.delete(self._path(self._at.pop(id(df))[1]), True)
+
+    def release(self) -> None:
+        """Remove all tables."""
+        self._at.clear()
+        self._files.delete(self._path(self.path), True)
 
     def tie(self, df: DataFrame) -> DataFrame:
+        """Name these tables as read by `df`, for release()."""
         df._siftwork_scratch = self
         return df
 
 
+def release(*results: DataFrame) -> None:
+    """Remove the tables that results of operators read, once they have been used."""
+    for df in results:
+        scratch = getattr(df, "_siftwork_scratch", None)
+        if scratch is not None:
+            scratch.release()
+
+
 def small_join(df: DataFrame, ids: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is broadcast only if it was counted and has at most `most` rows."""
     few = ids.limit(most + 1).count() <= most

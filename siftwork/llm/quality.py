@@ -1,19 +1,20 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, open to new words.
 
 The top level counts pairs of words of all trusted rows, the level below it in how many contexts a
-word continues; these tables grow with the corpus. They are never gathered, but joined to the
-documents' pairs and words in shards of the key. Below them, in place of a uniform share for words
-not seen, stands the spelling: n-grams of symbols over the distinct trusted words (Kneser-Ney
+word continues; these tables grow with the corpus. Below them, in place of a uniform share for
+words not seen, stands the spelling: n-grams of symbols over the distinct trusted words (Kneser-Ney
 continuation counts), whose table the alphabet bounds (SYMBOLS^ORDER). A word that repeats the word
 before it counts as the empty word, of one symbol. The first word of a row follows its last one, so
 that each word is a context once. A repeated word is no context (all mass is handed down), or else
 runs of one word, once seen, would be as likely as text.
 
-p(w|v) = share(v, w) + hand(v) * low(w) is hand(v) * low(w) for a pair not seen. So words bring the
-bits of low(w) and hand(v), and a pair that was seen adds log2(1 + share(v, w) / (hand(v) * low(w))).
+p(w|v) = (c(v, w) - D(c)) / total(v) + hand(v) * low(w), with low(w) = share(w) + mass * spelled(w).
 
-A group of documents sends each of its distinct words once, with a list of (document, count), so
-that the join moves a fraction of the text. Lists come back as sums per group and shard.
+Counts are never gathered, but joined in shards. A group of documents (GROUP_BYTES of text) asks a
+shard once for each distinct word or pair it holds: sorted keys as packed differences, about three
+bytes each. The shard answers in the order asked, a byte or less for a pair. The group's texts are
+read again, as numbers of its words, and take their sums from the answers, in whole units of
+2^-20 bits, so that no order of adding changes a score. No (word, document) entry moves.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,20 +38,21 @@ QUANTILE = 0.999
 ACCURACY = 100_000
 #: One trusted row in so many is kept from training and sets the thresholds.
 FOLDS = 5
-#: A group of documents ends at so many bytes of text or rows (their numbers take 14 bits).
-GROUP_BYTES, GROUP_ROWS = 32 << 20, 1 << 14
-#: (word, document) entries that a summing task holds before it hands on.
-HELD = 1 << 20
-#: Ranges of keys in which the pairs of a group are listed.
-PAIR_RANGES = 8
+#: A group of documents ends at so many bytes of text, or rows.
+GROUP_BYTES, GROUP_ROWS = 32 << 20, 1 << 17
+#: Pairs that a counting task holds before it hands on.
+HELD = 3 << 20
+#: Bytes of text for which there is one shard of the counts, and the fewest and most shards.
+SHARD_BYTES, SHARDS_LEAST, SHARDS_MOST = 4 << 20, 16, 1 << 16
+#: Words as keys: 48 bits, so that a word shares its key with one of 10^8 others with a chance of 4e-7.
+KEY = np.uint64((1 << 48) - 1)
+#: Units of a bit in which a document's sum is added.
+UNIT = float(1 << 20)
 #: Key of a word that repeats the one before it.
 REPEATED = np.uint64(0x5EED)
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
 _SAME = np.arange(256, dtype=np.uint8)
-#: 4 * row + n - 1; a count over 4 takes several entries.
-_ENTRY = np.dtype("<u2")
-_SUM = np.dtype([("row", "<u2"), ("bits", "<f4")])
 
 
 def _classes() -> np.ndarray:
@@ -112,11 +113,7 @@ def count(words: DataFrame) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     """D1, D2, D3+ from the numbers of n-grams seen 1 to 4 times."""
-    n = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(float(x or 0), 1.0) for x in n)
-    y = n1 / (n1 + 2 * n2)
-    bound = lambda d, most: min(max(d, 0.05), most)
-    return bound(1 - 2 * y * n2 / n1, 0.95), bound(2 - 3 * y * n3 / n2, 1.95), bound(3 - 4 * y * n4 / n3, 2.95)
+    return _discounts_of(*counts.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
 
 
 def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,6 +167,7 @@ def spelling(words: DataFrame) -> Model:
         levels.append((s.gram.to_numpy(np.int64), s.share.to_numpy(float), m.context.to_numpy(np.int64), m["mass"].to_numpy(float)))
         if order > 1:
             counts = scratch.keep(counts.groupBy((F.col("gram") % SYMBOLS ** (order - 1)).cast("int").alias("gram")).agg(F.count("*").alias("n")))
+    scratch.release()
     return Model(levels[::-1])
 
 
@@ -186,21 +184,58 @@ def words_in(column: pa.Array) -> tuple[np.ndarray, ...]:
     length = np.diff(np.append(np.searchsorted(kept, start), len(kept)))
     again = np.zeros(len(key), bool)
     again[1:] = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
-    return data, np.where(again, REPEATED, key), row, start, np.where(again, 0, length)
+    return data, np.where(again, REPEATED, key & KEY), row, start, np.where(again, 0, length)
 
 
-def pairs_of(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every word: the key of the word before it, round the row, and the key of both."""
+def before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of every word: the key of the word before it, round the row."""
     prev = np.empty_like(key)
     if len(key):
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         prev[1:] = key[:-1]
         prev[first] = key[np.append(first[1:], len(key)) - 1]
-    return prev, pair_key(prev, key)
+    return prev
+
+
+def shards_for(size: int) -> int:
+    return int(min(max(size // SHARD_BYTES, SHARDS_LEAST), SHARDS_MOST))
+
+
+def word_places(key: np.ndarray, shards: int) -> np.ndarray:
+    """48-bit keys to shard << 48 | key."""
+    return (((key >> np.uint64(24)) * np.uint64(shards)) >> np.uint64(24)) << np.uint64(48) | key
+
+
+def pair_places(prev: np.ndarray, key: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    """Pairs to shard << 40 | 40 bits of the pair. Pairs of a word lie in one shard; those of a `hot` one in all."""
+    pair = common.mix64(common.mix64(prev + np.uint64(1)) + key)
+    by = common.mix64(prev)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, prev), len(hot) - 1)
+        by = np.where(hot[at] == prev, pair, by)
+    return (((by >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)) << np.uint64(40) | (pair & np.uint64((1 << 40) - 1))
 
 
-def pair_key(prev: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return common.mix64(common.mix64(prev + np.uint64(1)) + key)
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(values: np.ndarray, sort: bool = False) -> bytes:
+    """Integers from 0 on, or the differences of rising ones, as compressed planes of bytes."""
+    values = values.astype("<u8")
+    if sort:
+        values = np.diff(values, prepend=np.uint64(0))
+    planes = (int(values.max(initial=0)).bit_length() + 7) // 8
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    return len(values).to_bytes(4, "little") + bytes([planes]) + (_CODEC.compress(raw, asbytes=True) if raw.size else b"")
+
+
+def unpack(blob: bytes, sort: bool = False) -> np.ndarray:
+    n, planes = int.from_bytes(blob[:4], "little"), blob[4]
+    out = np.zeros((n, 8), np.uint8)
+    if n and planes:
+        out[:, :planes] = np.frombuffer(_CODEC.decompress(blob[5:], n * planes), np.uint8).reshape(planes, n).T
+    values = out.view("<u8").reshape(n)
+    return np.cumsum(values, dtype=np.uint64) if sort else values
 
 
 def spelled(data: np.ndarray, start: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -218,10 +253,13 @@ def spelled(data: np.ndarray, start: np.ndarray, length: np.ndarray, table: np.n
     return np.add.reduceat(logs, ends[:-1])
 
 
+#: Columns of the counts of a word: contexts it continues; occurrences as context; pairs it starts that were seen once, twice, more often.
+COUNTS = ("cont", "total", "one", "two", "more")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, word, n): counts of the words of all rows; each slice of a text counts its own first."""
+    """(word, n): counts of the words of all rows; each slice of a text counts its own first."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    with_key = pa.schema([("key", pa.int64()), *schema])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,247 +270,383 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 words = [whole[i : i + k] for i, k in zip(start[first].tolist(), length[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], schema=schema)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = common.arrow_map(docs.select(F.col("text").alias("_text")), kernel, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """(key, n) of (word, n)."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = np.full(batch.num_rows, REPEATED)
             _, found, row, _, _ = words_in(batch.column("word"))
             key[row] = found  # a row is one word, or empty
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("word").cast(pa.string()), batch.column("n")], schema=with_key)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n")], schema=schema)
 
-    found = common.arrow_map(docs.select(F.col("text").alias("_text")), kernel, "word string, n long")
-    return common.arrow_map(found.groupBy("word").agg(F.sum("n").alias("n")), keyed, "key long, word string, n long")  # keys do not travel
+    return common.arrow_map(words, kernel, "key long, n long")
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(prev, key, n): counts of the pairs of words of all rows; a task counts HELD words at a time first."""
-    schema = pa.schema([("prev", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+def pair_counts(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """Counted pairs of all rows: (shard, blob) with the pairs of a shard and their counts, the
+    words' counts (key, then COUNTS; several rows may add up for a word), and (n1 .. n4), how many
+    pairs of the shard were seen so often. A repeated word is no context: such pairs count for the word alone.
+    """
+    found = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
+    made = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in ("key", *COUNTS, "n1", "n2", "n3", "n4")]])
 
     def emit(got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        prev, key, pair = (np.concatenate(x) for x in zip(*got, strict=True))
-        _, first, n = np.unique(pair, return_index=True, return_counts=True)
-        prev, key = prev[first].view(np.int64), key[first].view(np.int64)
-        for low in range(0, len(n), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in (prev, key, n)], schema=schema)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        place = pair_places(prev, key, shards, hot)
+        _, first, n = np.unique(place, return_index=True, return_counts=True)
+        shard = (place[first] >> np.uint64(40)).astype(np.int64)
+        order = np.lexsort((key[first], prev[first], shard))
+        shard, prev, key, n = shard[order], prev[first][order], key[first][order], n[order]
+        ends = np.searchsorted(shard, np.arange(shards + 1))
+        live = np.flatnonzero(np.diff(ends))
+        for some in np.array_split(live, max(1, len(live) // 64)):
+            blobs = [_bundle(prev[ends[k] : ends[k + 1]], key[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]) for k in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], schema=found)
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for batch in batches:
             for part in common.slices(batch, "_text"):
                 _, key, row, _, _ = words_in(part.column(0))
-                prev, pair = pairs_of(key, row)
-                got.append((prev, key, pair))
+                got.append((before(key, row), key))
                 held += len(key)
                 if held > HELD:
                     yield from emit(got)
                     got, held = [], 0
-        if got:
+        if held:
             yield from emit(got)
 
-    found = common.arrow_map(docs.select(F.col("text").alias("_text")), kernel, "prev long, key long, n long")
-    return found.groupBy("prev", "key").agg(F.sum("n").alias("n"))
+    def finish(shard: int, prev: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        real = prev != REPEATED
+        place = pair_places(prev[real], key[real], shards, hot)
+        order = np.argsort(place)
+        real_n = n[real]
+        few = [int((real_n == k).sum()) for k in (1, 2, 3, 4)]
+        blob = _bundle(place[order] & np.uint64((1 << 40) - 1), None, real_n[order])
+        words, at = np.unique(np.concatenate([key, prev[real]]), return_inverse=True)
+        of_key, of_prev = at[: len(key)], at[len(key) :]
+        add = lambda where, what=None: np.bincount(where, weights=what, minlength=len(words)).astype(np.int64)
+        columns = [add(of_key), add(of_prev, real_n), add(of_prev[real_n == 1]), add(of_prev[real_n == 2]), add(of_prev[real_n > 2])]
+        first = [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), *[pa.nulls(1, pa.int64()) for _ in range(6)], *[pa.array([x], pa.int64()) for x in few]]
+        yield pa.RecordBatch.from_arrays(first, schema=made)
+        for low in range(0, len(words), 50_000):
+            some = slice(low, low + 50_000)
+            size = len(words[some])
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.array(words[some].view(np.int64)), *[pa.array(c[some]) for c in columns], *[pa.nulls(size, pa.int64()) for _ in range(4)]], schema=made)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, got = None, 0, []
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if shard != own:
+                    if got:
+                        yield from finish(own, *_merged(got))
+                    own, held, got = shard, 0, []
+                got.append(_unbundle(blob, True))
+                held += len(got[-1][0])
+                if held > HELD:  # what is held shrinks to its distinct pairs
+                    got = [_merged(got)]
+                    held = 0
+        if got:
+            yield from finish(own, *_merged(got))
 
+    sent = common.arrow_map(docs.select(F.col("text").alias("_text")), count_pairs, "shard int, blob binary")
+    sent = sent.repartition("shard").sortWithinPartitions("shard")
+    return sent.mapInArrow(merge, "shard int, blob binary, " + ", ".join(f"{c} long" for c in ("key", *COUNTS, "n1", "n2", "n3", "n4")))
 
-class Words:
-    """The trained model: `shares` (key, share), the mass left to the spelling, and its table.
 
-    Of order 2, `shares` has `hand` too: log2 of the mass that a word, as context, hands down; rows
-    of pairs have the bits they add in `share` and no `hand`.
-    """
+def _bundle(sorted_: np.ndarray, key: np.ndarray | None, n: np.ndarray) -> bytes:
+    """Sorted numbers, with keys or without, and counts, in one blob."""
+    parts = [pack(sorted_, True), *([] if key is None else [pack(key)]), pack(n)]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
-    def __init__(self, shares: DataFrame, mass: float, model: Model, order: int = 1):
-        self.shares, self.mass, self.model, self.order = shares, mass, model, order
 
+def _unbundle(blob: bytes, keys: bool) -> tuple[np.ndarray, ...]:
+    out, at = [], 0
+    for k in range(3 if keys else 2):
+        size = int.from_bytes(blob[at : at + 4], "little")
+        out.append(unpack(blob[at + 4 : at + 4 + size], k == 0))
+        at += 4 + size
+    return tuple(out)
 
-def _cut(counts: DataFrame) -> F.Column:
-    d1, d2, d3 = _discounts(counts)
-    n = F.col("n")
-    return F.least(F.when(n == 1, d1).when(n == 2, d2).otherwise(d3), n.cast("double"))
 
+def _merged(got: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal pairs added; sorted by the first word, then by the second."""
+    prev, key, n = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((key, prev))
+    prev, key, n = prev[order], key[order], n[order].astype(np.int64)
+    new = np.flatnonzero(np.append(True, (prev[1:] != prev[:-1]) | (key[1:] != key[:-1])))
+    return prev[new], key[new], np.add.reduceat(n, new)
 
-def train(trusted: DataFrame, order: int = 1) -> Words:
-    """All levels, from all words of all rows of `trusted`. No words: all mass goes to a uniform spelling.
 
-    Order 1 counts words; order 2 counts pairs, and of words the contexts.
-    """
-    scratch = common.Scratch(trusted.sparkSession)
-    counts = word_counts(trusted)
-    if order > 1:
-        pairs = scratch.keep(pair_counts(trusted))
-        counts = counts.drop("n").join(pairs.groupBy("key").agg(F.count("*").alias("n")), "key")
-    counts = scratch.keep(counts)
-    cut = _cut(counts)
-    total, freed = counts.agg(F.sum("n"), F.sum(cut)).first()
-    mass = float(freed) / total if total else 1.0
-    shares = counts.select("key", ((F.col("n") - cut) / float(total or 1)).alias("share"))
-    model = spelling(counts.select(F.concat("word", F.lit(" ")).alias("text")))
-    if order > 1:
-        shares = _with_pairs(counts.select("key", "word", ((F.col("n") - cut) / float(total or 1)).alias("share")), pairs, mass, model, scratch)
-    return Words(scratch.tie(shares), mass, model, order)
+class Words:
+    """The trained model.
 
+    `counts` (key, then COUNTS) of the words, `pairs` (shard, blob) of counted pairs or None for
+    order 1, the discounts of both levels, the sum of all `cont`, the mass left to the spelling and its model.
+    """
 
-def _with_pairs(words: DataFrame, pairs: DataFrame, mass: float, model: Model, scratch: common.Scratch) -> DataFrame:
-    """(key, share, hand) of words and of pairs; see Words."""
-    low_schema = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("low", pa.float64())])
-    bonus_schema = pa.schema([("key", pa.int64()), ("share", pa.float64()), ("hand", pa.float64())])
+    def __init__(self, counts: DataFrame, pairs: DataFrame | None, word_cut: tuple, pair_cut: tuple, of_all: int, mass: float, model: Model, shards: int, hot: np.ndarray):
+        self.counts, self.pairs, self.word_cut, self.pair_cut, self.of_all, self.mass, self.model, self.shards, self.hot = counts, pairs, word_cut, pair_cut, of_all, mass, model, shards, hot
 
-    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
-        for batch in batches:
-            data, offsets = common.buffer_of(batch.column("word"))
-            share = batch.column("share").to_numpy()
-            low = share + mass * np.exp2(spelled(data, offsets[:-1], np.diff(offsets), table))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("share"), pa.array(low)], schema=low_schema)
+    @property
+    def shares(self) -> DataFrame:
+        """(key, share) of the words: what the discounts leave of their counts."""
+        d1, d2, d3 = self.word_cut
+        n = F.col("cont")
+        return self.counts.where("cont > 0").select("key", ((n - F.least(F.when(n == 1, d1).when(n == 2, d2).otherwise(d3), n.cast("double"))) / float(self.of_all)).alias("share"))
 
-    def bonus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prev, key = (batch.column(c).to_numpy().view(np.uint64) for c in ("prev", "key"))
-            bits = np.log2(1 + batch.column("ratio").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(prev, key).view(np.int64)), pa.array(bits), pa.nulls(len(bits), pa.float64())], schema=bonus_schema)
-
-    pairs = pairs.where(F.col("prev") != F.lit(int(REPEATED)))
-    cut = _cut(pairs)
-    contexts = pairs.groupBy(F.col("prev").alias("key")).agg(F.sum("n").cast("double").alias("total"), F.sum(cut).alias("freed"))
-    both = scratch.keep(common.arrow_map(words, lows, "key long, share double, low double").join(contexts, "key", "left"))
-    found = pairs.withColumn("over", F.col("n") - cut).join(both.select("key", "low"), "key").join(both.select(F.col("key").alias("prev"), "freed"), "prev")
-    ratio = F.col("over") / (F.col("freed") * F.col("low"))  # (over / total) / (freed / total * low)
-    seen = common.arrow_map(found.select("prev", "key", ratio.alias("ratio")), bonus, "key long, share double, hand double")
-    return both.select("key", "share", F.log2(F.col("freed") / F.col("total")).alias("hand")).union(seen)
+    def low(self, cont: np.ndarray, spelled_: np.ndarray) -> np.ndarray:
+        return (cont - _discount(cont, self.word_cut)) / max(self.of_all, 1) + self.mass * np.exp2(spelled_)
 
 
-_META = "meta struct<row: int, row_key: long, doc_id: long, lang: string, n_symbols: long>"
-_META_TYPE = pa.struct([("row", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64())])
+def _discount(n: np.ndarray, cut: tuple) -> np.ndarray:
+    return np.minimum(np.array([0.0, *cut])[np.minimum(n, 3).astype(np.int64)], n)
 
 
-def _entries(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, the first place of each, and by rising key the number of the key and the entry."""
-    distinct, first, at = np.unique(key, return_index=True, return_inverse=True)
-    pair, n = np.unique((at.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64), return_counts=True)
-    times = -(-n // 4)
-    pair, code = np.repeat(pair, times), np.full(int(times.sum()), 3, np.int64)
-    code[np.cumsum(times) - 1] = (n - 1) % 4
-    return distinct, first, (pair >> np.uint64(32)).astype(np.uint32), ((pair & np.uint64(0xFFFF)).astype(np.int64) * 4 + code).astype(_ENTRY)
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """D1, D2, D3+ from the numbers of things seen 1 to 4 times."""
+    n1, n2, n3, n4 = (max(float(x or 0), 1.0) for x in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    bound = lambda d, most: min(max(d, 0.05), most)
+    return bound(1 - 2 * y * n2 / n1, 0.95), bound(2 - 3 * y * n3 / n2, 1.95), bound(3 - 4 * y * n4 / n3, 2.95)
 
 
-def _listed(rows: DataFrame, model: Model, order: int = 1) -> DataFrame:
-    """Of each group of rows: every distinct word with its spelling and entries, and a row for each document.
+def train(trusted: DataFrame, order: int = 1, shards: int = SHARDS_LEAST) -> Words:
+    """All levels, from all words of all rows of `trusted`. No words: all mass goes to a uniform spelling.
 
-    Of order 2, every distinct pair with its entries too, without a spelling.
+    Order 1 counts words; order 2 counts pairs, and of words the contexts. Words that make more than
+    a quarter of a shard (so at most 4 * shards of them) are hot: their pairs are dealt to all shards.
     """
-    schema = pa.schema([("key", pa.int64()), ("grp", pa.int64()), ("spell", pa.float32()), ("entries", pa.binary()), ("meta", _META_TYPE)])
-
-    def emit(grp: int, got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        meta = pa.Table.from_batches([g[0] for g in got])
-        n = meta.num_rows
-        at = (np.uint64(grp) << np.uint64(16)) | np.arange(n, dtype=np.uint64)
-        columns = [pa.concat_arrays(meta.column(c).chunks) for c in ("row_key", "doc_id", "lang")]
-        own = pa.StructArray.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *columns, pa.array(np.concatenate([g[5] for g in got]))], fields=list(_META_TYPE))
-        yield pa.RecordBatch.from_arrays([pa.array(common.mix64(at).view(np.int64)), pa.array(np.full(n, grp)), pa.nulls(n, pa.float32()), pa.nulls(n, pa.binary()), own], schema=schema)
-        yield from lists(grp, [(g[1], g[3], g[4]) for g in got], [g[2] for g in got])
-        if order > 1:
-            for k in range(PAIR_RANGES):  # a range of keys at a time, to hold less
-                low, high = np.uint64(k * ((1 << 64) // PAIR_RANGES)), np.uint64((k + 1) * ((1 << 64) // PAIR_RANGES) - 1)
-                some = []
-                for *_, (distinct, number, entry) in got:
-                    a, b = np.searchsorted(distinct, low), np.searchsorted(distinct, high, side="right")
-                    c, d = np.searchsorted(number, [a, b])
-                    some.append((distinct[a:b], number[c:d] - np.uint32(a), entry[c:d]))
-                yield from lists(grp, some, None)
-
-    def lists(grp: int, parts: list[tuple], spells: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-        distinct, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        if not len(distinct):
-            return
-        spell = pa.nulls(len(distinct), pa.float32()) if spells is None else pa.array(np.concatenate(spells)[first])
-        word = np.concatenate([np.searchsorted(distinct, p[0]).astype(np.uint32)[p[1]] for p in parts])
-        entry = np.concatenate([p[2] for p in parts])[np.argsort(word, kind="stable")]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(distinct)))]) * _ENTRY.itemsize
-        for low in range(0, len(distinct), 50_000):
-            high = min(low + 50_000, len(distinct))
-            offs = (ends[low : high + 1] - ends[low]).astype(np.int32)
-            data = entry[ends[low] // _ENTRY.itemsize : ends[high] // _ENTRY.itemsize].tobytes()
-            blob = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[low:high].view(np.int64)), pa.array(np.full(high - low, grp)), spell.slice(low, high - low), blob, pa.nulls(high - low, _META_TYPE)], schema=schema)
+    scratch = common.Scratch(trusted.sparkSession)
+    words = scratch.keep(word_counts(trusted))
+    model = spelling(words.select(F.concat("word", F.lit(" ")).alias("text")))
+    hot, pairs, pair_cut = np.zeros(0, np.uint64), None, (0.0, 0.0, 0.0)
+    if order > 1:
+        total = words.agg(F.sum("n")).first()[0] or 0
+        found = keyed(words.where(F.col("n") > total / (4.0 * shards))).toPandas()
+        hot = np.sort(found.key.to_numpy(np.int64).view(np.uint64))
+        made = scratch.keep(pair_counts(trusted, shards, hot))
+        pairs = made.where("blob is not null").select("shard", "blob")
+        pair_cut = _discounts_of(*made.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first())
+        counts = made.where("key is not null").groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    else:
+        counts = keyed(words).select("key", F.col("n").alias("cont"), *[F.lit(0).cast("long").alias(c) for c in COUNTS[1:]])
+    counts = scratch.keep(counts)
+    scratch.free(words)
+    n = F.col("cont")
+    facts = counts.agg(F.sum(n), *[F.count(F.when(n == k, 1)) for k in (1, 2, 3, 4)], F.count(F.when(n > 2, 1))).first()
+    word_cut = _discounts_of(*facts[1:5])
+    of_all = int(facts[0] or 0)
+    mass = (word_cut[0] * facts[1] + word_cut[1] * facts[2] + word_cut[2] * facts[5]) / of_all if of_all else 1.0
+    return Words(scratch.tie(counts), pairs, word_cut, pair_cut, of_all, mass, model, shards, hot)
+
+
+_META = "meta array<struct<row_key: long, doc_id: long, lang: string, n_symbols: long, words: long>>"
+_META_TYPE = pa.list_(pa.struct([("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("words", pa.int64())]))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(group, slice of rows, whether it is the group's last); the same for each reading of the same rows."""
+    grp, held, size, last = None, 0, 0, None
+    for batch in batches:
+        if grp is None and batch.num_rows:
+            grp = batch.column("_part")[0].as_py() << 24
+        for part in common.slices(batch, "_text"):
+            if last is not None:
+                full = size > GROUP_BYTES or held > GROUP_ROWS
+                yield grp, last, full
+                if full:
+                    grp, held, size = grp + 1, 0, 0
+            last = part
+            held, size = held + part.num_rows, size + part.nbytes
+    if last is not None:
+        yield grp, last, True
+
+
+def _by_shard(grp: int, place: np.ndarray, bits: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Sorted places of a group as one packed question to each shard."""
+    ends = np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64) << np.uint64(bits))
+    live = np.flatnonzero(np.diff(ends))
+    low = np.uint64((1 << bits) - 1)
+    for some in np.array_split(live, max(1, len(live) // 256)):
+        blobs = [pack(place[ends[k] : ends[k + 1]] & low, True) for k in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), grp)), pa.array(blobs, pa.binary())], names=["shard", "grp", "blob"])
+
+
+def _asked(rows: DataFrame, words: Words, pairs: bool) -> DataFrame:
+    """(shard, grp, blob): the distinct words, or pairs, of each group of rows, packed by shard."""
+    shards, hot = words.shards, words.hot
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.table()
-        grp = TaskContext.get().partitionId() << 24
-        got, held, bytes_ = [], 0, 0
-        for batch in batches:
-            for part in common.slices(batch, "_text"):
-                if got and (bytes_ > GROUP_BYTES or held + part.num_rows > GROUP_ROWS):
-                    yield from emit(grp, got)
-                    grp, got, held, bytes_ = grp + 1, [], 0, 0
-                data, key, row, start, length = words_in(part.column("_text"))
-                distinct, first, number, entry = _entries(key, row + held)
-                pairs = ()
-                if order > 1:
-                    pair, _, *rest = _entries(pairs_of(key, row)[1], row + held)
-                    pairs = (pair, *rest)
-                size = np.bincount(row, weights=length + 1, minlength=part.num_rows).astype(np.int64)
-                meta = part.select(["row_key", "doc_id", "lang"])
-                got.append((meta, distinct, spelled(data, start[first], length[first], table).astype(np.float32), number, entry, size, pairs))
-                held, bytes_ = held + part.num_rows, bytes_ + len(data)
-        if got:
-            yield from emit(grp, got)
+        got, held = [], 0
+        for grp, part, ends in _groups(batches):
+            _, key, row, _, _ = words_in(part.column("_text"))
+            if pairs:
+                prev = before(key, row)
+                real = prev != REPEATED
+                found = pair_places(prev[real], key[real], shards, hot)
+            else:
+                found = word_places(key, shards)
+            got.append(np.unique(found))
+            held += len(got[-1])
+            if ends or held > HELD:
+                got, held = [np.unique(np.concatenate(got))], 0
+            if ends:
+                yield from _by_shard(grp, got[0], 40 if pairs else 48, shards)
+                got = []
 
-    return common.arrow_map(rows, kernel, "key long, grp long, spell float, entries binary, " + _META)
+    return common.arrow_map(rows, kernel, "shard int, grp long, blob binary")
 
 
-def _summed(joined: DataFrame, mass: float) -> DataFrame:
-    """Entries to (grp, sums): log2 of probabilities summed for each document of a group; its own rows pass."""
-    schema = pa.schema([("grp", pa.int64()), ("sums", pa.binary()), ("meta", _META_TYPE)])
+def _answered(asked: DataFrame, words: Words, pairs: bool) -> DataFrame:
+    """(grp, shard, kind, blobs): the counts of what was asked, in the order asked; 0 where not seen.
 
-    def emit(got: list[tuple]) -> Iterator[pa.RecordBatch]:
-        grp, row, bits = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((row, grp))
-        grp, row, bits = grp[order], row[order], bits[order]
-        new = np.flatnonzero(np.append(True, (grp[1:] != grp[:-1]) | (row[1:] != row[:-1])))
-        out = np.empty(len(new), _SUM)
-        out["row"], out["bits"], grp = row[new], np.add.reduceat(bits, new), grp[new]
-        at = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp))
-        sums = [out[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(grp[at[:-1]]), pa.array(sums, pa.binary()), pa.nulls(len(sums), _META_TYPE)], schema=schema)
+    A task holds the counts of one shard (SHARD_BYTES of text, while there are less than SHARDS_MOST);
+    questions stream past them.
+    """
+    count = 1 if pairs else len(COUNTS)
+    schema = pa.schema([("grp", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("blobs", pa.list_(pa.binary())), ("meta", _META_TYPE)])
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", *COUNTS)]
+    if pairs:
+        model = words.pairs.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("grp"), "blob", *none)
+    else:
+        shard = F.shiftright(F.shiftright("key", 24) * words.shards, 24).cast("int")
+        model = words.counts.select(shard.alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("grp"), F.lit(None).cast("binary").alias("blob"), "key", *COUNTS)
+
+    def arrays(got: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not got:
+            return np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * count
+        key, *values = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(key)
+        return key[order], [v[order] for v in values]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, held = [], 0
+        own, got, ready = None, [], None
         for batch in batches:
-            entries = batch.column("entries")
-            own = batch.filter(entries.is_null())
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("grp"), pa.nulls(own.num_rows, pa.binary()), own.column("meta").cast(_META_TYPE)], schema=schema)
-            # a pair that was not seen adds nothing
-            batch = batch.filter(pa.compute.and_(entries.is_valid(), pa.compute.or_(batch.column("spell").is_valid(), batch.column("share").is_valid())))
-            if not batch.num_rows:
-                continue
-            blobs = batch.column("entries").to_pylist()
-            entry = np.frombuffer(b"".join(blobs), _ENTRY)
-            many = np.array([len(b) for b in blobs]) // _ENTRY.itemsize
-            share = batch.column("share").to_numpy(zero_copy_only=False)
-            spell = batch.column("spell").to_numpy(zero_copy_only=False).astype(float)  # none: a pair
-            bits = np.where(np.isnan(spell), np.nan_to_num(share), np.log2(np.nan_to_num(share) + mass * np.exp2(np.nan_to_num(spell)) + 1e-300))
-            if "hand" in batch.schema.names:
-                bits = bits + np.nan_to_num(batch.column("hand").to_numpy(zero_copy_only=False))
-            got.append((np.repeat(batch.column("grp").to_numpy(), many), (entry >> 2).astype(np.int64), np.repeat(bits, many) * ((entry & 3) + 1)))
-            held += len(entry)
-            if held > HELD:
-                yield from emit(got)
-                got, held = [], 0
-        if got:
-            yield from emit(got)
-
-    return common.arrow_map(joined, kernel, "grp long, sums binary, " + _META)
+            shard, kind = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+            out = []
+            for low, high in _runs(shard, kind):
+                if shard[low] != own:
+                    own, got, ready = shard[low], [], None
+                if kind[low] == 0:
+                    if pairs:
+                        got += [_unbundle(b, False) for b in batch.column("blob").slice(low, high - low).to_pylist()]
+                    else:
+                        got.append(tuple(batch.column(c).slice(low, high - low).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("key", *COUNTS)))
+                    continue
+                if ready is None:
+                    ready, got = arrays(got), []
+                key, values = ready
+                for grp, blob in zip(batch.column("grp").slice(low, high - low).to_pylist(), batch.column("blob").slice(low, high - low).to_pylist(), strict=True):
+                    ask = unpack(blob, True)
+                    at = np.minimum(np.searchsorted(key, ask), max(len(key) - 1, 0))
+                    hit = key[at] == ask if len(key) else np.zeros(len(ask), bool)
+                    out.append((grp, int(own), int(pairs), [pack(np.where(hit, v[at], 0) if len(key) else np.zeros(len(ask))) for v in values], None))
+            if out:
+                yield common.batch_of(schema, zip(*out, strict=True))
+
+    both = model.unionByName(asked.select("shard", F.lit(1).alias("kind"), "grp", "blob", *none))
+    both = both.repartition("shard").sortWithinPartitions("shard", "kind")
+    return both.mapInArrow(kernel, "grp long, shard int, kind int, blobs array<binary>, " + _META)
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of rows with equal values."""
+    n = len(columns[0])
+    if n:
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        yield from zip([0, *cut.tolist()], [*cut.tolist(), n], strict=True)
+
+
+def _numbered(rows: DataFrame, model: Model) -> DataFrame:
+    """The groups once more, as rows of _answered(): kind 2, the places of the distinct words and the
+    bits of their spelling (in 1 / 1024); kind 3, slices of the words' numbers with `meta` of the documents.
+    """
+    schema = pa.schema([("grp", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("blobs", pa.list_(pa.binary())), ("meta", _META_TYPE)])
 
+    def row(grp: int, at: int, kind: int, blobs: list[bytes], meta: pa.Array | None) -> pa.RecordBatch:
+        meta = pa.nulls(1, _META_TYPE) if meta is None else pa.ListArray.from_arrays(pa.array([0, len(meta)], pa.int32()), meta)
+        return pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([at], pa.int32()), pa.array([kind], pa.int32()), pa.array([blobs], pa.list_(pa.binary())), meta], schema=schema)
 
-def _finished(table: pa.Table) -> pa.Table:
-    """One group: the sums of all shards (their size is bounded by the group's text) to its documents."""
-    own = pa.Table.from_batches([pa.RecordBatch.from_struct_array(c) for c in table.column("meta").drop_null().chunks])
-    total = np.zeros(GROUP_ROWS)
-    for blob in table.column("sums").drop_null().to_pylist():
-        found = np.frombuffer(blob, _SUM)  # a document occurs once in each
-        total[found["row"]] += found["bits"]
-    size = own.column("n_symbols").to_numpy()
-    value = np.exp2(-total[own.column("row").to_numpy()] / np.maximum(size, 1))
-    return own.select(["row_key", "doc_id", "lang", "n_symbols"]).append_column("perplexity", pa.array(value))
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        known, bits, got = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        for grp, part, ends in _groups(batches):
+            data, key, where, start, length = words_in(part.column("_text"))
+            distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+            new = known[at] != distinct if len(known) else np.ones(len(distinct), bool)
+            fresh = first[new]
+            known = np.concatenate([known, distinct[new]])
+            bits = np.concatenate([bits, np.rint(-1024 * spelled(data, start[fresh], length[fresh], table)).astype(np.int64)])
+            order = np.argsort(known, kind="stable")
+            known, bits = known[order], bits[order]
+            n = part.num_rows
+            meta = [part.column("row_key"), part.column("doc_id"), part.column("lang"), pa.array(np.bincount(where, weights=length + 1, minlength=n).astype(np.int64)), pa.array(np.bincount(where, minlength=n).astype(np.int64))]
+            got.append((distinct, inverse.astype(np.uint32), pa.StructArray.from_arrays(meta, fields=list(_META_TYPE.value_type))))
+            if ends:
+                yield row(grp, 0, 2, [pack(known, True), pack(bits)], None)
+                for k, (own, inverse, meta) in enumerate(got):
+                    yield row(grp, k, 3, [pack(np.searchsorted(known, own)[inverse])], meta)
+                known, bits, got = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    return common.arrow_map(rows, kernel, "grp long, shard int, kind int, blobs array<binary>, " + _META)
+
+
+def _finisher(words: Words):
+    """One group: answers to its documents. All of it is bounded by the group's text."""
+    shards, hot, order = words.shards, words.hot, 1 if words.pairs is None else 2
+    fixed = Words(None, None, words.word_cut, words.pair_cut, words.of_all, words.mass, None, shards, hot)
+    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
+
+    def finish(table: pa.Table) -> pa.Table:
+        kind, shard = table.column("kind").to_numpy(), table.column("shard").to_numpy()
+        blobs, meta = table.column("blobs").combine_chunks(), table.column("meta").combine_chunks()
+        rows_of = lambda k: [i for i in np.argsort(shard, kind="stable").tolist() if kind[i] == k]
+        key, spell = (unpack(b, s) for b, s in zip(blobs[rows_of(2)[0]].as_py(), (True, False), strict=True))
+        got = [[unpack(b) for b in blobs[i].as_py()] for i in rows_of(0)]
+        cont, total, one, two, more = (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 5
+        if len(cont) != len(key):
+            raise RuntimeError("rows changed between two readings of the documents")
+        low = fixed.low(cont, spell.astype(float) / -1024)
+        d1, d2, d3 = fixed.pair_cut
+        seen = np.maximum(total, 1)
+        hand = np.where((total > 0) & (key != REPEATED), (d1 * one + d2 * two + d3 * more) / seen, 1.0) if order > 1 else np.ones(len(key))
+        parts = [(unpack(blobs[i].as_py()[0]).astype(np.uint32), meta[i]) for i in rows_of(3)]
+        number = np.concatenate([p[0] for p in parts])
+        own = pa.concat_arrays([p[1].values for p in parts])
+        size = own.field("words").to_numpy()
+        start = np.cumsum(size) - size
+        prev = np.empty_like(number)
+        if len(number):
+            prev[1:] = number[:-1]
+            full = size > 0
+            prev[start[full]] = number[(start + size - 1)[full]]
+        p = hand[prev] * low[number]
+        if order > 1:
+            real = np.flatnonzero(key[prev] != REPEATED)
+            place, at = np.unique(pair_places(key[prev[real]], key[number[real]], shards, hot), return_inverse=True)
+            found = [unpack(blobs[i].as_py()[0]) for i in rows_of(1)]
+            count = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+            if len(count) != len(place):
+                raise RuntimeError("rows changed between two readings of the documents")
+            hit = count[at] > 0
+            real, n = real[hit], count[at[hit]]
+            p[real] += (n - _discount(n, fixed.pair_cut)) / seen[prev[real]]
+        bits = np.rint(np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(bits)])
+        n_symbols = own.field("n_symbols").to_numpy()
+        value = np.exp2((sums[start] - sums[start + size]) / UNIT / np.maximum(n_symbols, 1))
+        return pa.Table.from_arrays([own.field("row_key"), own.field("doc_id"), own.field("lang"), own.field("n_symbols"), pa.array(value)], schema=schema)
+
+    return finish
 
 
 def row_key() -> F.Column:
@@ -483,14 +657,26 @@ def held_out() -> F.Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)) == 0
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def score(docs: DataFrame, words: Words) -> DataFrame:
     """(row_key, doc_id, lang, n_symbols, perplexity) of every row; null text counts as empty, null lang as ''.
 
-    No symbols: perplexity 1.
+    No symbols: perplexity 1. The rows are read once for each question and once for the sums, and
+    must come in the same order each time: what is not a plain read of files is written first.
     """
+    scratch = common.Scratch(docs.sparkSession)
     rows = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").alias("_text"))
-    summed = _summed(_listed(rows, words.model, words.order).join(words.shares, "key", "left"), words.mass)
-    return summed.groupBy("grp").applyInArrow(_finished, "row_key long, doc_id long, lang string, n_symbols long, perplexity double")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        rows = scratch.keep(rows)
+    rows = rows.withColumn("_part", F.spark_partition_id())  # of the read itself, also under a union
+    answers = scratch.keep(_answered(_asked(rows, words, False), words, False))
+    if words.pairs is not None:
+        answers = answers.union(scratch.keep(_answered(_asked(rows, words, True), words, True)))
+    every = answers.union(_numbered(rows, words.model))
+    return scratch.tie(every.groupBy("grp").applyInArrow(_finisher(words), "row_key long, doc_id long, lang string, n_symbols long, perplexity double"))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -510,8 +696,10 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession)
-    words = train(trusted_rows(docs, labels).where(~held_out()), order=2)
-    scored = scratch.keep(score(docs, words))
+    words = train(trusted_rows(docs, labels).where(~held_out()), order=2, shards=shards_for(text_bytes(docs)))
+    found = score(docs, words)
+    scored = scratch.keep(found)
+    common.release(found, words.counts)
     held = common.small_join(scored, good_ids(labels).where(held_out()), "doc_id", "left_semi")
     rest = held.where("n_symbols > 0").agg(F.percentile_approx("perplexity", QUANTILE, ACCURACY)).first()[0]
     limits = thresholds(held)
