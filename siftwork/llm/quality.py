@@ -39,9 +39,9 @@ ACCURACY = 100_000
 #: One trusted row in so many is kept from training and sets the thresholds.
 FOLDS = 5
 #: A group of documents ends at so many bytes of text, or rows.
-GROUP_BYTES, GROUP_ROWS = 32 << 20, 1 << 17
+GROUP_BYTES, GROUP_ROWS = 16 << 20, 1 << 16
 #: Pairs that a counting task holds before it hands on.
-HELD = 3 << 20
+HELD = 2 << 20
 #: Bytes of text for which there is one shard of the counts, and the fewest and most shards.
 SHARD_BYTES, SHARDS_LEAST, SHARDS_MOST = 4 << 20, 16, 1 << 16
 #: Words as keys: 48 bits, so that a word shares its key with one of 10^8 others with a chance of 4e-7.
@@ -661,9 +661,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def score(docs: DataFrame, words: Words) -> DataFrame:
+def score(docs: DataFrame, words: Words, last: bool = False) -> DataFrame:
     """(row_key, doc_id, lang, n_symbols, perplexity) of every row; null text counts as empty, null lang as ''.
 
+    With `last`, the model's tables are let go of as soon as they have answered.
+
     No symbols: perplexity 1. The rows are read once for each question and once for the sums, and
     must come in the same order each time: what is not a plain read of files is written first.
     """
@@ -675,6 +677,8 @@ def score(docs: DataFrame, words: Words) -> DataFrame:
     answers = scratch.keep(_answered(_asked(rows, words, False), words, False))
     if words.pairs is not None:
         answers = answers.union(scratch.keep(_answered(_asked(rows, words, True), words, True)))
+    if last:
+        common.release(words.counts)
     every = answers.union(_numbered(rows, words.model))
     return scratch.tie(every.groupBy("grp").applyInArrow(_finisher(words), "row_key long, doc_id long, lang string, n_symbols long, perplexity double"))
 
@@ -697,9 +701,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession)
     words = train(trusted_rows(docs, labels).where(~held_out()), order=2, shards=shards_for(text_bytes(docs)))
-    found = score(docs, words)
+    found = score(docs, words, last=True)
     scored = scratch.keep(found)
-    common.release(found, words.counts)
+    common.release(found)
     held = common.small_join(scored, good_ids(labels).where(held_out()), "doc_id", "left_semi")
     rest = held.where("n_symbols > 0").agg(F.percentile_approx("perplexity", QUANTILE, ACCURACY)).first()[0]
     limits = thresholds(held)
