@@ -21,8 +21,10 @@ from siftwork.llm.components import components
 HALVES, HALF_ROWS = 8, 2
 #: Buckets up to this size are compared pair by pair; larger ones through a central member, then in blocks.
 SMALL_BUCKET = 24
-#: Members of a block in the exact pass over large buckets.
-BLOCK = 256
+#: Members of a block in the exact pass over large buckets, and their shingles, as expected.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: A key is hot that more than one in HOT rows have; so there are fewer than HOT of them.
+HOT = 1000
 
 
 def word_bytes() -> np.ndarray:
@@ -111,22 +113,49 @@ def _alike(inter, a, b, percent: int):
     return F.lit(100) * inter >= F.lit(percent) * (a + b - inter)
 
 
+def _hot(table: DataFrame, total: int) -> F.Column:
+    """Of a table with the number n of rows that have its key: whether the key is hot."""
+    return F.col("n") > F.lit(max(256, total // HOT))
+
+
+def _dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with `table` (one row a key; n rows of `rows` have it) on keys that may be hot.
+
+    The fewer than HOT rows of `table` with hot keys are broadcast, the others join by a shuffle.
+    """
+    hot = F.broadcast(table.where(_hot(table, total)))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.where(~_hot(table, total)), keys))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose full sets are similar enough.
+
+    An id that is in very many pairs, as the centre of a large group is, has its set copied to as
+    many salts as its pairs would fill shares of 1 / HOT.
+    """
+    total = pairs.count()
+    share = max(256, total // HOT)
+    out = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(F.col(own).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > share)
+        many = F.broadcast(many.select("id", F.ceil(F.col("n") / share).cast("int").alias("_salts")))
+        full = sets.join(many, "id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        full = full.select(F.col("id").alias(own), "_salt", F.col("shingles").alias(f"_s{own}"))
+        out = out.join(many.withColumnRenamed("id", own), own, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+        out = out.join(full, [own, "_salt"]).drop("_salt")
     inter = F.size(F.array_intersect("_sa", "_sb"))
-    return both.where(_alike(inter, F.size("_sa"), F.size("_sb"), percent)).select("a", "b")
+    return out.where(_alike(inter, F.size("_sa"), F.size("_sb"), percent)).select("a", "b")
+
 
+def _linked_in_block(ids, flat, size, halves, comp, side, percent: int) -> list[tuple[int, int]]:
+    """Spanning links between rows of the two sides (0 and 1; on one side, all) of one block pair.
 
-def _linked_in_block(ids, sets, halves, comp, side, percent: int) -> list[tuple[int, int]]:
-    """Spanning links between rows of the two sides (0 and 1; on one side, all) of one block pair."""
+    `flat` has the shingles of all rows end to end, `size` how many each has.
+    """
     n = len(ids)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     values, inverse = np.unique(flat, return_inverse=True)
-    size = np.array([len(s) for s in sets], np.int64)
     first = np.flatnonzero(side == 0)
     second = np.flatnonzero(side == 1) if (side == 1).any() else first
     inter = np.zeros((len(first), len(second)), np.float32)
@@ -171,9 +200,10 @@ def _linked_in_block(ids, sets, halves, comp, side, percent: int) -> list[tuple[
 
 
 def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(signature table of all rows, (id, component) of the representatives that have links).
+    """(signature table of all rows, (id, component) of the doc_ids that have links or copies).
 
-    1. Rows with the same shingle set are one node, named by the smallest doc_id.
+    1. Rows with the same shingle set are one node, named by the smallest doc_id; a doc_id with
+       several sets links their nodes.
     2. Table keys with up to SMALL_BUCKET nodes give all pairs; larger ones give pairs with their
        most central node only, central being a member of many and large buckets.
     3. Pairs are verified on the full sets, and components are taken.
@@ -182,12 +212,22 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
        block inside tasks. Only links that join components come out. No candidate is dropped.
     """
     signs = scratch.keep(_signature_table(docs.where(F.col("doc_id").isNotNull()), words))
-    nodes = signs.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("halves").alias("halves"))
-    nodes = scratch.keep(nodes)
+    full = signs.where("n_shingles > 0")
+    name = ["set_a", "set_b", "n_shingles"]
+    nodes = scratch.keep(full.groupBy(*name).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min("halves").alias("halves")))
+    # Each row's node: its own id, unless others have the same set.
+    copies = nodes.where("n > 1").select(*name, "n", F.col("id").alias("_node"))
+    in_rows = signs.count()
+    copied = _dealt_join(full.select("doc_id", *name), copies, name, in_rows).select("doc_id", "_node")
+    copied = scratch.keep(copied.where("doc_id != _node").distinct())
+    # A doc_id with several texts links all that they are in.
+    several = scratch.keep(full.select("doc_id", *name).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    tied = common.small_join(copied, several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("_node").alias("b"))
     pair = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(HALVES - 1)), lambda i: F.transform(F.sequence(F.lit(HALVES), F.lit(2 * HALVES - 1)), lambda j: F.xxhash64(i, j, F.col("halves")[i], F.col("halves")[j])))))
     keyed = nodes.select("id", "n_shingles", pair.alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.keep(keyed.join(shared, "key"))
+    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    in_tables = shared.agg(F.sum("n")).first()[0] or 0
+    members = scratch.keep(_dealt_join(keyed, shared, ["key"], in_tables))
 
     small = members.where(F.col("n") <= SMALL_BUCKET)
     other = small.select("key", F.col("id").alias("_id"), F.col("n_shingles").alias("_size"))
@@ -198,45 +238,60 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     if any_hot:
         weight = hot.groupBy("id").agg(F.sum("n").alias("weight"))
         top = F.max(F.struct("weight", (-F.col("id")).alias("_less")))
-        centres = hot.join(weight, "id").groupBy("key").agg((-top["_less"]).alias("_centre"))
-        spokes = hot.join(centres, "key").where(F.col("id") != F.col("_centre"))
+        centres = hot.join(weight, "id").groupBy("key").agg((-top["_less"]).alias("_centre"), F.count("*").alias("n"))
+        spokes = _dealt_join(hot.drop("n"), scratch.keep(centres), ["key"], in_tables).where(F.col("id") != F.col("_centre"))
         spokes = scratch.keep(spokes.select(F.col("id").alias("a"), F.col("_centre").alias("b")).distinct())
         pairs = pairs.union(spokes.select("a", "b"))
     pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = scratch.keep(_set_table(common.small_join(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi"), words))
-    found = scratch.keep(_verified(pairs, sets, percent))
+    found = scratch.keep(_verified(pairs, sets, percent).union(tied))
     grouped = components(found, scratch)
+    scratch.free(shared, members)
     if any_hot:
         family = components(spokes.select("a", "b"), scratch).select("id", F.col("component").alias("family"))
         here = family.join(grouped, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
-        share = here.groupBy("family", "component").agg(F.count("*").alias("n"))
-        most = share.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-        here = scratch.keep(here.join(most.where("parts > 1"), "family"))
+        here = here.join(nodes.groupBy("id").agg(F.max("n_shingles").alias("_size")), "id")
+        share = here.groupBy("family", "component").agg(F.count("*").alias("rows"), F.sum("_size").alias("shingles"))
+        most = share.groupBy("family").agg(F.max(F.struct("rows", "component", "shingles")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"))
+        blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+        rest = blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))
+        most = scratch.keep(most.where("parts > 1").select("family", F.col("most.component").alias("largest"), blocks(F.col("rows"), F.col("shingles")).alias("blocks"), rest.alias("rest_blocks"), F.col("rows").alias("n")))
+        here = scratch.keep(_dealt_join(scratch.keep(here), most, ["family"], here.count()))
         if not here.isEmpty():
-            grouped = components(found.union(_exact_pass(here, sets, nodes, percent)), scratch)
-    return signs, grouped
+            found = scratch.keep(found.union(_exact_pass(here, sets, nodes, percent)))
+            grouped = components(found, scratch)
+    # Ids of copies take the component of the set's name.
+    of = copies.groupBy("_node").agg(F.sum("n").alias("n")).join(grouped, F.col("_node") == F.col("id"), "left").select("_node", "n", F.coalesce("component", "_node").alias("component"))
+    one = common.small_join(copied, several, "doc_id", "left_anti")
+    joined = _dealt_join(one, scratch.keep(of), ["_node"], in_rows).select(F.col("doc_id").alias("id"), "component")
+    return signs, grouped.unionByName(joined)
 
 
 def _exact_pass(here: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between components of a family that involve a node outside the largest component."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = here.join(sets, "id").join(nodes.select("id", "halves"), "id").withColumn("_blocks", blocks).withColumn("_own", own).withColumn("_rest", F.col("component") != F.col("largest"))
-    # Side 0 of a block pair: the rest of one block; side 1: all of another. Pairs of the rest meet once.
-    as_rest = rows.where("_rest").select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).withColumn("_side", F.lit(0)).withColumn("_first", F.col("_own")).withColumn("_second", F.col("_other"))
-    as_all = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).withColumn("_side", F.lit(1)).withColumn("_first", F.col("_other")).withColumn("_second", F.col("_own"))
+    """Links between components of a family that involve a node outside the largest component.
+
+    The rest of a family is cut into `rest_blocks`, all of it into `blocks`, of BLOCK rows or
+    BLOCK_SHINGLES shingles each, as expected. Each block of the rest meets each of all in a task of
+    its own, so that a node goes out once for each block of the other side.
+    """
+    rows = here.join(sets, "id").join(nodes.select("id", "halves"), "id")
+    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_rest = rows.where(F.col("component") != F.col("largest")).select("*", each("blocks").alias("_second")).withColumn("_first", at("rest_blocks", 1)).withColumn("_side", F.lit(0))
+    as_all = rows.select("*", each("rest_blocks").alias("_first")).withColumn("_second", at("blocks", 2)).withColumn("_side", F.lit(1))
     every = as_rest.unionByName(as_all).select("family", "_first", "_second", "_side", "id", "component", "halves", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def block(group: pa.Table) -> pa.Table:
         side = group.column("_side").to_numpy()
-        if not (side == 0).any():
+        if not (side == 0).any() or not (side == 1).any():
             return schema.empty_table()
-        sets_ = [np.asarray(x, np.int64) for x in group.column("shingles").to_pylist()]
-        halves = np.array(group.column("halves").to_pylist(), np.int64)
-        found = _linked_in_block(group.column("id").to_numpy(), sets_, halves, group.column("component").to_numpy(), side, percent)
+        flat = pa.concat_arrays([c.flatten() for c in group.column("shingles").chunks]).to_numpy()
+        size = np.concatenate([pa.compute.list_value_length(c).to_numpy() for c in group.column("shingles").chunks]).astype(np.int64)
+        halves = pa.concat_arrays([c.flatten() for c in group.column("halves").chunks]).to_numpy().reshape(-1, 2 * HALVES)
+        found = _linked_in_block(group.column("id").to_numpy(), flat, size, halves, group.column("component").to_numpy(), side, percent)
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
     return every.groupBy("family", "_first", "_second").applyInArrow(block, "a long, b long")
@@ -248,17 +303,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Texts link where 100 * |intersection| >= percent * |union| of their sets of `words`-word
     shingles. A text with fewer words is one shingle; one without words (or null) has none and
     links with nothing. component_id is the smallest doc_id reachable. Rows with the same doc_id
-    are one node. A row without doc_id takes no part: component_id null, kept true.
+    are one node, also with several texts. A row without doc_id takes no part: component_id null, kept true.
     """
     scratch = common.Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs, grouped = links(docs, scratch, words, percent)
-    full = F.col("n_shingles") > 0
-    first = signs.where(full).groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("_node"))
-    node = signs.join(first, ["set_a", "set_b", "n_shingles"], "left").withColumn("_node", F.coalesce("_node", "doc_id"))
-    # A repeated doc_id with several texts joins their nodes.
-    joined = grouped.select(F.col("id").alias("_node"), "component")
-    out = node.join(joined, "_node", "left").select("doc_id", "n_shingles", F.coalesce("component", "_node").alias("component_id"))
+    out = signs.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lost = docs.where(F.col("doc_id").isNull())
     extra = _signature_table(lost, words).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))

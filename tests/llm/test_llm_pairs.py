@@ -122,3 +122,26 @@ def test_pipeline_stages_keep_columns_and_rows(spark, tmp_path):
             assert "x.12@mail" not in " ".join(r["text"] or "" for r in current.collect())
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in current.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_a_repeated_id_with_several_texts_links_them(spark):
+    df = spark.createDataFrame([(0, "a b c d"), (1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (5, "x y z"), (5, "q r s t"), (6, "q r s t"), (7, "lone words here")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, 3, 85).collect())
+    assert found == [(0, 0), (1, 0), (1, 0), (2, 0), (5, 5), (5, 5), (6, 5), (7, 7)]
+    r = random.Random(9)
+    rows = [(r.choice([i, i - 1, i - 2]) if i > 3 else i, t) for i, t in made(5, 8, 60)]
+    rows = [(i + r.choice([0, 0, 0, 3]), t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_components(rows, 3, 85)
+    assert all(x["component_id"] == want[x["doc_id"]] for x in neardup.near_duplicates(df, 3, 85).collect())
+
+
+def test_hot_keys_and_small_blocks_lose_nothing(spark, monkeypatch):
+    """With every key hot and blocks of a few rows, the result is that of brute force."""
+    monkeypatch.setattr(neardup, "_hot", lambda table, total: neardup.F.col("n") > 2)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    rows = made(7, 6, 70)
+    want, _ = brute_components(rows, 3, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(x["component_id"] == want[x["doc_id"]] for x in neardup.near_duplicates(df, 3, 85).collect())
