@@ -49,6 +49,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written to the shared folder and read by the next."""
     scratch = common.Scratch(spark)
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        kept = scratch.keep(out)
+        common.release(out)  # what the stage itself wrote
+        if k:
+            scratch.free(docs)
+        docs = kept
     return scratch.tie(STAGES[-1][1](spark, docs, sf_dir))
