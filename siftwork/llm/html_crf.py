@@ -27,10 +27,10 @@ KINDS = {
     "section": "section", "div": "div center", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu",
     "item": "li dt dd", "table": "table tbody thead tfoot tr caption", "cell": "td th", "quote": "blockquote pre figure figcaption details summary",
     "nav": "nav", "header": "header", "footer": "footer address", "aside": "aside", "form": "form button select option textarea fieldset label legend input datalist",
-    "dialog": "dialog",
+    "dialog": "dialog", "lead": "header-in-article",
 }
 KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
-INLINE = len(KINDS)  # inline elements whose attributes make them nodes, and unknown ones
+LEAD = KIND_OF["header-in-article"]
 #: Words in class, id and role, by what they say.
 HINTS = [
     r"\b(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner)\b",
@@ -49,7 +49,7 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
 #: Elements without an end tag, and those whose content is not text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video title textarea".split())
 #: Tags whose start closes an open element of these tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BREAKS = frozenset({"br", "hr"})
@@ -59,7 +59,11 @@ _MARKS = re.compile(r"©|\bcookies\b|\bsign up\b|\blog ?in\b|\bnewsletter\b", re
 
 
 class Page:
-    """Nodes of one page: parent, kind, hints; blocks of text with the node that each belongs to."""
+    """Nodes of one page: parent, kind, hints; blocks of text with the node that each belongs to.
+
+    Only block elements are nodes. Inline ones, whatever their class, are text of the block around
+    them, but for hidden ones, which are no text.
+    """
 
     __slots__ = ("parent", "kind", "hints", "chars", "linked", "marks", "blocks", "gold", "depth")
 
@@ -74,9 +78,17 @@ class Page:
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]  # tag, node
+        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, hidden inline
         parts: list[str] = []
-        state = [0, 0]  # node of the open block; links open
+        state = [0, 0, 0]  # node of the open block; links and hidden inline elements open
+        many: dict[str, int] = {}  # open elements by tag
+
+        def cut(k: int) -> None:
+            for tag, _, hidden in stack[k:]:
+                many[tag] -= 1
+                state[1] -= tag == "a"
+                state[2] -= hidden
+            del stack[k:]
 
         def close() -> None:
             if parts:
@@ -90,7 +102,7 @@ class Page:
                         self.marks[node] = 1
 
         def add(raw: str) -> None:
-            if not raw:
+            if not raw or state[2]:
                 return
             if stack[-1][1] != state[0]:
                 close()
@@ -113,12 +125,11 @@ class Page:
                 continue
             tag, ends, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
             if ends:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if many.get(tag) else ():
                     if stack[k][0] == tag:
                         if stack[k][1] != stack[k - 1][1] or tag in KIND_OF:
                             close()
-                        state[1] -= sum(1 for t, _ in stack[k:] if t == "a")
-                        del stack[k:]
+                        cut(k)
                         break
                 continue
             if tag in RAW:
@@ -139,10 +150,9 @@ class Page:
             if block:
                 close()
                 wanted = CLOSES.get(tag) or ({"p"} if tag != "label" and stack[-1][0] != "button" else set())
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(many.get(t) for t in wanted) else ():
                     if stack[k][0] in wanted:
-                        state[1] -= sum(1 for t, _ in stack[k:] if t == "a")
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in ("div", "td", "th", "table", "ul", "ol", "section", "article", "body", "button", "blockquote", "li") and stack[k][0] not in wanted:
                         break
@@ -164,14 +174,15 @@ class Page:
                 if "data-gold" in attrs:
                     gold = int(attrs[attrs.index("data-gold=") + 11])
             node = stack[-1][1]
-            if block or hints & 0b0111111111:
-                if not block:
-                    close()
-                node = self._node(node, KIND_OF.get(tag, INLINE), hints, gold)
-            if tag == "a":
-                state[1] += 1
+            if block:
+                kind = LEAD if tag == "header" and many.get("article") else KIND_OF[tag]
+                node = self._node(node, kind, hints, gold)
             if not attrs.endswith("/"):
-                stack.append((tag, node))
+                hidden = not block and bool(hints >> 8 & 1)
+                stack.append((tag, node, hidden))
+                many[tag] = many.get(tag, 0) + 1
+                state[1] += tag == "a"
+                state[2] += hidden
         close()
 
 
@@ -212,7 +223,8 @@ def marginals(nodes: dict[str, np.ndarray], weights: np.ndarray, edges: np.ndarr
     below = np.zeros((len(parent), 2))
     below[:, 1] = nodes["x"] @ weights
     up = np.zeros((len(parent), 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 1)))
     for level in levels[:0:-1]:
         up[level] = _lse(edges[kind[level]] + below[level][:, None, :])
         np.add.at(below, parent[level], up[level])
@@ -309,6 +321,8 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
         body = "".join(out)
         if r.random() < 0.15:
             body = tag("section", body)
+        if r.random() < 0.15:
+            body = tag("header", tag("h1", words(2, 12)) + (tag("p", words(2, 14)) if r.random() < 0.4 else "")) + body
         return body
 
     def noise() -> str:
@@ -347,6 +361,8 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
     for _ in range(count):
         name, attrs = r.choice([("article", {}), ("article", {}), ("main", {}), ("div", {"cls": "content"}), ("div", {"id": "content"}), ("div", {"cls": "post"}), ("div", {"cls": "entry-content"}), ("div", {"cls": "article-body"}), ("section", {"cls": "story"}), ("td", {"cls": "text"}), ("div", {}), ("div", {"role": "main"})])
         core = tag(name, article(), "1", **attrs)
+        if name != "article":  # a header stands for the page there
+            core = re.sub(r"<header>(.*?)</header>", r"\1", core)
         if name == "td":
             core = tag("table", tag("tr", (tag("td", tag("ul", links(4)), "0") if r.random() < 0.6 else "") + core))
         if r.random() < 0.3:
