@@ -394,6 +394,17 @@ def network_spans(texts: list[str], p: dict) -> list[list[tuple[int, int, int]]]
     return out
 
 
+def stretches(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the unions of overlapping spans, with the kind of the first; spans sorted."""
+    out: list[tuple[int, int, int]] = []
+    for start, kind, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2])
+        else:
+            out.append((start, end, kind))
+    return out
+
+
 def all_spans(texts: list[str], p: dict) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, sorted by start and kind."""
     own = [k for k, t in enumerate(texts) if _TRIGGER.search(t)]
@@ -404,9 +415,11 @@ def all_spans(texts: list[str], p: dict) -> list[tuple[list, list]]:
             out.append(([], []))
             continue
         base = base_spans(text)
-        every = list(base)
+        every, taken, at = list(base), stretches(base), 0
         for start, kind, end in found[k]:
-            free = all(end <= s or start >= e for s, _, e in every)
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            free = at == len(taken) or taken[at][0] >= end
             # inside a longer run of letters or digits it is part of something else
             inner = start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()
             if free and not inner and fits(KINDS[kind], text[start:end]):
@@ -443,19 +456,17 @@ def find(docs: DataFrame) -> DataFrame:
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with each stretch of spans replaced by the name of its first kind, in brackets."""
     out, at = [], 0
-    for k, (start, kind, end) in enumerate(spans):
-        if start < at:
-            continue
-        for s, _, e in spans[k + 1 :]:
-            if s < end:
-                end = max(end, e)
+    for start, end, kind in stretches(spans):
         out += [text[at:start], f"[{KINDS[kind].upper()}]"]
         at = end
     return "".join([*out, text[at:]])
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, with spans masked in text and n_chars (if there) counted anew; null text stays."""
+    """`docs`, all columns, with spans masked in text and n_chars (if there) counted anew; null text stays.
+
+    Rows stand alone, so repeated rows and empty tables need no rule.
+    """
     names = docs.columns
     p = model()
 
