@@ -141,11 +141,14 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, part_rows: int = PAR
     vectors are dealt by hash into parts; the queries, in blocks of about QUERY_ROWS, meet every
     part once. A part gives k rows for a query, so that the last ranking sees k rows for each part
     and not a row for each pair. Rows that share a vec_id are all candidates of others.
-    Components must stay below 2^27 in size, so that scores fit 64 bits.
+    Components so large that a score might not fit 64 bits are an error.
     """
     base = integer_vectors(vectors)
-    facts = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    widest = F.max(F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double"))))
+    facts = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), widest.alias("widest")).first()
     dims = facts["dims"] or 1
+    if (facts["widest"] or 0.0) ** 2 * dims >= 2.0**62:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
     parts = max(PARTS_AT_LEAST, -(-facts["n"] // part_rows))
     blocks = max(1, -(-facts["q"] // QUERY_ROWS))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
