@@ -12,8 +12,8 @@ BUCKETS = 1024
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
-    """-weight / ln(u) with u uniform in (0, 1) from the pair of key and shard."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    """-weight / ln(u) with u uniform in (0, 1) from the pair of key and shard; 52 bits, so that no u rounds to 1."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12) + F.lit(0.5)) * F.lit(2.0**-52)
     return F.struct((F.lit(-float(weight)) / F.log(u)).alias("score"), F.lit(-shard).alias("rank"))
 
 
@@ -37,7 +37,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, buckets: int
     empty: size 1, crc32 0. Slots run from 0 without gaps in each shard: a hashed bucket of the
     key is numbered by itself and shifted by the rows of the buckets before it, so no task holds
     a shard. The shift table has len(weights) * buckets rows at most, which bounds its broadcast.
-    Repeated rows get slots of their own; an empty table gives no rows.
+    Repeated rows get slots of their own, those of one key in one task; an empty table gives no rows.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     shard = rendezvous(F.col(key), weights)
