@@ -23,8 +23,8 @@ from siftwork.llm import common
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean"
-#: Words a worker remembers, about 260 MB; then it starts anew.
-REMEMBERED = 700_000
+#: Bytes that the words a worker remembers may take; then it starts anew. WORD_BYTES: of a word besides its strings.
+REMEMBERED, WORD_BYTES = 260 << 20, 330
 #: Characters from which a word uses the heap.
 LONG_WORD = 200
 _NONE = np.int64(1) << 30
@@ -212,13 +212,14 @@ class Memory:
     """What a worker knows about words: count, ids as text and decoded form; words that did not agree."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.known, self.bad = model, {}, set()
+        self.model, self.known, self.bad, self.held = model, {}, set(), 0
 
     def learn(self, words: set[str]) -> None:
         """Work out the words that are new, by the agenda, and hold them against the library."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
             self.bad.clear()
+            self.held = 0
         words = [w for w in words if w not in self.known]
         if not words:
             return
@@ -233,6 +234,7 @@ class Memory:
                 self.bad.add(w)
                 ids, said = ref, text
             self.known[w] = (len(ids), " ".join([spelled[i] for i in ids]), " " + said)
+            self.held += WORD_BYTES + 2 * (len(w) + len(said)) + 6 * len(ids)
 
 
 @functools.lru_cache(2)
