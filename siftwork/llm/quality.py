@@ -41,7 +41,7 @@ FOLDS = 5
 #: A group of documents ends at so many bytes of text, or rows.
 GROUP_BYTES, GROUP_ROWS = 16 << 20, 1 << 16
 #: Pairs that a counting task holds before it hands on.
-HELD = 2 << 20
+HELD = 1 << 20
 #: Bytes of text for which there is one shard of the counts, and the fewest and most shards.
 SHARD_BYTES, SHARDS_LEAST, SHARDS_MOST = 4 << 20, 16, 1 << 16
 #: Words as keys: 48 bits, so that a word shares its key with one of 10^8 others with a chance of 4e-7.
