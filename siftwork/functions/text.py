@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 #: Typographic forms and their plain spelling (fixed values).
 TYPOGRAPHY = {
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
     "‘": "'", "’": "'", "“": '"', "”": '"',
-    "–": "-", "—": "-", "…": "...", " ": " ",
+    "–": "-", "—": "-", "…": "...", "\u00a0": " ",
 }
-#: English function words left out of lexical matching (fixed values).
+#: Words left out of lexical matching (fixed values).
 STOPWORDS = (
-    "a an and are as at be by can do does for from how i if in is it of on or that the their this to was what when where which who why with you"
+    "a an and are as at be by for from has have in is it its of on or that the to was were will with within must may any all not this these"
 ).split()
-PAGE_LINE = r"^\s*(?:page\s+\d+(?:\s+of\s+\d+)?|-\s*\d+\s*-|\d+\s*/\s*\d+|\d+)\s*$"
-REFUSAL = "i don't have enough information"
+#: A line that is a page number; the sentence of a refusal, and how else one may begin (fixed values).
+PAGE_LINE = r"(?i)^\s*(?:page\s+)?[-–—\[\(]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—\]\)]?\s*$"
+REFUSAL = "i could not find information about this in the provided documents"
+REFUSAL_START = "i could not find"
+#: Headings: Markdown, numbered, capitals; citations in three kinds of brackets (fixed values).
+MARKDOWN, NUMBERED, CAPITALS = r"^#{1,6}\s+(.{1,120})$", r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][^.\n]{2,110})$", r"^[A-Z][A-Z0-9 &/,'\-]{3,80}$"
+CITATION = r"[\[【［](\d{1,2})(?:[^\]】］\[【［]{0,40})?[\]】］]"
+#: Marks that count towards tokens (fixed values).
+MARKS = ".,;:!?()[]{}\"'/-"
 
 
 def normalize_unicode(text: Column) -> Column:
@@ -40,18 +47,18 @@ def fix_ligatures(text: Column) -> Column:
 
 def join_hyphenated(text: Column) -> Column:
     """A word broken over a line end becomes whole."""
-    return F.regexp_replace(text, r"([a-z])-[ \t]*\n\s*([a-z])", "$1$2")
+    return F.regexp_replace(text, r"([a-z])-\s*\n\s*([a-z])", "$1$2")
 
 
 def collapse_whitespace(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t]+\n", "\n")
-    text = F.regexp_replace(text, r"[ \t]{2,}", " ")
+    text = F.regexp_replace(text, "[ \t\u00a0]{2,}", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def strip_page_numbers(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda line: ~F.rlike(F.lower(line), F.lit(PAGE_LINE)))
+    kept = F.filter(F.split(text, "\n"), lambda line: ~F.rlike(line, F.lit(PAGE_LINE)))
     return F.array_join(kept, "\n")
 
 
@@ -76,20 +83,27 @@ def tokenize(text: Column, stopwords: bool = True) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """A model-free estimate: 1.33 per word and a quarter per mark, at least 1 for any text."""
-    words = F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+"))
-    marks = F.regexp_count(text, F.lit(r"[^A-Za-z0-9_ \t\n\r\f]"))
+    words = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
+    marks = F.length(text) - F.length(F.translate(text, MARKS, ""))
     estimate = F.floor(words * F.lit(1.33)) + F.floor(marks / 4)
     return F.when(F.length(text) == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), estimate))
 
 
+def title_case(text: Column) -> Column:
+    """A capital after everything that is no letter, small letters after letters."""
+    letters = F.split(text, "")
+    after = lambda i: F.rlike(F.try_element_at(letters, i), F.lit(r"\p{L}"))
+    return F.array_join(F.transform(letters, lambda c, i: F.when((i > 0) & after(F.greatest(i, F.lit(1))), F.lower(c)).otherwise(F.upper(c))), "")
+
+
 def heading(line: Column) -> Column:
     """The heading that a line is, or null: Markdown, then numbered, then capitals of up to 12 words."""
     short = F.trim(line)
     fit = (F.length(short) > 0) & (F.length(short) <= 120)
-    mark = F.regexp_extract(short, r"^#{1,6} +(.+)$", 1)
-    numbered = F.regexp_extract(short, r"^(\d+(?:\.\d+)*\.? +[A-Z].*)$", 1)
-    capitals = F.rlike(short, F.lit(r"^[A-Z][A-Z0-9 ,&/()-]{3,}$")) & (F.size(F.split(short, " +")) <= 12)
-    return F.when(fit, F.coalesce(F.nullif(mark, F.lit("")), F.nullif(numbered, F.lit("")), F.when(capitals, F.initcap(F.lower(short)))))
+    mark = F.trim(F.regexp_extract(short, MARKDOWN, 1))
+    numbered = F.trim(F.concat_ws(" ", F.nullif(F.regexp_extract(short, NUMBERED, 1), F.lit("")), F.nullif(F.regexp_extract(short, NUMBERED, 2), F.lit(""))))
+    capitals = F.rlike(short, F.lit(CAPITALS)) & (F.size(F.split(short, " +")) <= 12)
+    return F.when(fit, F.coalesce(F.nullif(mark, F.lit("")), F.nullif(numbered, F.lit("")), F.when(capitals, title_case(short))))
 
 
 def is_noise(text: Column, least: int = 30, most_marks: float = 0.8) -> Column:
@@ -105,7 +119,7 @@ def slug(path: Column) -> Column:
 
 def title(path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]+$", "")
-    return F.initcap(F.translate(stem, "_-", "  "))
+    return title_case(F.translate(stem, "_-", "  "))
 
 
 def span_form(text: Column) -> Column:
@@ -115,7 +129,7 @@ def span_form(text: Column) -> Column:
 
 def normalize_citations(text: Column) -> Column:
     """[n], full-width and lenticular brackets with a short suffix, to [n] without leading zeros."""
-    text = F.regexp_replace(text, r"[\[【［]\s*(\d{1,2})(?!\d)[^\]】］]{0,40}[\]】］]", "[$1]")
+    text = F.regexp_replace(text, CITATION, "[$1]")
     return F.regexp_replace(text, r"\[0(\d)\]", "[$1]")
 
 
@@ -131,12 +145,14 @@ def validate_citations(text: Column, sources: Column) -> Column:
     valid = F.filter(every, lambda n: n.between(F.lit(1), sources))
     wrong = F.filter(every, lambda n: ~n.between(F.lit(1), sources))
     kept = F.aggregate(wrong, normalize_citations(text), lambda acc, n: F.replace(acc, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(kept, r" +([.,;:!?])", "$1"), " {2,}", " "))
+    tidy = F.regexp_replace(F.regexp_replace(kept, "[ \t]{2,}", " "), r"^\s+|\s+$", "")
     return F.struct(valid.alias("valid"), tidy.alias("text"))
 
 
 def is_refusal(text: Column) -> Column:
-    return F.contains(span_form(text), F.lit(REFUSAL))
+    """The sentence of a refusal anywhere, or an answer that begins as one."""
+    plain = F.regexp_replace(span_form(text), r"\.+$", "")
+    return F.contains(plain, F.lit(REFUSAL)) | F.startswith(plain, F.lit(REFUSAL_START))
 
 
 def parse_judgement(raw: Column) -> Column:

@@ -6,6 +6,8 @@ Inputs: truth (seq, frame, track_id, x1, y1, x2, y2, ign) and predictions withou
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,44 +26,54 @@ def _together(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """(seq, frame, gt_id, pred_id, iou, kind): matches that stick to the last frame's pair while it
-    overlaps enough, the optimum for the rest; kind 'miss', 'extra' and 'ignored' for what is left."""
+    """(seq, frame, gt_id, pred_id, iou, kind): matches that stick to a box's last pair where it
+    overlaps enough, the optimum for the rest, without its pairs that overlap too little; kind
+    'miss', 'extra' and 'ignored' for what is left. A prediction is in one match at most."""
     return matches_at(gt, pred, (least,)).drop("alpha")
 
 
 def matches_at(gt: DataFrame, pred: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
-    """frame_matches() for each of `alphas`, in a column before the others; a sequence is read once."""
-
-    def at(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """frame_matches() for each of `alphas`, in a column before the others; overlaps are made once for all."""
+
+    def frames_of(pdf: pd.DataFrame) -> Iterator[tuple]:
+        """Of each frame in order: number, ids of truth and predictions, overlaps, overlap with ignored boxes."""
+        pdf = pdf.sort_values(["frame", "side", "track_id"], kind="stable")
+        frame, ids, box = pdf.frame.to_numpy(), pdf.track_id.to_numpy(), pdf[XYXY].to_numpy(float)
+        kind = np.where(pdf.side == 1, 2, pdf.ign.astype(int))
+        ends = np.append(np.flatnonzero(np.diff(frame)) + 1, len(frame))
+        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            g, soft, p = (a + np.flatnonzero(kind[a:b] == k) for k in (0, 1, 2))
+            near = iou_matrix(box[soft], box[p]).max(axis=0, initial=0)
+            yield int(frame[a]), ids[g].tolist(), ids[p].tolist(), iou_matrix(box[g], box[p]), near
+
+    def at(frames: list[tuple], least: float) -> list[tuple]:
         out, last = [], {}
-        for frame, rows in pdf.sort_values(["frame", "side", "track_id"], kind="stable").groupby("frame", sort=True):
-            every = rows[rows.side == 0]
-            g, soft, p = every[~every.ign], every[every.ign], rows[rows.side == 1]
-            overlap = iou_matrix(g[XYXY].to_numpy(), p[XYXY].to_numpy())
-            gid, pid = g.track_id.tolist(), p.track_id.tolist()
-            pairs = []
-            for i, t in enumerate(gid):
-                if last.get(t) in pid and overlap[i, j := pid.index(last[t])] >= least and all(j != b for _, b in pairs):
-                    pairs.append((i, j))
-            rest_g = [i for i in range(len(gid)) if all(i != a for a, _ in pairs)]
-            rest_p = [j for j in range(len(pid)) if all(j != b for _, b in pairs)]
+        for frame, gid, pid, overlap, near in frames:
+            place = {t: j for j, t in reversed(list(enumerate(pid)))}
+            of_g, used = {}, set()
+            for i, t in enumerate(gid):  # a pair holds as long as nothing replaces it, also over gaps
+                j = place.get(last.get(t))
+                if j is not None and j not in used and overlap[i, j] >= least:
+                    of_g[i] = j
+                    used.add(j)
+            rest_g = [i for i in range(len(gid)) if i not in of_g]
+            rest_p = [j for j in range(len(pid)) if j not in used]
             if rest_g and rest_p:
                 some = overlap[np.ix_(rest_g, rest_p)]
-                cost = np.where(some >= least, 1 - some, 1e5)
-                pairs += [(rest_g[a], rest_p[b]) for a, b in solve(cost) if some[a, b] >= least]
-            last = {gid[i]: pid[j] for i, j in pairs}
-            out += [(frame, gid[i], pid[j], overlap[i, j], "match") for i, j in pairs]
-            hit_g, hit_p = {i for i, _ in pairs}, {j for _, j in pairs}
-            out += [(frame, t, None, 0.0, "miss") for i, t in enumerate(gid) if i not in hit_g]
-            near = iou_matrix(soft[XYXY].to_numpy(), p[XYXY].to_numpy()).max(axis=0, initial=0)
-            out += [(frame, None, t, 0.0, "ignored" if near[j] >= least else "extra") for j, t in enumerate(pid) if j not in hit_p]
-        found = pd.DataFrame(out, columns=["frame", "gt_id", "pred_id", "iou", "kind"])
-        found.insert(0, "seq", pdf.seq.iloc[0])
-        found.insert(0, "alpha", least)
-        return found.astype({"gt_id": "Int64", "pred_id": "Int64"})
+                if some.max() >= least:
+                    of_g |= {rest_g[a]: rest_p[b] for a, b in solve(1 - some) if some[a, b] >= least}
+            hit = set(of_g.values())
+            last |= {gid[i]: pid[j] for i, j in of_g.items()}
+            out += [(least, frame, gid[i], pid[j], overlap[i, j], "match") for i, j in of_g.items()]
+            out += [(least, frame, t, None, 0.0, "miss") for i, t in enumerate(gid) if i not in of_g]
+            out += [(least, frame, None, t, 0.0, "ignored" if near[j] >= least else "extra") for j, t in enumerate(pid) if j not in hit]
+        return out
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([at(pdf, alpha) for alpha in alphas], ignore_index=True)
+        frames = list(frames_of(pdf))
+        found = pd.DataFrame([r for alpha in alphas for r in at(frames, alpha)], columns=["alpha", "frame", "gt_id", "pred_id", "iou", "kind"])
+        found.insert(1, "seq", pdf.seq.iloc[0])
+        return found.astype({"gt_id": "Int64", "pred_id": "Int64"})
 
     return _together(gt, pred).groupBy("seq").applyInPandas(kernel, "alpha double, seq long, frame long, gt_id long, pred_id long, iou double, kind string")
 
@@ -105,9 +117,9 @@ def idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def hota(gt: DataFrame, pred: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
-    """(alpha, hota, deta, assa), frame matches by overlap alone at each alpha."""
+    """(alpha, hota, deta, assa), frame matches by overlap alone at each alpha; ignored boxes absorb nothing."""
     parts = matches_at(gt, pred, tuple(alphas))
-    counts = parts.groupBy("alpha").agg(F.count(F.when(F.col("kind") == "match", 1)).alias("tp"), F.count(F.when(F.col("kind") == "miss", 1)).alias("fn"), F.count(F.when(F.col("kind") == "extra", 1)).alias("fp"))
+    counts = parts.groupBy("alpha").agg(F.count(F.when(F.col("kind") == "match", 1)).alias("tp"), F.count(F.when(F.col("kind") == "miss", 1)).alias("fn"), F.count(F.when(F.col("kind").isin("extra", "ignored"), 1)).alias("fp"))
     pair = parts.where("kind = 'match'").groupBy("alpha", "seq", "gt_id", "pred_id").agg(F.count("*").alias("tpa"))
     of_g = gt.where(~F.col("ign")).groupBy("seq", F.col("track_id").alias("gt_id")).agg(F.count("*").alias("ng"))
     of_p = pred.groupBy("seq", F.col("track_id").alias("pred_id")).agg(F.count("*").alias("np"))

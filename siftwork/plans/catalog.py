@@ -15,7 +15,8 @@ from siftwork.streaming import tracker
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+#: The words left out of lexical matching, stated here again (fixed values).
+STOP = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'to', 'was', 'were', 'will', 'with', 'within', 'must', 'may', 'any', 'all', 'not', 'this', 'these'"""
 #: Views that several counterparts start from.
 WITH_TOKENS = f"tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({STOP}))) AS term FROM documents)"
 WITH_BM25 = f"""{WITH_TOKENS},
@@ -193,7 +194,7 @@ def best_threshold(spark, d):
 # -- texts and ingestion ----------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', '\n', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', '\n\n', 'g'), E' \\t\\n\\r\\f\\x0B')) AS digest FROM documents""")
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', '\n', 'g'), '[ \\t\u00a0]{2,}', ' ', 'g'), '\\n{3,}', '\n\n', 'g'), E' \\t\\n\\r\\f\\x0B')) AS digest FROM documents""")
 def collapse_whitespace(spark, d):
     return A.documents(spark, d).select("doc_id", F.md5(T.collapse_whitespace(F.col("text"))).alias("digest"))
 
@@ -203,20 +204,34 @@ def clean_documents(spark, d):
     return A.documents(spark, d).select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) * 1.33::DOUBLE) AS BIGINT) + CAST(floor(len(regexp_extract_all(text, '[^A-Za-z0-9_ \\t\\n\\r\\f]')) / 4) AS BIGINT)) END AS tokens,
+@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) * 1.33::DOUBLE) AS BIGINT) + CAST(floor(len(regexp_extract_all(text, '[-.,;:!?()\\[\\]{}"''/]')) / 4) AS BIGINT)) END AS tokens,
   length(text) < 30 OR (1 - len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) / nullif(length(text), 0)) > 0.8 AS noise FROM documents""")
 def token_estimates(spark, d):
     t = F.col("text")
     return A.documents(spark, d).select("doc_id", T.count_tokens(t).alias("tokens"), T.is_noise(t).alias("noise"))
 
 
-@query("""SELECT heading, count(*) AS n FROM (SELECT CASE WHEN length(l) BETWEEN 1 AND 120 THEN coalesce(nullif(regexp_extract(l, '^#{1,6} +(.+)$', 1), ''), nullif(regexp_extract(l, '^(\\d+(?:\\.\\d+)*\\.? +[A-Z].*)$', 1), '')) END AS heading
-  FROM (SELECT trim(unnest(string_split(text, '\n'))) AS l FROM documents)) WHERE heading IS NOT NULL GROUP BY heading""")
+#: Part names as lines of all kinds: headings in three forms, and others.
+LINES = """SELECT CASE p_partkey % 6 WHEN 0 THEN repeat('#', CAST(p_partkey % 8 AS INTEGER)) || ' ' || p_name || ' ' WHEN 1 THEN p_size || '.' || (p_partkey % 7) || ' ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) WHEN 2 THEN upper(p_name) || '-' || p_type
+  WHEN 3 THEN '  ' || p_size || '. ' || p_type || ' AND MORE' WHEN 4 THEN p_type || ' ' || chr(39) || upper(p_name) || ' & CO' ELSE p_name END AS l FROM part"""
+
+
+@query(f"""SELECT heading, count(*) AS n FROM (SELECT CASE WHEN length(l) BETWEEN 1 AND 120 THEN CASE WHEN regexp_matches(l, '^#{{1,6}}\\s+(.{{1,120}})$') THEN trim(regexp_extract(l, '^#{{1,6}}\\s+(.{{1,120}})$', 1))
+  WHEN regexp_matches(l, '^(\\d+(?:\\.\\d+)*)\\.?\\s+([A-Z][^.\\n]{{2,110}})$') THEN trim(regexp_extract(l, '^(\\d+(?:\\.\\d+)*)\\.?\\s+([A-Z][^.\\n]{{2,110}})$', 1) || ' ' || regexp_extract(l, '^(\\d+(?:\\.\\d+)*)\\.?\\s+([A-Z][^.\\n]{{2,110}})$', 2))
+  WHEN regexp_matches(l, '^[A-Z][A-Z0-9 &/,''\\-]{{3,80}}$') AND len(regexp_split_to_array(l, ' +')) <= 12 THEN array_to_string(list_transform(string_split(l, ''), lambda c, i: CASE WHEN i > 1 AND regexp_matches(substr(l, i - 1, 1), '\\p{{L}}') THEN lower(c) ELSE upper(c) END), '') END END AS heading
+  FROM (SELECT trim(l) AS l FROM ({LINES}))) WHERE heading IS NOT NULL GROUP BY heading""")
 def headings(spark, d):
-    lines = A.documents(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
-    h = T.heading(F.col("line"))
-    plain = F.rlike(F.trim("line"), F.lit(r"^#{1,6} +|^\d"))
-    return lines.select(F.when(plain, h).alias("heading")).where("heading IS NOT NULL").groupBy("heading").agg(F.count("*").alias("n"))
+    k, name, size, kind = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string"), F.col("p_type")
+    line = (
+        F.when(k % 6 == 0, F.concat(F.repeat(F.lit("#"), (k % 8).cast("int")), F.lit(" "), name, F.lit(" ")))
+        .when(k % 6 == 1, F.concat(size, F.lit("."), (k % 7).cast("string"), F.lit(" "), F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
+        .when(k % 6 == 2, F.concat(F.upper(name), F.lit("-"), kind))
+        .when(k % 6 == 3, F.concat(F.lit("  "), size, F.lit(". "), kind, F.lit(" AND MORE")))
+        .when(k % 6 == 4, F.concat(kind, F.lit(" '"), F.upper(name), F.lit(" & CO")))
+        .otherwise(name)
+    )
+    lines = table(pin(spark), d, "part").select(T.heading(line).alias("heading"))
+    return lines.where("heading IS NOT NULL").groupBy("heading").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(url, '\\.[^./]+$', ''), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'doc') AS slug FROM pages""")
@@ -232,7 +247,7 @@ def html_fallback_text(spark, d):
     return table(pin(spark), d, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' [' || (turn + 1) || '] and 【' || (turn + 7) || '】', '[\\[【［]\\s*(\\d{1,2})[^\\d\\]】］]{0,40}[\\]】］]', '[\\1]', 'g'), '\\[0(\\d)\\]', '[\\1]', 'g') AS t FROM conversations),
+@query("""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' [' || (turn + 1) || '] and 【' || (turn + 7) || '】', '[\\[【［](\\d{1,2})(?:[^\\]】］\\[【［]{0,40})?[\\]】］]', '[\\1]', 'g'), '\\[0(\\d)\\]', '[\\1]', 'g') AS t FROM conversations),
   e AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d{1,2})\\]', 1), lambda x: CAST(x AS INTEGER))) AS ids FROM a)
   SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS cited, CAST(len(list_filter(ids, lambda x: x BETWEEN 1 AND 5)) AS BIGINT) AS valid FROM e""")
 def citations(spark, d):
@@ -386,7 +401,7 @@ def occlusion_events(spark, d):
     return tracks.occlusions(A.user_frames(spark, d).where("cls <> 'error'"))
 
 
-RANKS = """WITH r AS (SELECT q.vec_id AS qid, c.vec_id AS id, q.label = c.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS rank
+RANKS = """WITH r AS (SELECT q.vec_id AS qid, c.vec_id AS id, q.label = c.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS rank
   FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND NOT (q.label = c.label AND q.vec_id % 2 = c.vec_id % 2))"""
 
 
@@ -397,14 +412,14 @@ def reid_cmc_map(spark, d):
     return tracks.cmc_map(tracks.rank_identities(rows, rows.where("id % 100 = 0")))
 
 
-@query("""WITH n AS (SELECT a.vec_id AS id, a.label AS l, min({'d': round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), 'o': b.vec_id, 'l': b.label}) AS b FROM embeddings a JOIN embeddings b ON a.vec_id % 7 = b.vec_id % 7 AND a.vec_id % 100 = 0 AND b.vec_id % 2 = 1 GROUP BY a.vec_id, a.label)
+@query("""WITH n AS (SELECT a.vec_id AS id, a.label AS l, min({'d': round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), 'o': b.vec_id, 'l': b.label}) AS b FROM embeddings a JOIN embeddings b ON a.vec_id % 7 = b.vec_id % 7 AND a.vec_id % 100 = 0 AND b.vec_id % 2 = 1 GROUP BY a.vec_id, a.label)
   SELECT id, b.o AS other, b.d AS distance, b.l = l AND b.d < 0.9 AS ok FROM n""")
 def cross_camera(spark, d):
     rows = A.vectors(spark, d).select("id", F.col("label").alias("identity"), (F.col("id") % 7).alias("cls"), "vec")
     return tracks.cross_camera(rows.where("id % 100 = 0"), rows.where("id % 2 = 1"), 0.9)
 
 
-@query(RANKS + """, c AS (SELECT label, vec_id FROM embeddings), p AS (SELECT q.label = c.label AS same, CAST(least(20, floor(round(1 - list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) * 20 + 1e-9)) AS INTEGER) AS slot FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND NOT (q.label = c.label AND q.vec_id % 2 = c.vec_id % 2)),
+@query(RANKS + """, c AS (SELECT label, vec_id FROM embeddings), p AS (SELECT q.label = c.label AS same, CAST(least(20, floor(round(1 - round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 6) * 20 + 1e-9)) AS INTEGER) AS slot FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND NOT (q.label = c.label AND q.vec_id % 2 = c.vec_id % 2)),
   s AS (SELECT CAST(step AS INTEGER) AS step, count(*) FILTER (WHERE same AND slot < step) AS tp, count(*) FILTER (WHERE NOT same AND slot < step) AS fp, count(*) FILTER (WHERE same AND slot >= step) AS fn FROM p, range(1, 21) t(step) GROUP BY step)
   SELECT step, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM s""")
 def tau_sweep(spark, d):

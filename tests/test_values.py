@@ -142,7 +142,7 @@ def test_texts(spark):
     assert one(spark, T.clean(F.lit("x y  z\n\n\n\nＡ"))) == "x y z\n\nA"
     assert one(spark, T.normalize_citations(F.lit("a 【2†x】 b [03] (4)"))) == "a [2] b [3] (4)"
     v = spark.range(1).select(T.validate_citations(F.lit("yes [2] and [9] ."), F.lit(5)).alias("v")).first()["v"]
-    assert v["valid"] == [2] and v["text"] == "yes [2] and."
+    assert v["valid"] == [2] and v["text"] == "yes [2] and ."
     j = spark.range(1).select(T.parse_judgement(F.lit('x {"faithful": 1, "relevant": 1} y')).alias("a"), T.parse_judgement(F.lit("none")).alias("b")).first()
     assert j["a"]["faithful"] == 1 and j["b"]["claim"] == "unparseable"
     assert one(spark, T.slug(F.lit("A b/C-d.md"))) == "a_b_c_d" and one(spark, T.heading(F.lit("## Scope of it"))) == "Scope of it"
@@ -217,3 +217,46 @@ def test_sources(spark, tmp_path):
     assert files.read_store(spark, str(tmp_path / "store"), "abc").count() == 3
     with pytest.raises(ValueError, match="stale"):
         files.read_store(spark, str(tmp_path / "store"), "other")
+
+
+def test_fixed_values_of_text(spark):
+    rows = ["I could not  find information about this in the provided documents.", "Sorry. I could not find information about this in the provided documents", "I could not find any", "I found it [1].", ""]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(T.is_refusal(F.col("t"))).collect()]
+    assert got == [True, True, True, False, False]
+    lines = ["Page 3", "- 7 -", "[5]", "(3)", "12 / 40", "1234", "12345", "page 3 of 10", "7 apples", "—9—"]
+    kept = spark.range(1).select(T.strip_page_numbers(F.lit("\n".join(lines)))).first()[0].split("\n")
+    assert kept == ["12345", "page 3 of 10", "7 apples"]
+    assert spark.range(1).select(T.fix_ligatures(F.lit("ﬁ ﬅ ﬆ “x”…"))).first()[0] == 'fi st st "x"...'
+    assert spark.range(1).select(T.join_hyphenated(F.lit("infor- \n mation state-\nOf"))).first()[0] == "information state-\nOf"
+    text = "a [1], b 【2†L1-L3】, c ［07］ and [9] (3) [123]"
+    v = spark.range(1).select(T.validate_citations(F.lit(text), F.lit(5)).alias("v"), T.citations(F.lit(text)).alias("c")).first()
+    assert v.c == [1, 2, 7, 9, 12] and v.v.valid == [1, 2] and v.v.text == "a [1], b [2], c and (3)"
+    words = spark.range(1).select(T.title_case(F.lit("DON'T STOP 2ND A_B")), T.heading(F.lit("REFUND POLICY & TERMS")), T.heading(F.lit("4.2. Late fees")), T.heading(F.lit("## Part ")), T.heading(F.lit("4.2 Late. fees"))).first()
+    assert list(words) == ["Don'T Stop 2Nd A_B", "Refund Policy & Terms", "4.2 Late fees", "Part", None]
+
+
+def test_chunks_follow_the_page(spark):
+    """Starts move forward over repeated pieces, headings hold from their own start, noise breaks the carry."""
+    page = "# One\n\nsame words here again and again.\n\nTWO WORDS\n\nsame words here again and again.\n\n.............................................\n\nlast part of the page with words."
+    rows = ingest.pieces_of(page, 40, 12, 20, 0.8)
+    assert [page[a:b] for _, a, b, _ in rows] == [p for p in ingest.split_text(page, 40) if not p.startswith("...")]
+    starts = [a for _, a, _, _ in rows]
+    assert starts == sorted(set(starts)) and starts[-1] == page.index("last part")
+    assert [h for *_, h in rows][0] == "One" and [h for *_, h in rows][-1] == "Two Words"
+    assert rows[-1][0] == "last part of the page with words."
+    assert rows[1][0].startswith(ingest._tail(page[rows[0][1] : rows[0][2]], 12) + " ")
+    made = spark.createDataFrame([("d", 1, page), ("d", 2, None), ("e", 1, "")], "doc_id string, page_no int, text string")
+    out = ingest.chunk_pages(made, 10, 3, 20).orderBy("chunk_index").collect()
+    assert [(r.text, r.char_start, r.char_end, r.heading) for r in out] == rows and [r.chunk_index for r in out] == list(range(len(rows)))
+
+
+def test_pairs_hold_over_gaps(spark):
+    """A track that comes back under another id after frames without a match is one switch; ignored boxes absorb nothing in HOTA."""
+    gt = [(0, f, 1, 0.0, 0.0, 20.0, 20.0, False) for f in range(8)] + [(0, 2, 9, 100.0, 0.0, 120.0, 20.0, True)]
+    pred = [(0, f, 5 if f < 3 else 6, 0.0, 0.0, 20.0, 20.0) for f in range(8) if f not in (3, 4)] + [(0, 2, 7, 100.0, 0.0, 120.0, 20.0)]
+    g = spark.createDataFrame(gt, "seq long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double, ign boolean")
+    p = spark.createDataFrame(pred, "seq long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double")
+    r = tracking_metrics.clear_mot(tracking_metrics.frame_matches(g, p)).first()
+    assert (r.idsw, r.fn, r.fp, r.tp) == (1, 2, 0, 6)
+    h = tracking_metrics.hota(g, p, (0.5,)).first()
+    assert h.deta == round(6 / (6 + 2 + 1), 6)
