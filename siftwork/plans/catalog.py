@@ -487,3 +487,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+from siftwork.plans import report_queries  # noqa: E402, F401  registers its queries here
