@@ -66,5 +66,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+NEAR_DUPLICATES = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM t
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (
+  SELECT doc_id AS id, doc_id AS far FROM s UNION SELECT r.id, both_ways.b FROM r JOIN both_ways ON both_ways.a = r.far
+), c AS (SELECT id, min(far) AS component_id FROM r GROUP BY id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op10_top_k": TOP_K}
+    return {"op8_near_duplicates": NEAR_DUPLICATES, "op10_top_k": TOP_K}
