@@ -39,7 +39,9 @@ def spans(spark, d) -> DataFrame:
 def pages(spark, d) -> DataFrame:
     """Documents of a source as the pages of one."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    return documents(spark, d).select(F.col("source").alias("doc_id"), F.row_number().over(order).alias("page_no"), "text")
+    docs = documents(spark, d)
+    numbers = docs.select("doc_id", F.row_number().over(order).alias("page_no"))  # ids alone meet by source, texts by id
+    return docs.join(numbers, "doc_id").select(F.col("source").alias("doc_id"), "page_no", "text")
 
 
 def truth_boxes(spark, d) -> DataFrame:

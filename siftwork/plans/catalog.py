@@ -476,6 +476,11 @@ def tracker_bytetrack(spark, d):
     return tracker.track(_detections(spark, d), tracker.TRACKERS["bytetrack"])
 
 
+@query()
+def tracker_iou(spark, d):
+    return tracker.track(_detections(spark, d), tracker.TRACKERS["iou"])
+
+
 @query("""SELECT event_type, count(*) AS n, round(sum(CAST(value AS DOUBLE)), 2) AS total FROM events GROUP BY event_type""")
 def event_totals(spark, d):
     return table(pin(spark), d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import boxes as B
 from siftwork.functions import text as T
 from siftwork.functions import vectors as V
-from siftwork.operators import detection, ingest, labels, metrics, retrieval, tracking_metrics, tracks
+from siftwork.operators import detection, ingest, labels, metrics, reports, retrieval, tracking_metrics, tracks
 from siftwork.operators.assignment import iou_matrix, solve, within
 from siftwork.sources import files
 from siftwork.streaming import tracker
@@ -260,3 +260,28 @@ def test_pairs_hold_over_gaps(spark):
     assert (r.idsw, r.fn, r.fp, r.tp) == (1, 2, 0, 6)
     h = tracking_metrics.hota(g, p, (0.5,)).first()
     assert h.deta == round(6 / (6 + 2 + 1), 6)
+
+
+def test_reports_at_the_edges(spark):
+    scenes = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "train"), ("d", "val")], "scene_id string, split string")
+    sizes = spark.createDataFrame([("a", 9), ("b", 3), ("c", 5), ("d", 1)], "scene_id string, n long")
+    assert {r.scene_id: r.split for r in reports.rescue_empty(scenes, sizes).collect()} == {"a": "train", "b": "test", "c": "train", "d": "val"}
+    frames = spark.createDataFrame([("1", "train", "s1", "car", "day"), ("2", "train", "s2", None, "night"), ("3", "val", "s3", "", "day")], "image_id string, split string, scene_id string, classes string, lighting string")
+    summary = reports.split_summary(frames)
+    assert {(r.split, r.n, r.realised, r.classes) for r in summary.collect()} == {("train", 2, 0.6667, "car"), ("val", 1, 0.3333, ""), ("test", 0, 0.0, "")}
+    assert {tuple(r) for r in reports.split_warnings(summary).collect()} == {("test", "empty", ""), ("val", "class_absent", "car"), ("val", "single_lighting", "day")}
+    hits = spark.createDataFrame([("q", "x", 1), ("q", "gone", 2)], "qid string, id string, rank int")
+    records = spark.createDataFrame([("x", "text"), ("y", "other")], "id string, body string")
+    assert {(r.id, r.body) for r in reports.lookup(hits, records).collect()} == {("x", "text"), ("gone", None)}
+    cases = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, "b"), (5, "a")], "k int, cause string")
+    assert [r.k for r in reports.diversify(cases, "cause", ["k"], 4).collect()] == [1, 2, 3, 5]
+    none = spark.createDataFrame([], "judged boolean, refused boolean, faithful int, relevant int, citation_accuracy double, cited_gold boolean, violations long")
+    r = reports.judge_summary(none, none.select("refused")).first()
+    assert r.answered == 0 and r.faithfulness is None and r.citation_accuracy is None and r.refusal_correctness is None and r.violations == 0
+    rows = spark.createDataFrame([("g", 1, 10.0), ("g", 2, 20.0), ("g", 3, 40.0), ("h", 1, 7.0)], "k string, i int, v double")
+    assert {r.k: r.rate for r in reports.smoothed_rate(rows, "k", "i", "v").collect()} == {"g": round(0.9 * (0.9 * 10 + 2) + 4, 6), "h": 7.0}
+    assert spark.range(1).select(ingest.embed_text(F.lit("Doc"), F.lit("Part"), F.lit("x"))).first()[0] == "[Doc > Part] x"
+    empty = spark.createDataFrame([], "image_id string, split string, n_objects int")
+    import hashlib
+
+    assert reports.manifest_digest(empty).first().hash == hashlib.sha256(b"").hexdigest()[:12]
