@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows whose keys may be broadcast: 8 bytes each, so 16 MB at most. Above it, joins shuffle.
 BROADCAST_ROWS = 2_000_000
+#: A key is hot that more than one in HOT rows have; so there are fewer than HOT of them.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,5 +187,20 @@ def small_join(df: DataFrame, ids: DataFrame, key: str, how: str = "inner", most
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def _hot(table: DataFrame, total: int) -> F.Column:
+    """Of a table with the number n of rows that have its key: whether the key is hot."""
+    return F.col("n") > F.lit(max(256, total // HOT))
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with `table` (one row a key; n rows of `rows` have it) on keys that may be hot.
+
+    The fewer than HOT rows of `table` with hot keys are broadcast, the others join by a shuffle.
+    """
+    hot = F.broadcast(table.where(_hot(table, total)))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.where(~_hot(table, total)), keys))
+
+
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=False) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -23,8 +23,6 @@ HALVES, HALF_ROWS = 8, 2
 SMALL_BUCKET = 24
 #: Members of a block in the exact pass over large buckets, and their shingles, as expected.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
-#: A key is hot that more than one in HOT rows have; so there are fewer than HOT of them.
-HOT = 1000
 
 
 def word_bytes() -> np.ndarray:
@@ -94,7 +92,7 @@ def _signature_table(docs: DataFrame, size: int) -> DataFrame:
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
 
 
-def _set_table(docs: DataFrame, size: int) -> DataFrame:
+def set_table(docs: DataFrame, size: int) -> DataFrame:
     """The full shingle set of each row."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -113,29 +111,14 @@ def _alike(inter, a, b, percent: int):
     return F.lit(100) * inter >= F.lit(percent) * (a + b - inter)
 
 
-def _hot(table: DataFrame, total: int) -> F.Column:
-    """Of a table with the number n of rows that have its key: whether the key is hot."""
-    return F.col("n") > F.lit(max(256, total // HOT))
-
-
-def _dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with `table` (one row a key; n rows of `rows` have it) on keys that may be hot.
-
-    The fewer than HOT rows of `table` with hot keys are broadcast, the others join by a shuffle.
-    """
-    hot = F.broadcast(table.where(_hot(table, total)))
-    rest = rows.join(hot.select(*keys), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(table.where(~_hot(table, total)), keys))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their full sets, _sa and _sb.
 
     An id that is in very many pairs, as the centre of a large group is, has its set copied to as
-    many salts as its pairs would fill shares of 1 / HOT.
+    many salts as its pairs would fill shares of 1 / common.HOT.
     """
     total = pairs.count()
-    share = max(256, total // HOT)
+    share = max(256, total // common.HOT)
     out = pairs
     for own, other in (("a", "b"), ("b", "a")):
         many = pairs.groupBy(F.col(own).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > share)
@@ -144,20 +127,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         full = full.select(F.col("id").alias(own), "_salt", F.col("shingles").alias(f"_s{own}"))
         out = out.join(many.withColumnRenamed("id", own), own, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
         out = out.join(full, [own, "_salt"]).drop("_salt")
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    out = with_sets(pairs, sets)
     inter = F.size(F.array_intersect("_sa", "_sb"))
     return out.where(_alike(inter, F.size("_sa"), F.size("_sb"), percent)).select("a", "b")
 
 
-def _linked_in_block(ids, flat, size, halves, comp, side, percent: int) -> list[tuple[int, int]]:
-    """Spanning links between rows of the two sides (0 and 1; on one side, all) of one block pair.
+def shared_counts(flat: np.ndarray, size: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Common shingles of each row of `first` with each of `second`.
 
     `flat` has the shingles of all rows end to end, `size` how many each has.
     """
-    n = len(ids)
+    n = len(size)
     owner = np.repeat(np.arange(n, dtype=np.int32), size)
     values, inverse = np.unique(flat, return_inverse=True)
-    first = np.flatnonzero(side == 0)
-    second = np.flatnonzero(side == 1) if (side == 1).any() else first
     inter = np.zeros((len(first), len(second)), np.float32)
     order = np.argsort(inverse, kind="stable")
     inverse, owner = inverse[order], owner[order]
@@ -174,14 +161,11 @@ def _linked_in_block(ids, flat, size, halves, comp, side, percent: int) -> list[
         own = at_second[rows] >= 0
         two[at_second[rows[own]], cols[own]] = 1
         inter += one @ two.T
-    union = size[first][:, None] + size[second][None, :] - inter
-    # A link counts where the two share a table: both a half key of the first and of the second kind.
-    shared_a = np.zeros(inter.shape, bool)
-    shared_b = np.zeros(inter.shape, bool)
-    for k in range(HALVES):
-        shared_a |= halves[first, k][:, None] == halves[second, k][None, :]
-        shared_b |= halves[first, HALVES + k][:, None] == halves[second, HALVES + k][None, :]
-    hit = (100 * inter >= percent * union) & shared_a & shared_b & (comp[first][:, None] != comp[second][None, :])
+    return inter
+
+
+def joining(ids, comp, first, second, hit) -> list[tuple[int, int]]:
+    """Of the hits (rows of `first` by rows of `second`), links that are enough to join the same components."""
     root = {c: c for c in comp.tolist()}
 
     def find(x):
@@ -199,6 +183,22 @@ def _linked_in_block(ids, flat, size, halves, comp, side, percent: int) -> list[
     return out
 
 
+def _linked_in_block(ids, flat, size, halves, comp, side, percent: int) -> list[tuple[int, int]]:
+    """Spanning links between rows of the two sides (0 and 1; on one side, all) of one block pair."""
+    first = np.flatnonzero(side == 0)
+    second = np.flatnonzero(side == 1) if (side == 1).any() else first
+    inter = shared_counts(flat, size, first, second)
+    union = size[first][:, None] + size[second][None, :] - inter
+    # A link counts where the two share a table: both a half key of the first and of the second kind.
+    shared_a = np.zeros(inter.shape, bool)
+    shared_b = np.zeros(inter.shape, bool)
+    for k in range(HALVES):
+        shared_a |= halves[first, k][:, None] == halves[second, k][None, :]
+        shared_b |= halves[first, HALVES + k][:, None] == halves[second, HALVES + k][None, :]
+    hit = (100 * inter >= percent * union) & shared_a & shared_b & (comp[first][:, None] != comp[second][None, :])
+    return joining(ids, comp, first, second, hit)
+
+
 def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signature table of all rows, (id, component) of the doc_ids that have links or copies).
 
@@ -218,7 +218,7 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     # Each row's node: its own id, unless others have the same set.
     copies = nodes.where("n > 1").select(*name, "n", F.col("id").alias("_node"))
     in_rows = signs.count()
-    copied = _dealt_join(full.select("doc_id", *name), copies, name, in_rows).select("doc_id", "_node")
+    copied = common.dealt_join(full.select("doc_id", *name), copies, name, in_rows).select("doc_id", "_node")
     copied = scratch.keep(copied.where("doc_id != _node").distinct())
     # A doc_id with several texts links all that they are in.
     several = scratch.keep(full.select("doc_id", *name).distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
@@ -227,7 +227,7 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     keyed = nodes.select("id", "n_shingles", pair.alias("key"))
     shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     in_tables = shared.agg(F.sum("n")).first()[0] or 0
-    members = scratch.keep(_dealt_join(keyed, shared, ["key"], in_tables))
+    members = scratch.keep(common.dealt_join(keyed, shared, ["key"], in_tables))
 
     small = members.where(F.col("n") <= SMALL_BUCKET)
     other = small.select("key", F.col("id").alias("_id"), F.col("n_shingles").alias("_size"))
@@ -239,13 +239,13 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
         weight = hot.groupBy("id").agg(F.sum("n").alias("weight"))
         top = F.max(F.struct("weight", (-F.col("id")).alias("_less")))
         centres = hot.join(weight, "id").groupBy("key").agg((-top["_less"]).alias("_centre"), F.count("*").alias("n"))
-        spokes = _dealt_join(hot.drop("n"), scratch.keep(centres), ["key"], in_tables).where(F.col("id") != F.col("_centre"))
+        spokes = common.dealt_join(hot.drop("n"), scratch.keep(centres), ["key"], in_tables).where(F.col("id") != F.col("_centre"))
         spokes = scratch.keep(spokes.select(F.col("id").alias("a"), F.col("_centre").alias("b")).distinct())
         pairs = pairs.union(spokes.select("a", "b"))
     pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(_set_table(common.small_join(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi"), words))
+    sets = scratch.keep(set_table(common.small_join(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi"), words))
     found = scratch.keep(_verified(pairs, sets, percent).union(tied))
     grouped = components(found, scratch)
     scratch.free(shared, members)
@@ -258,14 +258,14 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
         blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
         rest = blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))
         most = scratch.keep(most.where("parts > 1").select("family", F.col("most.component").alias("largest"), blocks(F.col("rows"), F.col("shingles")).alias("blocks"), rest.alias("rest_blocks"), F.col("rows").alias("n")))
-        here = scratch.keep(_dealt_join(scratch.keep(here), most, ["family"], here.count()))
+        here = scratch.keep(common.dealt_join(scratch.keep(here), most, ["family"], here.count()))
         if not here.isEmpty():
             found = scratch.keep(found.union(_exact_pass(here, sets, nodes, percent)))
             grouped = components(found, scratch)
     # Ids of copies take the component of the set's name.
     of = copies.groupBy("_node").agg(F.sum("n").alias("n")).join(grouped, F.col("_node") == F.col("id"), "left").select("_node", "n", F.coalesce("component", "_node").alias("component"))
     one = common.small_join(copied, several, "doc_id", "left_anti")
-    joined = _dealt_join(one, scratch.keep(of), ["_node"], in_rows).select(F.col("doc_id").alias("id"), "component")
+    joined = common.dealt_join(one, scratch.keep(of), ["_node"], in_rows).select(F.col("doc_id").alias("id"), "component")
     return signs, grouped.unionByName(joined)
 
 
