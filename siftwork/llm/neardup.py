@@ -45,7 +45,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     bounds = np.searchsorted(row, np.arange(len(column) + 1))
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if high - low >= size:
-            out.append(np.unique(joined[low : high - size + 1]))
+            out.append(common.distinct(joined[low : high - size + 1]))
         elif high > low:  # the whole sequence as one shingle
             whole = np.array([high - low], np.uint64)
             for w in words[low:high]:

@@ -72,7 +72,7 @@ def encoder(json_path: str, ranks_path: str) -> Encoder:
 
 def cuts(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, and the penalty of each; ends: of the documents."""
-    place = np.unique(np.concatenate([np.flatnonzero(stops[ids]) + 1, ends]))
+    place = common.distinct(np.concatenate([np.flatnonzero(stops[ids]) + 1, ends]))
     gap = np.diff(place, prepend=0)
     wide = np.flatnonzero(gap > FAR)
     grid = [np.arange(place[k] - gap[k] + GRID, place[k], GRID) for k in wide.tolist()]

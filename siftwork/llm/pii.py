@@ -352,7 +352,7 @@ def network_spans(texts: list[str], p: dict) -> list[list[tuple[int, int, int]]]
         hit = np.flatnonzero(((points >= 48) & (points <= 57)) | (points == 64))
         if not len(hit):
             continue
-        every = np.unique(np.concatenate([hit // STRIDE, np.maximum(hit // STRIDE - 1, 0)]))
+        every = common.distinct(np.concatenate([hit // STRIDE, np.maximum(hit // STRIDE - 1, 0)]))
         codes = np.where(points < 0x250, _CODE[np.minimum(points, 0x24F)], 1)
         codes = np.concatenate([codes, np.zeros(WINDOW, np.int64)])
         for group in np.split(every, np.flatnonzero(np.diff(every) > 1) + 1):

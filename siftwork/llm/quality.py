@@ -42,8 +42,9 @@ FOLDS = 5
 GROUP_BYTES, GROUP_ROWS = 16 << 20, 1 << 16
 #: Pairs that a counting task holds before it hands on.
 HELD = 1 << 20
-#: Bytes of text for which there is one shard of the counts, and the fewest and most shards.
-SHARD_BYTES, SHARDS_LEAST, SHARDS_MOST = 4 << 20, 16, 1 << 16
+#: Bytes of text for which there is one shard of the counts: the first while there are fewer than SHARDS_NARROW shards,
+#: then more, up to the second; and the fewest and most shards.
+SHARD_BYTES, SHARD_BYTES_WIDE, SHARDS_LEAST, SHARDS_NARROW, SHARDS_MOST = 4 << 20, 64 << 20, 16, 256, 1 << 16
 #: Words as keys: 48 bits, so that a word shares its key with one of 10^8 others with a chance of 4e-7.
 KEY = np.uint64((1 << 48) - 1)
 #: Units of a bit in which a document's sum is added.
@@ -198,7 +199,8 @@ def before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def shards_for(size: int) -> int:
-    return int(min(max(size // SHARD_BYTES, SHARDS_LEAST), SHARDS_MOST))
+    """Shards grow in number, then in size, then in number again: every group asks every shard, so that fewer are better."""
+    return int(min(max(min(size // SHARD_BYTES, SHARDS_NARROW), size // SHARD_BYTES_WIDE, SHARDS_LEAST), SHARDS_MOST))
 
 
 def word_places(key: np.ndarray, shards: int) -> np.ndarray:
@@ -358,7 +360,7 @@ def pair_counts(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
 
     sent = common.arrow_map(docs.select(F.col("text").alias("_text")), count_pairs, "shard int, blob binary")
     sent = sent.repartition("shard").sortWithinPartitions("shard")
-    return sent.mapInArrow(merge, "shard int, blob binary, " + ", ".join(f"{c} long" for c in ("key", *COUNTS, "n1", "n2", "n3", "n4")))
+    return common.arrow_map(sent, merge, "shard int, blob binary, " + ", ".join(f"{c} long" for c in ("key", *COUNTS, "n1", "n2", "n3", "n4")))
 
 
 def _bundle(sorted_: np.ndarray, key: np.ndarray | None, n: np.ndarray) -> bytes:
@@ -494,10 +496,10 @@ def _asked(rows: DataFrame, words: Words, pairs: bool) -> DataFrame:
                 found = pair_places(prev[real], key[real], shards, hot)
             else:
                 found = word_places(key, shards)
-            got.append(np.unique(found))
+            got.append(common.distinct(found))
             held += len(got[-1])
             if ends or held > HELD:
-                got, held = [np.unique(np.concatenate(got))], 0
+                got, held = [common.distinct(np.concatenate(got))], 0
             if ends:
                 yield from _by_shard(grp, got[0], 40 if pairs else 48, shards)
                 got = []
@@ -508,7 +510,7 @@ def _asked(rows: DataFrame, words: Words, pairs: bool) -> DataFrame:
 def _answered(asked: DataFrame, words: Words, pairs: bool) -> DataFrame:
     """(grp, shard, kind, blobs): the counts of what was asked, in the order asked; 0 where not seen.
 
-    A task holds the counts of one shard (SHARD_BYTES of text, while there are less than SHARDS_MOST);
+    A task holds the counts of one shard (SHARD_BYTES_WIDE of text at most, while there are less than SHARDS_MOST);
     questions stream past them.
     """
     count = 1 if pairs else len(COUNTS)
@@ -554,7 +556,7 @@ def _answered(asked: DataFrame, words: Words, pairs: bool) -> DataFrame:
 
     both = model.unionByName(asked.select("shard", F.lit(1).alias("kind"), "grp", "blob", *none))
     both = both.repartition("shard").sortWithinPartitions("shard", "kind")
-    return both.mapInArrow(kernel, "grp long, shard int, kind int, blobs array<binary>, " + _META)
+    return common.arrow_map(both, kernel, "grp long, shard int, kind int, blobs array<binary>, " + _META)
 
 
 def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -644,6 +646,7 @@ def _finisher(words: Words):
         sums = np.concatenate([[0], np.cumsum(bits)])
         n_symbols = own.field("n_symbols").to_numpy()
         value = np.exp2((sums[start] - sums[start + size]) / UNIT / np.maximum(n_symbols, 1))
+        common.give_back()
         return pa.Table.from_arrays([own.field("row_key"), own.field("doc_id"), own.field("lang"), own.field("n_symbols"), pa.array(value)], schema=schema)
 
     return finish
@@ -727,6 +730,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, that classify() keeps; keys of the rejected go to the texts."""
     judged = _judged(docs, labels)
-    bad = judged.where("not kept").select(F.col("row_key").alias("_row_key")).distinct()
-    out = common.small_join(docs.withColumn("_row_key", row_key()), bad, "_row_key", "left_anti").select(*docs.columns)
+    name = "_row_key"
+    while name.lower() in (c.lower() for c in docs.columns):  # columns of the rows' own stay as they are
+        name += "_"
+    bad = judged.where("not kept").select(F.col("row_key").alias(name)).distinct()
+    out = common.small_join(docs.withColumn(name, row_key()), bad, name, "left_anti").select(*docs.columns)
     return judged._siftwork_scratch.tie(out)

@@ -17,6 +17,8 @@ BITS = 20
 PREFIXES = (5, 4)
 #: Labelled rows used for training: those with the smallest hashes of doc_id.
 MOST_LABELLED = 12_000
+#: Features of them that the training task holds, of 4 bytes each.
+MOST_FEATURES = 1 << 26
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
 PASSES = 6
 #: The bias without any labelled row: nothing is flagged.
@@ -50,7 +52,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 def per_row(column: pa.Array) -> list[np.ndarray]:
     """The distinct features of each row."""
     row, feature = features(column)
-    key = np.unique((row << BITS) | feature)
+    key = common.distinct((row << BITS) | feature)
     bounds = np.searchsorted(key, np.arange(len(column) + 1, dtype=np.int64) << BITS)
     key &= (1 << BITS) - 1
     return [key[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -91,14 +93,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, everything: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
     """Train on labelled rows outside the held-out fifth (crc32 of doc_id as text, mod 5 = 0).
 
-    Only ids of the chosen rows reach the driver's plan, at most `most`; their features are made
-    where the texts are and one task trains on them. Null labels are left out.
+    Ids are taken in the order of a hash, at most `most`, each with one text (that of the smallest
+    hash, where the id repeats) and its largest label. Their features are made where the texts are;
+    one task trains on them in that order, until it holds MOST_FEATURES. Null labels are left out.
     """
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("_label"))
     if not everything:
         named = named.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(most)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "_text")
+    chosen = named.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    picked = rows.groupBy("doc_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_one")).select("doc_id", "_label", F.col("_one._text").alias("_text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels_, rows = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            labels_ += batch.column(1).to_pylist()
-            rows += [np.frombuffer(x, "<i4").copy() for x in batch.column(2).to_pylist()]
+        ids, labels_, rows, held = [], [], [], 0
+        for doc_id, label_, x in (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            held += len(x) // 4
+            if held > MOST_FEATURES:
+                break
+            ids.append(doc_id)
+            labels_.append(label_)
+            rows.append(np.frombuffer(x, "<i4").copy())
         if not ids:
             return
         order = sorted(range(len(ids)), key=lambda k: (ids[k], labels_[k], len(rows[k])))
@@ -119,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
         yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1), pa.int64()), pa.array(np.append(w, bias), pa.float64())], names=["feature", "weight"])
 
     sketched = common.arrow_map(picked, sketch, "doc_id long, label double, x binary")
-    got = sketched.repartition(1).mapInArrow(learn, "feature long, weight double").toPandas()
+    got = sketched.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "feature long, weight double").toPandas()
     weights = got[got.feature >= 0].sort_values("feature")
     bias = float(got[got.feature < 0].weight.iloc[0]) if len(got) else NO_LABELS
     return bias, weights.feature.to_numpy(), weights.weight.to_numpy()
@@ -136,7 +143,7 @@ class Scorer:
     def __call__(self, column: pa.Array) -> np.ndarray:
         row, feature = features(column)
         hit = self.table[feature] != 0
-        key = np.unique((row[hit] << BITS) | feature[hit])
+        key = common.distinct((row[hit] << BITS) | feature[hit])
         total = np.bincount(key >> BITS, weights=self.table[key & ((1 << BITS) - 1)], minlength=len(column))
         return 1.0 / (1.0 + np.exp(-np.clip(self.bias + total, -30, 30)))
 
