@@ -141,8 +141,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-#: While a table is written: its shuffle files go when it ends, and Arrow batches are at most 8 MB.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: While a table is written: its shuffle files go when it ends, and Arrow batches are at most 2 MB.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 class Scratch:

@@ -3,8 +3,9 @@
 The distance of two sets is 1 - |intersection| / |union|, which obeys the triangle inequality. Two
 sets link within REACH = 1 - percent / 100. Of the links, what matters are the components.
 
-* Sets that share a minhash meet its smallest id, a candidate pivot. A set within the level's cell
-  radius of pivots belongs to the Voronoi cell of the nearest; every other set is a pivot itself.
+* The smallest id of the sets that share a minhash is a candidate pivot. Of those with which a set
+  shares most minhashes, hence the nearest by that estimate, the distance is taken; a set within the
+  level's cell radius of it belongs to its Voronoi cell, and every other set is a pivot itself.
 * The pivots are joined exactly: pivots p and q with radii R whose cells may hold a link are within
   REACH + R(p) + R(q), so that they share one of the first shingles of each, in one order of all
   shingles; the wider a cell, the more of its pivot's shingles count. The order puts frequent
@@ -18,6 +19,7 @@ sets link within REACH = 1 - percent / 100. Of the links, what matters are the c
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from siftwork.llm import common, neardup
 from siftwork.llm.components import components
 
-#: Minhashes by which a set meets candidate pivots.
-LANDMARKS = 4
+#: Minhashes by which a set meets candidate pivots; so many it shares with the one it is measured against.
+LANDMARKS, SHARED = 6, 2
 #: Cell radii by level, as shares of REACH; the last is 0.
 CELLS = (0.25, 0.125, 0.0)
 #: A shingle list up to this size gives all pairs; larger ones are joined in blocks.
@@ -97,14 +99,21 @@ def _postings(docs: DataFrame, words: int, reach: Column, frequent: np.ndarray)
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, words: int, scratch: common.Scratch) -> DataFrame:
-    """pairs (a, b) with inter and union of their full sets; of an id with several sets, for each."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.keep(neardup.set_table(common.small_join(docs, scratch.keep(wanted), "doc_id", "left_semi"), words))
-    out = neardup.with_sets(pairs, sets)
+    """pairs (a, b) with inter and union of their full sets; of an id with several sets, for each.
+
+    Pairs that are few enough to broadcast go to the sets of one side where these are made, so that a
+    set moves once for each of its pairs; else both sides are shuffled.
+    """
+    pairs = scratch.keep(pairs)
+    ids = lambda *sides: functools.reduce(DataFrame.union, [pairs.select(F.col(x).alias("doc_id")) for x in sides]).distinct()
+    sets = lambda *sides: neardup.set_table(common.small_join(docs, ids(*sides), "doc_id", "left_semi"), words)
+    if pairs.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        first = sets("a").select(F.col("id").alias("a"), F.col("shingles").alias("_sa")).join(F.broadcast(pairs), "a")
+        out = neardup.with_sets(pairs, sets("b"), first, ("b",))
+    else:
+        out = neardup.with_sets(pairs, scratch.keep(sets("a", "b")))
     inter = F.size(F.array_intersect("_sa", "_sb"))
-    out = scratch.keep(out.select("a", "b", inter.alias("inter"), (F.size("_sa") + F.size("_sb") - inter).alias("union")).where("inter > 0"))
-    scratch.free(sets)
-    return out
+    return scratch.keep(out.select("a", "b", inter.alias("inter"), (F.size("_sa") + F.size("_sb") - inter).alias("union")).where("inter > 0"))
 
 
 def _apart() -> Column:
@@ -142,9 +151,10 @@ def _cells(marks: DataFrame, docs: DataFrame, several: DataFrame, words: int, pe
     keyed = marks.select("id", F.posexplode("marks").alias("_k", "_m")).select("id", F.xxhash64("_k", "_m").alias("key"))
     lead = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"))
     total = lead.agg(F.sum("n")).first()[0] or 0
-    met = common.dealt_join(keyed, lead, ["key"], total).where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    near = _measured(scratch.keep(met.distinct()), docs, words, scratch)
-    # Ids with several sets stand alone. A pivot is in no cell itself: cells go to the nearest such one.
+    met = common.dealt_join(keyed, lead, ["key"], total).where("id != lead").groupBy("id", "lead").agg(F.count("*").alias("n"))
+    best = met.where(F.col("n") >= SHARED).groupBy("id").agg(F.max(F.struct("n", (-F.col("lead")).alias("less"))).alias("best"))
+    near = _measured(best.select(F.col("id").alias("a"), (-F.col("best.less")).alias("b")), docs, words, scratch)
+    # Ids with several sets stand alone. A pivot is in no cell itself.
     close = near.where(_apart() <= cell).select("a", "b", _apart().alias("r")) if cell > 0 else near.select("a", "b", F.lit(0.0).alias("r")).limit(0)
     for side in ("a", "b"):
         close = common.small_join(close, several.select(F.col("doc_id").alias(side)), side, "left_anti")
@@ -188,7 +198,8 @@ def _in_blocks(long: DataFrame, known: DataFrame, docs: DataFrame, words: int, p
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     plan = here.groupBy("family", "class").agg(blocks.alias("blocks"), F.count("*").alias("n"))
     plan = scratch.keep(plan.join(rest.groupBy("family", "class").agg(blocks.alias("rest_blocks"), F.count("*").alias("_n")), ["family", "class"]).withColumn("n", F.greatest("n", "_n")).drop("_n"))
-    sets = scratch.keep(neardup.set_table(common.small_join(docs, scratch.keep(here.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi"), words))
+    live = here.join(plan.select("family", "class"), ["family", "class"], "left_semi").select("id").union(rest.select("id"))
+    sets = neardup.set_table(common.small_join(docs, scratch.keep(live.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi"), words)
     count = 3 * here.count()
     at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -111,16 +111,17 @@ def _alike(inter, a, b, percent: int):
     return F.lit(100) * inter >= F.lit(percent) * (a + b - inter)
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their full sets, _sa and _sb.
+def with_sets(pairs: DataFrame, sets: DataFrame, rows: DataFrame | None = None, sides: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """pairs (a, b), or `rows` made from them, with the full sets of `sides`, as _sa and _sb.
 
     An id that is in very many pairs, as the centre of a large group is, has its set copied to as
     many salts as its pairs would fill shares of 1 / common.HOT.
     """
     total = pairs.count()
     share = max(256, total // common.HOT)
-    out = pairs
-    for own, other in (("a", "b"), ("b", "a")):
+    out = pairs if rows is None else rows
+    for own in sides:
+        other = "b" if own == "a" else "a"
         many = pairs.groupBy(F.col(own).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > share)
         many = F.broadcast(many.select("id", F.ceil(F.col("n") / share).cast("int").alias("_salts")))
         full = sets.join(many, "id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))

@@ -41,7 +41,7 @@ FOLDS = 5
 #: A group of documents ends at so many bytes of text, or rows.
 GROUP_BYTES, GROUP_ROWS = 16 << 20, 1 << 16
 #: Pairs that a counting task holds before it hands on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of text for which there is one shard of the counts: the first while there are fewer than SHARDS_NARROW shards,
 #: then more, up to the second; and the fewest and most shards.
 SHARD_BYTES, SHARD_BYTES_WIDE, SHARDS_LEAST, SHARDS_NARROW, SHARDS_MOST = 4 << 20, 64 << 20, 16, 256, 1 << 16
@@ -624,6 +624,7 @@ def _finisher(words: Words):
         parts = [(unpack(blobs[i].as_py()[0]).astype(np.uint32), meta[i]) for i in rows_of(3)]
         number = np.concatenate([p[0] for p in parts])
         own = pa.concat_arrays([p[1].values for p in parts])
+        del parts, got
         size = own.field("words").to_numpy()
         start = np.cumsum(size) - size
         prev = np.empty_like(number)
@@ -639,8 +640,10 @@ def _finisher(words: Words):
             count = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
             if len(count) != len(place):
                 raise RuntimeError("rows changed between two readings of the documents")
-            hit = count[at] > 0
-            real, n = real[hit], count[at[hit]]
+            n = count[at]
+            del place, at, found
+            hit = n > 0
+            real, n = real[hit], n[hit]
             p[real] += (n - _discount(n, fixed.pair_cut)) / seen[prev[real]]
         bits = np.rint(np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(bits)])
