@@ -138,7 +138,7 @@ def test_a_repeated_id_with_several_texts_links_them(spark):
 
 def test_hot_keys_and_small_blocks_lose_nothing(spark, monkeypatch):
     """With every key hot and blocks of a few rows, the result is that of brute force."""
-    monkeypatch.setattr(neardup, "_hot", lambda table, total: neardup.F.col("n") > 2)
+    monkeypatch.setattr(common, "_hot", lambda table, total: neardup.F.col("n") > 2)
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     rows = made(7, 6, 70)
