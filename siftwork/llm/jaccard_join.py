@@ -37,8 +37,9 @@ LANDMARKS, SHARED = 6, 2
 CELLS = (0.25, 0.125, 0.0)
 #: A shingle list up to this size gives all pairs; larger ones are joined in blocks.
 SMALL_LIST = 24
-#: Share of a set, its smallest hashes, that is counted to find frequent shingles; from so many sets on; so many are named.
-COUNTED, FREQUENT_FROM, FREQUENT = 1 / 16, 8, 1 << 17
+#: Share of a set, its smallest hashes, that is counted to find frequent shingles: where no more of a set is frequent than of
+#: it is not among its first shingles, none of the first is. From so many sets on; so many shingles are named.
+COUNTED, FREQUENT_FROM, FREQUENT = 1 / 2, 8, 1 << 17
 #: Sets of a block, and their shingles, as expected.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Far above the rounding of a distance, far below the difference of two.
@@ -57,8 +58,12 @@ def _set_names(docs: DataFrame, words: int) -> DataFrame:
                 size = [len(s) for s in sets]
                 name_a = [int(common.mix64(s).sum().astype(np.int64)) if len(s) else 0 for s in sets]
                 name_b = [int(np.bitwise_xor.reduce(common.mix64(s + np.uint64(77))).astype(np.int64)) if len(s) else 0 for s in sets]
-                marks = np.array([[common.mix64(s ^ salt).min() if len(s) else 0 for salt in salts] for s in sets], np.uint64).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LANDMARKS), pa.array(marks.reshape(-1)))
+                marks = np.zeros((len(sets), LANDMARKS), np.uint64)
+                if full := [k for k, s in enumerate(sets) if len(s)]:
+                    flat, start = np.concatenate([sets[k] for k in full]), np.cumsum([0, *[size[k] for k in full[:-1]]])
+                    for k, salt in enumerate(salts):
+                        marks[full, k] = np.minimum.reduceat((flat ^ salt) * np.uint64(0xD6E8FEB86659FD93), start)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LANDMARKS), pa.array(marks.reshape(-1).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(name_a, pa.int64()), pa.array(name_b, pa.int64()), lists], schema=schema)
 
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, "doc_id long, n_shingles long, set_a long, set_b long, marks array<long>")

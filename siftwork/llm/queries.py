@@ -109,11 +109,11 @@ def _vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
     """Rounds of assigning parts to entries and moving the entries, as one chain of tables."""
     steps = [
         """v AS MATERIALIZED (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 )""",
         f"""cut AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY vec_id, v) AS r, vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) AS t(p)
+  SELECT r, vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) AS t(p)
 )""",
         f"""b0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY r) - 1 AS e FROM cut) WHERE e < {entries})""",
     ]
