@@ -7,7 +7,6 @@ import json
 import logging
 import os
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -44,18 +43,6 @@ def replace_partitions(df: DataFrame, path: str, by: list[str], kind: str = "par
     df.hint("rebalance", *by).write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).save(path)
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares, spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="jobs-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def main(name: str, about: str, paths: list[str], work: Callable[..., object]) -> None:
     """Command line: one option for each path, and --set name=value over the config file or --config."""
     parser = argparse.ArgumentParser(prog=f"jobs/{name}.py", description=about)

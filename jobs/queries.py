@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from jobs import common, passage_store, track_report
+from pyspark.sql import functions as F
+
+from jobs import passage_store, track_report
+from siftwork.session import fresh_folder
 
 
 def job1_passage_store(spark, sf_dir):
-    folder = common.fresh_folder(spark, "job1")
+    folder = fresh_folder(spark, "job1")
     for _ in range(2):  # the second run finds nothing new
         passage_store.run(spark, f"{sf_dir}/documents.parquet", f"{folder}/out", f"{folder}/checkpoint")
     return passage_store.stored(spark, f"{folder}/out")
 
 
 def job2_track_report(spark, sf_dir):
-    folder = common.fresh_folder(spark, "job2")
+    folder = fresh_folder(spark, "job2")
     for _ in range(2):
         track_report.run(spark, f"{sf_dir}/events.parquet", f"{folder}/out")
-    return track_report.stored(spark, f"{folder}/out")
+    return track_report.stored(spark, f"{folder}/out").withColumn("day", F.col("day").cast("string"))
 
 
 PASSAGES = r"""
@@ -37,7 +40,7 @@ SELECT doc_id, CAST(passage_no AS INTEGER) AS passage_no, text,
 TRACKS = """
 WITH f AS (
   SELECT user_id AS track_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, arg_max(event_type, event_id) AS cls, arg_max(value, event_id) AS x FROM events GROUP BY ALL
-), d AS (SELECT *, DATE '1970-01-01' + CAST(frame // 24 AS INTEGER) AS day, nullif(sign(x - 100), 0) AS s FROM f), seen AS (
+), d AS (SELECT *, CAST(DATE '1970-01-01' + CAST(frame // 24 AS INTEGER) AS DATE) AS day, nullif(sign(x - 100), 0) AS s FROM f), seen AS (
   SELECT day, cls, count(DISTINCT track_id) AS tracks, count(*) AS frames FROM d GROUP BY ALL
 ), p AS (
   SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM d
@@ -45,7 +48,7 @@ WITH f AS (
   SELECT day, cls, count(*) AS occlusions, sum(gap) AS occluded_frames
   FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame) - 1 AS gap FROM d WHERE cls <> 'error') WHERE gap >= 15 GROUP BY ALL
 )
-SELECT cls, tracks, frames, coalesce(entered, 0) AS entered, coalesce(gone, 0) AS "left", coalesce(occlusions, 0) AS occlusions, CAST(coalesce(occluded_frames, 0) AS BIGINT) AS occluded_frames, day
+SELECT cls, tracks, frames, coalesce(entered, 0) AS entered, coalesce(gone, 0) AS "left", coalesce(occlusions, 0) AS occlusions, CAST(coalesce(occluded_frames, 0) AS BIGINT) AS occluded_frames, CAST(day AS VARCHAR) AS day
 FROM seen LEFT JOIN crossed USING (day, cls) LEFT JOIN hidden USING (day, cls)
 """
 

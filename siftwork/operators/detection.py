@@ -6,10 +6,11 @@ images are the unit of parallel work, and no Python runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import boxes as B
+from siftwork.operators import scan
 
 XYXY = ("x1", "y1", "x2", "y2")
 #: Overlaps of mAP50-95.
@@ -59,22 +60,20 @@ def _names(by: str | list[str]) -> list[str]:
 def pr_curve(results: DataFrame, n_gt: DataFrame, by: str | list[str] = "cls") -> DataFrame:
     """Precision and recall after each prediction, in the order of confidence, for each value of `by`.
 
-    Equal confidences are summed first: a window over counts per confidence, not over all rows.
+    Equal confidences are summed first; then running sums, which cut a large class into pieces.
     """
     by = _names(by)
     levels = results.groupBy(*by, "conf").agg(F.sum("tp").alias("t"), F.sum("fp").alias("f"))
-    run = Window.partitionBy(*by).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = levels.withColumn("tp", F.sum("t").over(run)).withColumn("fp", F.sum("f").over(run)).join(F.broadcast(n_gt), by)
+    cum = scan.running(levels, by, [F.desc("conf")], -F.col("conf"), {"tp": ("sum", F.col("t")), "fp": ("sum", F.col("f"))}).join(n_gt, by)
     return cum.select(*by, "conf", "tp", "fp", (F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("precision"), (F.col("tp") / F.nullif(F.col("n_gt"), F.lit(0))).alias("recall"))
 
 
 def average_precision(curve: DataFrame, by: str | list[str] = "cls", points: int = 101) -> DataFrame:
     """Mean over recall levels of the best precision at that recall or a higher one."""
     by = _names(by)
-    ends = Window.partitionBy(*by).orderBy(F.desc("recall"), F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    envelope = curve.withColumn("best", F.max("precision").over(ends))
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy("recall", F.desc("conf"))), F.lit(-1.0))
-    steps = envelope.withColumn("_before", before)
+    levels = curve.groupBy(*by, "recall").agg(F.max("precision").alias("precision"))
+    envelope = scan.running(levels, by, [F.desc("recall")], -F.col("recall"), {"best": ("max", F.col("precision"))})
+    steps = scan.running(envelope, by, [F.col("recall")], F.col("recall"), {"_last": ("max", F.col("recall"))}, own=False).withColumn("_before", F.coalesce("_last", F.lit(-1.0)))
     level = lambda k: k * F.lit(0.01) if points == 101 else k / F.lit(float(points - 1))
     hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: (level(k) <= F.col("recall")) & (level(k) > F.col("_before"))))
     return steps.groupBy(*by).agg(F.round(F.sum(hits * F.col("best")) / points, 6).alias("ap"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators import scan
+
 
 def ranking(hits: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     """For each qid of `grades`: precision, recall, hit, rr, dcg, ndcg and ap at k.
@@ -58,10 +60,8 @@ def precision_ceiling(grades: DataFrame, k: int) -> DataFrame:
 
 def nearest_rank_p95(values: DataFrame, value: str, by: str) -> DataFrame:
     """sorted[int(.95 n) - 1], and for one value that value."""
-    order = Window.partitionBy(by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(by))
-    at = values.withColumn("_i", F.row_number().over(order)).withColumn("_n", n)
-    return at.where(F.col("_i") == F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95))).select(by, F.col(value).alias("p95"))
+    counts = values.groupBy(by, value).agg(F.count("*").alias("c"))
+    return scan.at_rank(counts, [by], value, lambda n: F.greatest(F.lit(1), F.floor(n * 0.95))).select(by, F.col(value).alias("p95"))
 
 
 def refusal_sweep(scores: DataFrame, steps: int = 89) -> DataFrame:

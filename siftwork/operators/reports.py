@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import boxes as B
-from siftwork.operators import detection
+from siftwork.operators import detection, scan
 
 SPLITS = ("train", "val", "test")
 BANDS = ("small", "medium", "large")
@@ -51,12 +51,12 @@ def ablation(per_query: DataFrame, latencies: DataFrame, ceiling: DataFrame, bas
     ceiling, and latencies at the median and at sorted[int(.95 n) - 1].
 
     per_query (arm, qid, metrics); latencies (arm, ms). Latencies are counted by value first, so
-    that the windows run over distinct values.
+    that the running sums are over distinct values.
     """
     means = per_query.groupBy("arm").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("precision", "recall", "hit", "rr", "ndcg")])
     counts = latencies.groupBy("arm", "ms").agg(F.count("*").alias("c"))
-    run = Window.partitionBy("arm").orderBy("ms")
-    cum = counts.withColumn("upto", F.sum("c").over(run)).withColumn("all", F.sum("c").over(Window.partitionBy("arm")))
+    upto = scan.running(counts, ["arm"], ["ms"], F.col("ms"), {"upto": ("sum", F.col("c"))})
+    cum = upto.join(counts.groupBy("arm").agg(F.sum("c").alias("all")), "arm")
     at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("ms")))
     low, high = at(F.floor((F.col("all") + 1) / 2)), at(F.floor(F.col("all") / 2) + 1)
     times = cum.groupBy("arm").agg(F.round((low + high) / 2, 1).alias("p50"), F.round(at(F.greatest(F.lit(1), F.floor(F.col("all") * 0.95))), 1).alias("p95"))
@@ -290,10 +290,10 @@ def tracking_bundle(clear: DataFrame, identity: DataFrame, hota: DataFrame, n_fr
 def smoothed_rate(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
     """The last value of an exponential average over a group's rows in order; the first one starts it.
 
-    The weights of a window of 400 rows hold all but 1e-18 of it at `keep` 0.9, so that no group is gathered.
+    A row's weight follows from its number from the end; all rows count, and a large group is cut into
+    pieces to number them. `order` is a number, unique within a group.
     """
-    back = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
-    n = F.count("*").over(Window.partitionBy(by))
-    some = rows.withColumn("_b", back).withColumn("_n", n).where(F.col("_b") <= 400)
-    weight = F.pow(F.lit(keep), F.col("_b") - 1) * F.when(F.col("_b") == F.col("_n"), 1.0).otherwise(1 - keep)
-    return some.groupBy(by).agg(F.round(F.sum(F.col(value) * weight), 6).alias("rate"))
+    back = scan.numbered(rows, [by], [F.desc(order)], -F.col(order), "_b")
+    weight = F.pow(F.lit(keep), F.col("_b") - 1)
+    first = F.max_by(F.col(value) * weight, F.col("_b")) * keep  # on top of the share of every row
+    return back.groupBy(by).agg(F.round(F.sum(F.col(value) * weight) * (1 - keep) + first, 6).alias("rate"))

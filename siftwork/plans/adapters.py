@@ -30,10 +30,18 @@ def questions(spark, d) -> DataFrame:
 
 
 def spans(spark, d) -> DataFrame:
-    """Two spans of each question: its first 60 characters (grade 3) and the 60 after them (grade 2)."""
+    """The whole text of each question in spans of 60 characters, the last with the rest: the first of grade 3, the others of grade 2."""
     q = table(pin(spark), d, "benchmark")
-    first = q.select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("span"), F.lit(3).alias("grade"))
-    return first.unionByName(q.where(F.length("text") > 100).select(F.col("item_id").alias("qid"), F.substring("text", 61, 60).alias("span"), F.lit(2).alias("grade")))
+    last = F.greatest(F.floor(F.length("text") / 60).cast("int") - 1, F.lit(0))
+    cut = q.select(F.col("item_id").alias("qid"), "text", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    span = F.col("text").substr(F.col("_i") * 60 + 1, F.when(F.col("_i") == F.col("_last"), F.length("text")).otherwise(60))
+    return cut.select("qid", span.alias("span"), F.when(F.col("_i") == 0, 3).otherwise(2).alias("grade"))
+
+
+def graded_chunks(spark, d) -> DataFrame:
+    """Documents as chunks: of the document that their source is, a hundred ids being a section."""
+    section = F.floor(F.col("doc_id") / 100).cast("string")
+    return documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), section.alias("section"), "text")
 
 
 def pages(spark, d) -> DataFrame:

@@ -9,7 +9,8 @@ from siftwork.functions import text as T
 from siftwork.functions import vectors as V
 from siftwork.operators import detection, ingest, labels, metrics, retrieval, tracking_metrics, tracks
 from siftwork.plans import adapters as A
-from siftwork.session import pin, table
+from siftwork.session import fresh_folder, pin, table
+from siftwork.sources import lexical_index, vector_cache
 from siftwork.streaming import tracker
 
 QUERIES: dict = {}
@@ -30,8 +31,11 @@ WITH_BM25 = f"""{WITH_TOKENS},
   sparse AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0))"""
 WITH_GRADES = """d AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS body FROM documents),
   s AS (SELECT item_id AS qid, trim(regexp_replace(lower(span), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS span, grade FROM (
-    SELECT item_id, substr(text, 1, 60) AS span, 3 AS grade FROM benchmark UNION ALL SELECT item_id, substr(text, 61, 60), 2 FROM benchmark WHERE length(text) > 100)),
-  grades AS (SELECT qid, id, max(grade) AS grade FROM d JOIN s ON contains(body, span) GROUP BY ALL)"""
+    SELECT item_id, substr(text, 60 * i + 1, CASE WHEN i = k - 1 THEN length(text) ELSE 60 END) AS span, CASE WHEN i = 0 THEN 3 ELSE 2 END AS grade
+    FROM (SELECT item_id, text, k, unnest(range(k)) AS i FROM (SELECT item_id, text, greatest(1, length(text) // 60) AS k FROM benchmark)))),
+  direct AS (SELECT qid, id, max(grade) AS grade FROM d JOIN s ON contains(body, span) GROUP BY ALL),
+  beside AS (SELECT DISTINCT qid, b.doc_id AS id, 1 AS grade FROM direct g JOIN documents a ON a.doc_id = g.id JOIN documents b ON a.source = b.source AND a.doc_id // 100 = b.doc_id // 100 WHERE g.grade = 3),
+  grades AS (SELECT qid, id, max(grade) AS grade FROM (SELECT * FROM direct UNION ALL SELECT * FROM beside) GROUP BY ALL)"""
 WITH_DENSE = """dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
     SELECT b.item_id AS qid, c.vec_id AS id, round(list_dot_product(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
     FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id CROSS JOIN embeddings c)))"""
@@ -93,6 +97,29 @@ def bm25_top(spark, d):
     return retrieval.bm25(A.texts(spark, d), A.questions(spark, d)).select("qid", "id", "score", "rank")
 
 
+@query(f"WITH {WITH_BM25} SELECT qid, id, score, rank FROM sparse WHERE rank <= 10")
+def bm25_stored(spark, d):
+    """bm25_top from an index that is written first and opened by its fingerprint."""
+    docs, folder = A.texts(spark, d), fresh_folder(spark, "lexical")
+    mark = lexical_index.write(docs, folder)
+    return lexical_index.Index(spark, folder, mark).search(A.questions(spark, d), 10).select("qid", "id", "score", "rank")
+
+
+@query("""WITH t AS (SELECT doc_id, sha256(concat('m', chr(0), text)) AS key, n_chars FROM documents WHERE text IS NOT NULL), b AS (
+    SELECT 0 AS batch, doc_id AS seq, key, n_chars AS value FROM t WHERE doc_id % 2 = 0 UNION ALL SELECT 1, -doc_id, key, -n_chars FROM t WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id, key, 7 * n_chars FROM t WHERE doc_id % 5 = 0)
+  SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY batch DESC, seq DESC, value DESC) AS r FROM b) WHERE r = 1""")
+def cache_replacements(spark, d):
+    """Three batches of content keys, each replacing what the earlier ones hold; the second is written twice."""
+    t, folder = A.documents(spark, d).where("text IS NOT NULL"), fresh_folder(spark, "cache")
+    rows = lambda where, seq, value: t.where(where).select(vector_cache.key_of("m", F.col("text")).alias("key"), seq.alias("seq"), value.alias("value"))
+    i, n = F.col("doc_id"), F.col("n_chars")
+    vector_cache.put(rows("doc_id % 2 = 0", i, n), folder, 0)
+    for _ in range(2):
+        vector_cache.put(rows("doc_id % 3 = 0", -i, -n), folder, 1)
+    vector_cache.put(rows("doc_id % 5 = 0", i, 7 * n), folder, 2)
+    return vector_cache.latest(spark, folder)
+
+
 def _legs(spark, d, k=25):
     items = A.questions(spark, d).select("qid")
     asked = A.vectors(spark, d).join(items, F.col("id") == F.col("qid")).select("qid", F.col("vec").alias("qvec"))
@@ -137,11 +164,11 @@ def embedding_cache(spark, d):
 
 @query(f"WITH {WITH_GRADES} SELECT qid, id AS chunk_id, CAST(grade AS INTEGER) AS grade FROM grades")
 def resolve_grades(spark, d):
-    return ingest.resolve_grades(A.spans(spark, d), A.texts(spark, d).withColumnRenamed("id", "chunk_id"))
+    return ingest.resolve_grades(A.spans(spark, d), A.graded_chunks(spark, d))
 
 
 def _grades(spark, d):
-    return ingest.resolve_grades(A.spans(spark, d), A.texts(spark, d).withColumnRenamed("id", "chunk_id")).withColumnRenamed("chunk_id", "id")
+    return ingest.resolve_grades(A.spans(spark, d), A.graded_chunks(spark, d)).withColumnRenamed("chunk_id", "id")
 
 
 PER_QUERY = f"""WITH {WITH_BM25}, {WITH_GRADES},

@@ -1,7 +1,10 @@
-"""One place for the session settings that results depend on."""
+"""One place for the session settings that results depend on, and for folders of written tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that change values (time zone) or that every plan here relies on.
@@ -43,3 +46,13 @@ def spread(df):
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster shares, spark.checkpoint.dir; on one machine a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="siftwork-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

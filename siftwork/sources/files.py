@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
-from siftwork.operators import labels
+from siftwork.operators import labels, scan
 
 SUPPORTED = ("md", "txt", "html", "htm", "csv", "pdf", "docx")
 
@@ -31,10 +31,10 @@ def read_csv_documents(spark: SparkSession, path: str, separator: str | None = N
         separator = max(",;\t|", key=head.count)
     rows = spark.read.option("header", True).option("sep", separator).csv(path)
     filled = [F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c}: "), F.trim(F.col(f"`{c}`")))) for c in rows.columns]
-    # Row numbers follow the file; a file is one document, so that its rows are its own order.
-    numbered = rows.select(F.concat_ws("; ", *filled).alias("_t"), F.monotonically_increasing_id().alias("_m"))
-    i = F.row_number().over(Window.orderBy("_m"))
-    return numbered.select(i.alias("row_no"), F.concat(F.lit("Row "), i.cast("string"), F.lit(" -- "), "_t").alias("text"))
+    # Row numbers follow the splits of the file, in order, and the rows in each.
+    rows = rows.select(F.concat_ws("; ", *filled).alias("_t"), F.monotonically_increasing_id().alias("_m"))
+    numbered = scan.numbered(rows, [], ["_m"], F.col("_m"), "row_no")
+    return numbered.select("row_no", F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(" -- "), "_t").alias("text"))
 
 
 def guard(files: DataFrame, most_mb: int = 200, least_chars: int = 50) -> DataFrame:
