@@ -26,11 +26,12 @@ KINDS = {
     "root": "html", "head": "head title meta link base", "body": "body", "article": "article", "main": "main",
     "section": "section", "div": "div center", "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu",
     "item": "li dt dd", "table": "table tbody thead tfoot tr caption", "cell": "td th", "quote": "blockquote pre figure figcaption details summary",
-    "nav": "nav", "header": "header", "footer": "footer address", "aside": "aside", "form": "form button select option textarea fieldset label legend input datalist",
+    "nav": "nav", "header": "header", "footer": "footer address", "aside": "aside", "form": "form fieldset legend label", "control": "button select option datalist input textarea",
     "dialog": "dialog", "lead": "header-in-article",
 }
 KIND_OF = {tag: k for k, tags in enumerate(KINDS.values()) for tag in tags.split()}
-LEAD = KIND_OF["header-in-article"]
+LEAD, PARAGRAPH = KIND_OF["header-in-article"], KIND_OF["p"]
+_ARTICLES = {KIND_OF["article"], KIND_OF["main"]}
 #: Words in class, id and role, by what they say.
 HINTS = [
     r"\b(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner)\b",
@@ -43,6 +44,7 @@ HINTS = [
     r"\b(?:share|sharing|social|follow|newsletter|subscribe|signup|login|search\w*|form|tags|meta|byline|author)\b",
     r"\b(?:hidden|sr-only|visually-hidden|d-none)\b",
     r"\b(?:article\w*|content|post|entry|story|main|text|page-content|post-content|entry-content|prose|copy|articlebody)\b",
+    r"\b(?:content|article|post|entry|story|text)[-_ ](?:foot|head)\w*\b",
 ]
 _HINTS = [re.compile(x) for x in HINTS]
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -54,7 +56,12 @@ RAW = frozenset("script style noscript template iframe object svg canvas audio v
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BREAKS = frozenset({"br", "hr"})
 _FEATURES_TEXT = 5
-N_FEATURES = len(KINDS) + 1 + len(HINTS) + _FEATURES_TEXT + 3 + 1
+N_FEATURES = len(KINDS) + 1 + len(HINTS) + _FEATURES_TEXT + 4 + 1 + 4
+#: Bits of the hints with a use of their own: what comments, hides, or names the content.
+COMMENTS, HIDDEN, CONTENT, EDGE = 2, 8, 9, 10
+#: Hints of page footers and headers, which the head or foot of a content is not.
+_PAGE_EDGES = 1 << 4 | 1 << 5 | 1 << CONTENT
+_GOLD = re.compile(r'data-gold="([01])"')
 _MARKS = re.compile(r"©|\bcookies\b|\bsign up\b|\blog ?in\b|\bnewsletter\b", re.I)
 
 
@@ -65,29 +72,34 @@ class Page:
     them, but for hidden ones, which are no text.
     """
 
-    __slots__ = ("parent", "kind", "hints", "chars", "linked", "marks", "blocks", "gold", "depth")
+    __slots__ = ("parent", "kind", "hints", "chars", "linked", "marks", "blocks", "gold", "depth", "within")
 
     def __init__(self, source: str):
-        self.parent, self.kind, self.hints, self.chars, self.linked, self.marks, self.gold, self.depth = [-1], [0], [0], [0], [0], [0], [-1], [0]
+        self.parent, self.kind, self.hints, self.chars, self.linked, self.marks, self.gold, self.depth, self.within = [-1], [0], [0], [0], [0], [0], [-1], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._parse(source)
 
     def _node(self, parent: int, kind: int, hints: int, gold: int) -> int:
         for field, value in zip((self.parent, self.kind, self.hints, self.chars, self.linked, self.marks, self.gold, self.depth), (parent, kind, hints, 0, 0, 0, gold, self.depth[parent] + 1), strict=True):
             field.append(value)
+        # Whether an element above is an article, or is named as the content.
+        self.within.append(int(self.within[parent] or self.kind[parent] in _ARTICLES or self.hints[parent] >> CONTENT & 1))
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, hidden inline
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, node, hidden inline, comments
         parts: list[str] = []
-        state = [0, 0, 0]  # node of the open block; links and hidden inline elements open
+        state = [0, 0, 0, 0]  # node of the open block; links, hidden inline elements and comments open
         many: dict[str, int] = {}  # open elements by tag
+        unending: set[str] = set()  # tags of which no end follows
+        last = source.rfind(">")  # what begins after it is no tag
 
         def cut(k: int) -> None:
-            for tag, _, hidden in stack[k:]:
+            for tag, _, hidden, comments in stack[k:]:
                 many[tag] -= 1
                 state[1] -= tag == "a"
                 state[2] -= hidden
+                state[3] -= comments
             del stack[k:]
 
         def close() -> None:
@@ -114,7 +126,7 @@ class Page:
 
         at, size = 0, len(source)
         while at < size:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at) if at <= last or "<!--" in source[at:] else None
             if m is None:
                 add(source[at:])
                 break
@@ -133,9 +145,12 @@ class Page:
                         break
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at) if not attrs.endswith("/") or tag in ("script", "style", "title", "textarea") else None
+                ends_itself = attrs.endswith("/") and tag not in ("script", "style", "title", "textarea")
+                end = None if ends_itself or tag in unending else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at, last + 1)
                 if end:
                     at = end.end()
+                elif not ends_itself:
+                    unending.add(tag)
                 elif tag in ("script", "style", "title", "textarea"):
                     at = size
                 if tag in ("textarea", "title", "iframe", "object"):
@@ -162,7 +177,7 @@ class Page:
                 for name, value in _ATTR.findall(attrs):
                     name, value = name.lower(), value.strip("\"'").lower()
                     if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                        hints |= 1 << 8
+                        hints |= 1 << HIDDEN
                     elif name in ("class", "id", "role"):
                         words.append(value)
                 if words:
@@ -171,18 +186,21 @@ class Page:
                     for b, pattern in enumerate(_HINTS):
                         if pattern.search(said):
                             hints |= 1 << b
-                if "data-gold" in attrs:
-                    gold = int(attrs[attrs.index("data-gold=") + 11])
+                    if hints >> EDGE & 1:
+                        hints &= ~_PAGE_EDGES
+                if "data-gold" in attrs and (mark := _GOLD.search(attrs)):
+                    gold = int(mark[1])
             node = stack[-1][1]
             if block:
-                kind = LEAD if tag == "header" and many.get("article") else KIND_OF[tag]
+                kind = LEAD if tag == "header" and many.get("article") and not state[3] else KIND_OF[tag]
                 node = self._node(node, kind, hints, gold)
             if not attrs.endswith("/"):
-                hidden = not block and bool(hints >> 8 & 1)
-                stack.append((tag, node, hidden))
+                hidden, comments = not block and bool(hints >> HIDDEN & 1), bool(hints >> COMMENTS & 1)
+                stack.append((tag, node, hidden, comments))
                 many[tag] = many.get(tag, 0) + 1
                 state[1] += tag == "a"
                 state[2] += hidden
+                state[3] += comments
         close()
 
 
@@ -204,8 +222,17 @@ def encode(pages: list[Page]) -> dict[str, np.ndarray]:
     x[rows, at + np.searchsorted([1, 20, 80, 200], chars, side="right")] = 1
     at += _FEATURES_TEXT
     share = linked / np.maximum(chars, 1)
-    x[rows, at + np.where(chars == 0, 0, np.where(share < 0.5, 1, 2))] = 1
-    x[:, at + 3] = marks
+    # Prose beside a node: plain text of paragraphs with the same parent. Links there are part of it.
+    prose = np.where((kind == PARAGRAPH) & (share < 0.5), chars, 0)
+    beside = np.zeros(len(parent))
+    child = parent >= 0
+    np.add.at(beside, parent[child], prose[child])
+    beside = np.where(child, beside[parent] - prose, 0)
+    x[rows, at + np.where(chars == 0, 0, np.where(share < 0.5, 1, np.where(beside < 200, 2, 3)))] = 1
+    x[:, at + 4] = marks
+    at += 5
+    x[rows, at + np.searchsorted([1, 200], beside, side="right")] = 1
+    x[:, at + 3] = cat("within")
     return {"parent": parent, "kind": kind, "depth": cat("depth"), "x": x, "start": start, "gold": cat("gold")}
 
 
@@ -237,10 +264,10 @@ def marginals(nodes: dict[str, np.ndarray], weights: np.ndarray, edges: np.ndarr
         flat = both.reshape(-1, 4)
         joint[level] = np.exp(both - _lse(flat)[:, None, None])
     roots = levels[0]
-    return 1 / (1 + np.exp(belief[:, 0] - belief[:, 1])), joint, float(_lse(belief[roots]).sum())
+    return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), joint, float(_lse(belief[roots]).sum())
 
 
-def fit(pages: list[Page], steps: int = 160, rate: float = 0.15, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(pages: list[Page], steps: int = 220, rate: float = 0.2, decay: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights by Adam on the exact gradient of the log-likelihood."""
     nodes = encode(pages)
     gold, parent, kind = nodes["gold"].copy(), nodes["parent"], nodes["kind"]
@@ -298,29 +325,55 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
             body = "<b>" + body + r.choice(["</b>", "<br>", ""]) + sentences(1, 2)
         return body
 
+    def comment(gold: str = "", *classes: str) -> str:
+        by = r.choice(["", "", tag("header", r.choice([words(1, 2), tag("h4", words(1, 2))])), tag("h4", words(1, 2)), tag("footer", words(1, 3)), tag("p", tag("a", words(1, 2), href="/u"))])
+        return tag(r.choice(["div", "li", "article"]), by + tag("p", sentences(1, 5)), gold, cls=r.choice(classes or ["comment", "reply", "", "comment-body"]))
+
     def article() -> str:
         out = [tag(r.choice(["h1", "h1", "h2"]), words(2, 12))] if r.random() < 0.9 else []
         for _ in range(r.randint(1, 14) if r.random() < 0.7 else 1):
             x = r.random() if r.random() < 0.9 else 0.0
-            if x < 0.7:
+            if x < 0.62:
                 out.append("<p>" + paragraph() + r.choice(["</p>", "</p>", ""]))
-            elif x < 0.78:
+            elif x < 0.7:
                 out.append(tag(r.choice(["h2", "h3"]), words(1, 7)))
-            elif x < 0.84:
+            elif x < 0.75:
                 out.append(tag(r.choice(["ul", "ol"]), "".join(tag("li", words(1, 20)) for _ in range(r.randint(2, 5)))))
-            elif x < 0.88:
+            elif x < 0.79:
                 out.append(tag("blockquote", tag("p", sentences(1, 3))))
-            elif x < 0.91:
+            elif x < 0.81:
                 out.append(tag("pre", words(3, 20)))
-            elif x < 0.94:
+            elif x < 0.84:
                 out.append(tag("table", "".join(tag("tr", "".join(tag("td", words(1, 4)) for _ in range(3))) for _ in range(3))))
-            elif x < 0.97:
-                out.append(tag("div", paragraph()))
+            elif x < 0.87:
+                out.append(tag("div", r.choice([paragraph(), tag("p", paragraph())]), cls=r.choice(["", "content-footer", "content-header", "article-footer", "note", "more", "text-block"])))
+            elif x < 0.97:  # links that are part of the text, and forms that are not
+                y = r.randrange(7)
+                if y == 0:
+                    out.append(tag("p", words(1, 4) + " " + tag("a", words(1, 4), href="/w") + ".", cls=r.choice(["", "", "more"])))
+                elif y == 1:
+                    out.append(tag("p", tag("a", words(1, 9), href="/w"), cls=r.choice(["", "", "more"])))
+                elif y == 2:
+                    out.append(tag(r.choice(["ul", "ol"]), links(r.randint(2, 6), 1, 6)))
+                elif y == 3:
+                    out.append(tag("button", words(1, 3), "0"))
+                elif y == 4:
+                    out.append("<p>" + sentences(1, 3) + " " + tag("button", words(1, 2), "0") + " " + sentences(1, 2) + "</p>")
+                elif y == 5:
+                    out.append(tag("form", tag("label", words(1, 3)) + tag(r.choice(["button", "select", "textarea"]), words(1, 2)), "0"))
+                else:
+                    out.append(tag("p", sentences(1, 1), cls=r.choice(["more", "first", "byline-text", "top"])))
             else:
                 out.append(tag(r.choice(["div", "aside", "p"]), sentences(1, 2), "0", cls=r.choice(["ad", "ads", "advert", "sponsored", "promo", "related", "newsletter-signup", "share"])))
+        if r.random() < 0.25:
+            out.insert(r.randint(0, len(out)), tag(r.choice(["button", "button", "select", "textarea"]), words(1, 3), "0"))
+        if r.random() < 0.12:
+            out.insert(r.randint(1, len(out)) if out else 0, comment("0", "comment", "reply", "reader-comment"))
         body = "".join(out)
         if r.random() < 0.15:
             body = tag("section", body)
+        if r.random() < 0.12:
+            body += tag(r.choice(["div", "footer"]), tag("ul", links(r.randint(1, 4))) if r.random() < 0.5 else "".join(tag("a", words(1, 2), href="/t") + " " for _ in range(3)), "0", cls=r.choice(["entry-footer", "post-footer", "article-footer", "tags"]))
         if r.random() < 0.15:
             body = tag("header", tag("h1", words(2, 12)) + (tag("p", words(2, 14)) if r.random() < 0.4 else "")) + body
         return body
@@ -336,7 +389,6 @@ def labelled_pages(count: int = 600, seed: int = 11) -> list[str]:
         if x == 3:
             return tag(r.choice(["div", "section", "p"]), r.choice([sentences(1, 3), tag("p", sentences(1, 3))]), "0", cls=r.choice(["ad", "ads", "advert", "advertisement", "ad-slot", "sponsor", "promo", "banner"]))
         if x == 4:
-            comment = lambda: tag(r.choice(["div", "li", "article"]), tag("p", sentences(1, 5)), cls=r.choice(["comment", "reply", "", "comment-body"]))
             return tag(r.choice(["div", "section", "ol"]), (tag("h2", words(1, 3)) if r.random() < 0.5 else "") + "".join(comment() for _ in range(r.randint(1, 5))), "0", **{r.choice(["cls", "id"]): r.choice(["comments", "comment-list", "commentlist", "responses", "disqus_thread", "discussion", "reader-comments"])})
         if x == 5:
             return tag(r.choice(["div", "section", "p"]), sentences(1, 3) + tag("button", word()), "0", **{r.choice(["cls", "id"]): r.choice(["cookie-notice", "cookie-banner", "consent", "notice", "alert", "gdpr", "popup", "modal"])})

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -172,6 +173,32 @@ def test_main_text(spark):
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in rows] == [(1, "", 0), (2, "T & U One bolder. Two Three x", 29)]
 
 
+PROSE = "Plenty of plain words stand here, so that this is a paragraph of prose, with commas and a full stop at its end. " * 3
+
+
+@pytest.mark.parametrize(
+    "inner,kept",
+    [
+        ('<p>More at <a href="/x">this place</a>.</p>', "More at this place."), ("<ul><li><a href=1>one thing</a></li><li><a href=2>another</a></li></ul>", "one thing another"),
+        ("<p><a href=3>A paragraph that is a link</a></p>", "A paragraph that is a link"), ('<p class="more">More of it</p>', "More of it"), ('<div class="content-footer"><p>The end of it.</p></div>', "The end of it."),
+        ("<button>Click me</button>", ""), ("<p>before <button>Go</button> after</p>", "before after"), ("<form><label>Mail</label><input><button>Join</button></form>", ""),
+        ('<article class="comment"><header>Bob</header><p>I like it</p></article>', ""), ('<div class="comment"><header><h4>Bob</h4></header><p>Nice one</p></div>', ""),
+        ('<div class="ad">Buy now</div>', ""), ('<div data-gold="x">Odd</div>', "Odd"), ("<div data-gold>Odd</div>", "Odd"),
+    ],
+)
+def test_what_stands_in_an_article(inner, kept):
+    page = f'<html><body><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><article><h1>Title of it</h1><p>{PROSE}</p>{inner}<p>{PROSE}</p></article><aside><p>Side text</p></aside><footer>&copy; z</footer></body></html>'
+    want = " ".join(x for x in ("Title of it", PROSE.strip(), kept, PROSE.strip()) if x)
+    assert html_crf.extract([page], *html_crf.model()) == [want]
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<p class="x', "<noscript>", "<svg>", "<a '>", "<p><b>", "<!--", "<li>", "</p>", "<td>x", "<a \"x\" ' >", "<", "&#"])
+def test_a_hostile_page_takes_seconds(piece):
+    began = time.process_time()
+    html_crf.extract([piece * (500_000 // len(piece))], *html_crf.model())
+    assert time.process_time() - began < 15
+
+
 def test_marginals_against_enumeration():
     r = np.random.default_rng(0)
     parent = np.array([-1, 0, 0, 1, 1])
