@@ -118,13 +118,15 @@ def idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
 
 def hota(gt: DataFrame, pred: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """(alpha, hota, deta, assa), frame matches by overlap alone at each alpha; ignored boxes absorb nothing."""
-    parts = matches_at(gt, pred, tuple(alphas))
-    counts = parts.groupBy("alpha").agg(F.count(F.when(F.col("kind") == "match", 1)).alias("tp"), F.count(F.when(F.col("kind") == "miss", 1)).alias("fn"), F.count(F.when(F.col("kind").isin("extra", "ignored"), 1)).alias("fp"))
-    pair = parts.where("kind = 'match'").groupBy("alpha", "seq", "gt_id", "pred_id").agg(F.count("*").alias("tpa"))
+    # Matches, misses and extras are counted by pair in one pass over the kernel's rows; a miss has no prediction, an extra no truth.
+    parts = matches_at(gt, pred, tuple(alphas)).groupBy("alpha", "seq", "gt_id", "pred_id").agg(F.count("*").alias("n"))
     of_g = gt.where(~F.col("ign")).groupBy("seq", F.col("track_id").alias("gt_id")).agg(F.count("*").alias("ng"))
     of_p = pred.groupBy("seq", F.col("track_id").alias("pred_id")).agg(F.count("*").alias("np"))
-    a = F.col("tpa")
-    assoc = pair.join(of_g, ["seq", "gt_id"]).join(of_p, ["seq", "pred_id"]).groupBy("alpha").agg(F.sum(a * a / (F.col("ng") + F.col("np") - a)).alias("s"))
+    n, both = F.col("n"), F.col("gt_id").isNotNull() & F.col("pred_id").isNotNull()
+    total = lambda which: F.coalesce(F.sum(F.when(which, n)), F.lit(0))
+    sums = parts.join(of_g, ["seq", "gt_id"], "left").join(of_p, ["seq", "pred_id"], "left").groupBy("alpha").agg(
+        total(both).alias("tp"), total(F.col("pred_id").isNull()).alias("fn"), total(F.col("gt_id").isNull()).alias("fp"), F.sum(F.when(both, n * n / (F.col("ng") + F.col("np") - n))).alias("s")
+    )
     deta = F.col("tp") / F.nullif(F.col("tp") + F.col("fn") + F.col("fp"), F.lit(0))
     assa = F.coalesce(F.col("s") / F.nullif(F.col("tp"), F.lit(0)), F.lit(0.0))
-    return counts.join(assoc, "alpha", "left").select("alpha", F.round(F.sqrt(F.coalesce(deta, F.lit(0.0)) * assa), 6).alias("hota"), F.round(F.coalesce(deta, F.lit(0.0)), 6).alias("deta"), F.round(assa, 6).alias("assa"))
+    return sums.select("alpha", F.round(F.sqrt(F.coalesce(deta, F.lit(0.0)) * assa), 6).alias("hota"), F.round(F.coalesce(deta, F.lit(0.0)), 6).alias("deta"), F.round(assa, 6).alias("assa"))

@@ -50,6 +50,27 @@ WITH_BOXES = """g AS (SELECT CAST(l_orderkey AS BIGINT) AS image_id, row_number(
 WITH_FRAMES = """u AS (SELECT track_id, frame, cls, x FROM (SELECT CAST(user_id AS BIGINT) AS track_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame, event_type AS cls, CAST(value AS DOUBLE) AS x,
     row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)"""
 
+#: Truth rows with the prediction at the same place, if there is one, as adapters.track_boxes() makes them.
+WITH_TRACKS = WITH_FRAMES + """,
+  pred AS (SELECT track_id % 16 AS seq, frame, CASE WHEN frame % 5 = 0 THEN track_id + 100000 ELSE track_id END AS pred_id, track_id AS gt_id, (20.0::DOUBLE - frame % 4) / (20 + frame % 4) AS iou FROM u WHERE (frame * 7 + track_id) % 9 <> 0),
+  m AS (SELECT u.track_id % 16 AS seq, u.frame, u.track_id AS gt_id, pred_id, iou FROM u LEFT JOIN pred ON pred.gt_id = u.track_id AND pred.frame = u.frame)"""
+WITH_CLEAR = WITH_TRACKS + """,
+  hit AS (SELECT *, CAST(coalesce(iou >= 0.5, false) AS INTEGER) AS hit, CASE WHEN iou >= 0.5 THEN pred_id END AS own FROM m),
+  seen AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY gt_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(hit) OVER (PARTITION BY gt_id ORDER BY frame) AS before FROM hit),
+  per AS (SELECT gt_id, count(*) AS n, sum(hit) AS tp, count(*) FILTER (WHERE hit = 1 AND own <> prev) AS idsw, count(*) FILTER (WHERE hit = 1 AND coalesce(before, 0) = 0) AS runs, sum(CASE WHEN hit = 1 THEN iou END) AS iou FROM seen GROUP BY gt_id),
+  sums AS (SELECT CAST(sum(n) AS BIGINT) AS n_gt, CAST(sum(tp) AS BIGINT) AS tp, (SELECT count(*) FROM pred WHERE iou < 0.5) AS fp, CAST(sum(idsw) AS BIGINT) AS idsw, sum(iou) AS iou, count(*) FILTER (WHERE tp / n >= 0.8) AS mt, count(*) FILTER (WHERE tp / n > 0.2 AND tp / n < 0.8) AS pt,
+    count(*) FILTER (WHERE tp / n <= 0.2) AS ml, round(avg(greatest(runs - 1, 0)), 6) AS fragments FROM per),
+  clear AS (SELECT n_gt, tp, fp, n_gt - tp AS fn, idsw, round(1 - (n_gt - tp + fp + idsw) / n_gt, 6) AS mota, round(iou / tp, 6) AS motp, mt, pt, ml, fragments FROM sums)"""
+WITH_IDENTITY = """,
+  pairs AS (SELECT gt_id, pred_id, count(*) AS n FROM m WHERE iou >= 0.5 GROUP BY ALL), best AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS idtp FROM (SELECT gt_id, max(n) AS n FROM pairs GROUP BY gt_id)),
+  ident AS (SELECT idtp, n_gt, n_pred, round(2 * idtp / (n_gt + n_pred), 6) AS idf1, round(idtp / n_pred, 6) AS idp, round(idtp / n_gt, 6) AS idr FROM best, (SELECT count(*) AS n_gt FROM u), (SELECT count(*) AS n_pred FROM pred))"""
+WITH_HOTA = """,
+  alphas AS (SELECT round(k * 0.05::DOUBLE, 2) AS alpha FROM range(1, 20) AS t(k)), ng AS (SELECT gt_id, count(*) AS ng FROM u AS x(gt_id, f, c, v) GROUP BY gt_id), np AS (SELECT pred_id, count(*) AS np FROM pred GROUP BY pred_id),
+  tp AS (SELECT alpha, count(*) FILTER (WHERE iou >= alpha) AS tp, count(*) AS n_gt, (SELECT count(*) FROM pred) AS n_pred FROM alphas, m GROUP BY alpha),
+  tpa AS (SELECT alpha, gt_id, pred_id, count(*) AS a FROM alphas, m WHERE iou >= alpha GROUP BY ALL), ass AS (SELECT alpha, sum(a * a / (ng + np - a)) AS s FROM tpa JOIN ng USING (gt_id) JOIN np USING (pred_id) GROUP BY alpha),
+  levels AS (SELECT alpha, tp / (n_gt + n_pred - tp) AS deta, coalesce(s / nullif(tp, 0), 0.0) AS assa FROM tp LEFT JOIN ass USING (alpha)),
+  hota AS (SELECT alpha, round(sqrt(deta * assa), 6) AS hota, round(deta, 6) AS deta, round(assa, 6) AS assa FROM levels)"""
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -466,23 +487,25 @@ def camera_gallery(spark, d):
     return tracks.camera_gallery(rows, 2, 6)
 
 
-@query()
+@query(f"WITH {WITH_CLEAR} SELECT * FROM clear")
 def track_scores(spark, d):
     gt, pred = A.track_boxes(spark, d)
     return tracking_metrics.clear_mot(tracking_metrics.frame_matches(gt, pred))
 
 
-@query()
+@query(f"WITH {WITH_TRACKS}{WITH_IDENTITY} SELECT * FROM ident")
 def track_identity(spark, d):
     return tracking_metrics.idf1(*A.track_boxes(spark, d))
 
 
-@query()
+@query(f"WITH {WITH_TRACKS}{WITH_HOTA} SELECT * FROM hota")
 def track_hota(spark, d):
     return tracking_metrics.hota(*A.track_boxes(spark, d))
 
 
-@query()
+@query(f"""WITH {WITH_TRACKS}, e AS (SELECT * FROM (SELECT track_id, frame AS s, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS t FROM u WHERE cls <> 'error') WHERE t - s - 1 >= 15),
+  r AS (SELECT e.track_id, s, arg_min(pred_id, s - frame) FILTER (WHERE s - frame BETWEEN 0 AND 8) AS b, arg_min(pred_id, frame - t) FILTER (WHERE frame - t BETWEEN 0 AND 8) AS a FROM e LEFT JOIN m ON m.gt_id = e.track_id AND iou >= 0.5 GROUP BY ALL)
+  SELECT count(*) AS events, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS scored, count(*) FILTER (WHERE a = b) AS recovered, round(count(*) FILTER (WHERE a = b) / nullif(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL), 0), 6) AS rate FROM r""")
 def occlusion_recovery(spark, d):
     gt, pred = A.track_boxes(spark, d)
     events = tracks.occlusions(A.user_frames(spark, d).where("cls <> 'error'"))

@@ -280,7 +280,8 @@ def smoothed_rates(spark, d):
     return reports.smoothed_rate(table(pin(spark), d, "events").select("user_id", "event_id", F.col("value").cast("double").alias("value")), "user_id", "event_id", "value")
 
 
-@query()
+@query(f"""WITH {C.WITH_CLEAR}{C.WITH_IDENTITY}{C.WITH_HOTA} SELECT clear.*, idf1, idp, idr, h.*, f.n_frames, round(coalesce(1000.0 * idsw / nullif(f.n_frames, 0), 0.0), 2) AS idsw_per_1k
+  FROM clear, ident, (SELECT round(avg(hota), 4) AS hota, round(avg(deta), 4) AS deta, round(avg(assa), 4) AS assa FROM hota) h, (SELECT count(*) AS n_frames FROM (SELECT DISTINCT track_id % 16, frame FROM u)) f""")
 def tracking_bundle(spark, d):
     gt, pred = A.track_boxes(spark, d)
     n = gt.where("NOT ign").select("seq", "frame").union(pred.select("seq", "frame")).distinct().agg(F.count("*").alias("n_frames"))
