@@ -13,8 +13,8 @@ sets link within REACH = 1 - percent / 100. Of the links, what matters are the c
 * Pivots within REACH of each other link. Where they are not, but near enough for a link between
   their members, and their components still differ, the triangle inequality gives each cell a window:
   only members at least d(p, q) - REACH - R(q) from their pivot p can link into q's cell. These
-  boundary sets are the input of the next level, whose cells are half as wide; on the last level
-  cells hold one set each and nothing is left open.
+  boundary sets are the input of the next level, whose cells are half as wide; on the last level, which
+  comes at once when few sets are left, cells hold one set each and nothing stays open.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ from siftwork.llm.components import components
 
 #: Minhashes by which a set meets candidate pivots; so many it shares with the one it is measured against.
 LANDMARKS, SHARED = 6, 2
-#: Cell radii by level, as shares of REACH; the last is 0.
-CELLS = (0.25, 0.125, 0.0)
+#: Cell radius of the first level as a share of REACH, levels at most, and the sets from which on a level has cells.
+CELL, LEVELS, CELLS_FROM = 0.25, 4, 10_000
 #: A shingle list up to this size gives all pairs; larger ones are joined in blocks.
 SMALL_LIST = 24
 #: Share of a set, its smallest hashes, that is counted to find frequent shingles: where no more of a set is frequent than of
 #: it is not among its first shingles, none of the first is. From so many sets on; so many shingles are named.
-COUNTED, FREQUENT_FROM, FREQUENT = 1 / 2, 8, 1 << 17
+COUNTED, FREQUENT_FROM, FREQUENT = 0.35, 8, 1 << 16
 #: Sets of a block, and their shingles, as expected.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Far above the rounding of a distance, far below the difference of two.
@@ -228,24 +228,34 @@ def _in_blocks(long: DataFrame, known: DataFrame, docs: DataFrame, words: int, p
     return scratch.keep(every.groupBy("family", "class", "_first", "_second").applyInArrow(block, "a long, b long, ring double"))
 
 
-def _level(docs: DataFrame, marks: DataFrame, several: DataFrame, links: DataFrame, words: int, percent: int, cell: float, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+def _semi(posts: DataFrame, shingles: DataFrame, free: Column) -> DataFrame:
+    """Postings that are `free` or have one of `shingles`, which are broadcast if they are few."""
+    if shingles.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        found = F.broadcast(shingles.withColumn("_known", F.lit(True)))
+        return posts.join(found, "s", "left").where(free | F.col("_known").isNotNull()).drop("_known")
+    return posts.where(free).unionByName(posts.where(~free).join(shingles, "s", "left_semi"))
+
+
+def _level(docs: DataFrame, marks: DataFrame, several: DataFrame, links: DataFrame, words: int, percent: int, cell: float, further: bool, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """(`links` and those of this level, ids (doc_id) that may have links left) for the sets of `docs`."""
     reach = 1 - percent / 100
     landmarks, members = _cells(marks, docs, several, words, percent, cell * reach, scratch)
+    # What is known to be one component may be too little, never too much: at first a set and its candidate pivot.
+    known = components(scratch.keep(links.union(landmarks)), scratch) if further else landmarks.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
     links = scratch.keep(links.union(landmarks))
-    known = components(links, scratch)
     wide = scratch.keep(members.groupBy("home").agg(F.max("r").alias("radius")))
     widest = wide.agg(F.max("radius")).first()[0] or 0.0
     roles = members.select(F.col("id").alias("doc_id"), F.lit(None).cast("double").alias("_radius"), F.lit(True).alias("_inner"))
     roles = scratch.keep(roles.union(wide.select("home", "radius", F.lit(False))))
     pivots = common.small_join(docs, roles, "doc_id", "left").where(~F.coalesce("_inner", F.lit(False)))
     pivots = pivots.select("doc_id", "text", F.coalesce("_radius", F.lit(0.0)).alias("radius"))
-    posts = _postings(pivots, words, F.lit(reach + widest) + F.col("radius"), _frequent(docs, words, scratch))
-
-    # Lists in which two pivots may meet: both by their narrow part, or one of them being wide.
-    narrow = F.count(F.when(F.col("need") <= reach + SLACK, 1))
-    shared = posts.groupBy("s").agg(F.count("*").alias("n"), narrow.alias("_narrow"), F.max("radius").alias("_wide"))
-    shared = scratch.keep(shared.where("n > 1 AND (_narrow > 1 OR _wide > 0)").select("s", "n"))
+    often = _frequent(docs, words, scratch)
+    posts = _postings(pivots, words, F.lit(reach + widest) + F.col("radius"), often)
+    if widest > 0:  # beyond REACH, a shingle counts only where a wide pivot has it as well
+        of_wide = _postings(pivots.where("radius > 0"), words, F.lit(reach + widest) + F.col("radius"), often)
+        of_wide = scratch.keep(of_wide.select("s").distinct())
+        posts = _semi(posts, of_wide, F.col("need") <= reach + SLACK)
+    shared = scratch.keep(posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     few = shared.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
     lists = posts.join(F.broadcast(shared), "s") if few else common.dealt_join(posts, shared, ["s"], total)
@@ -301,8 +311,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = scratch.keep(tied)
     sets = common.small_join(docs, single.select("doc_id"), "doc_id", "left_anti")
     marks = nodes.select("id", "marks")
-    for cell in CELLS:
-        links, left = _level(sets, marks, several, links, words, percent, cell, scratch)
+    for level in range(LEVELS):
+        most = marks.limit(CELLS_FROM + 1).count()
+        cell = CELL / 2**level if most > CELLS_FROM and level < LEVELS - 1 else 0.0
+        links, left = _level(sets, marks, several, links, words, percent, cell, level > 0, scratch)
         if left.isEmpty():
             break
         sets = common.small_join(sets, left.distinct(), "doc_id", "left_semi")

@@ -73,6 +73,11 @@ def test_wide_numbers_use_wide_distances():
     assert index.tolist() == [[0, 1, 0]] and error.tolist() == [[2**38, (2**19 - 1) ** 2, 2**40]]
 
 
+@pytest.fixture(autouse=True)
+def cells_on_small_tables(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELLS_FROM", 2)
+
+
 def check_join(spark, rows, size, percent):
     df = spark.createDataFrame([(i, t, "kept", 5, 7) for i, t in rows], "doc_id long, text string, id string, n_shingles int, component int")
     found = jaccard_join.join(df, size, percent).collect()
