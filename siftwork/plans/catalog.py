@@ -11,7 +11,7 @@ from siftwork.operators import detection, ingest, labels, metrics, retrieval, tr
 from siftwork.plans import adapters as A
 from siftwork.session import fresh_folder, pin, table
 from siftwork.sources import lexical_index, vector_cache
-from siftwork.streaming import tracker
+from siftwork.streaming import motion, tracker
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -526,6 +526,42 @@ def tracker_bytetrack(spark, d):
     return tracker.track(_detections(spark, d), tracker.TRACKERS["bytetrack"])
 
 
+def _one_camera(spark, d):
+    """All users in the view of one camera that pans: each has a place, and one in five walks through it."""
+    rows = A.user_frames(spark, d)
+    walks = F.when(F.col("track_id") % 5 == 0, F.pmod(F.col("frame") * (F.col("track_id") % 7 + 2), F.lit(40))).otherwise(0)
+    x = F.col("track_id") * 100.0 + walks + F.pmod(F.col("frame"), F.lit(50)) * 6
+    return rows.select(
+        F.lit("c0").alias("camera_id"), "frame", F.col("track_id").alias("det_id"), F.lit("person").alias("cls"), F.lit(0.9).alias("conf"),
+        x.alias("x1"), F.lit(0.0).alias("y1"), (x + 40).alias("x2"), F.lit(80.0).alias("y2"),
+    )
+
+
+@query()
+def camera_motion(spark, d):
+    return motion.camera_motion(_one_camera(spark, d)).select("camera_id", "frame", F.transform("warp", lambda v: F.round(v, 6)).alias("warp"), "matches")
+
+
+@query()
+def tracker_botsort(spark, d):
+    """With the camera's motion taken out."""
+    detections = _detections(spark, d)
+    return tracker.track(detections, tracker.TRACKERS["botsort"], motion.camera_motion(detections))
+
+
+@query()
+def tracker_live(spark, d):
+    """tracker_bytetrack over a stream of files by time, in two runs with one checkpoint."""
+    folder = fresh_folder(spark, "live")
+    rows = _detections(spark, d)
+    half = rows.agg(F.floor((F.min("frame") + F.max("frame")) / 2)).first()[0]
+    for part in (rows.where(F.col("frame") <= half), rows.where(F.col("frame") > half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        tracker.run_live(stream, f"{folder}/out", f"{folder}/mark", tracker.TRACKERS["bytetrack"])
+    return tracker.live_tracks(spark, f"{folder}/out")
+
+
 @query()
 def tracker_iou(spark, d):
     return tracker.track(_detections(spark, d), tracker.TRACKERS["iou"])

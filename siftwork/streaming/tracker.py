@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftwork.operators.assignment import iou_matrix, solve
@@ -228,9 +230,10 @@ def _run(tracker: Tracker, pdf: pd.DataFrame) -> list[tuple]:
     """All frames of `pdf` in order. Rows without a class are ticks, which say that a frame was empty."""
     out = []
     for frame, rows in pdf.sort_values(["frame", "det_id"], kind="stable").groupby("frame", sort=True):
+        warp = rows.warp.iloc[0] if "warp" in rows else None
         rows = rows[rows.cls.notna()]
         looks = rows.look.tolist() if "look" in rows else [None] * len(rows)
-        out += tracker.step(int(frame), rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.conf.to_numpy(float), rows.cls.tolist(), looks)
+        out += tracker.step(int(frame), rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.conf.to_numpy(float), rows.cls.tolist(), looks, warp)
     return out
 
 
@@ -239,8 +242,14 @@ def _frame(camera, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(camera, *r) for r in rows], columns=names)
 
 
-def track(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Tracks of detections (camera_id, frame, det_id, cls, conf, x1, y1, x2, y2[, look])."""
+def track(detections: DataFrame, settings: Settings = Settings(), motion: DataFrame | None = None) -> DataFrame:
+    """Tracks of detections (camera_id, frame, det_id, cls, conf, x1, y1, x2, y2[, look][, warp]).
+
+    `warp` is the camera's motion from the frame before, the six numbers of a 2 x 3 matrix, or null;
+    `motion` (camera_id, frame, warp), as camera_motion() makes it, adds it.
+    """
+    if motion is not None:
+        detections = detections.join(motion.select("camera_id", "frame", "warp"), ["camera_id", "frame"], "left")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         return _frame(pdf.camera_id.iloc[0], _run(Tracker(settings), pdf))
@@ -260,4 +269,96 @@ def track_stream(detections: DataFrame, settings: Settings = Settings()) -> Data
     return detections.groupBy("camera_id").applyInPandasWithState(kernel, OUTPUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
+#: State of a camera in a stream: counters, and rows of the tracks and of the gallery by id.
+COUNTERS = "next_id long, frame long, late long"
+TRACK = "kind string, mean array<double>, cov array<double>, frame long, conf double, state string, hits long, missed long, look array<double>, restored boolean"
+LOOK = "kind string, frame long, look array<double>"
+
+
+def _list(values) -> list | None:
+    return None if values is None else [float(v) for v in np.asarray(values).reshape(-1)]
+
+
+class CameraState(StatefulProcessor):
+    """The tracker of a camera between micro-batches: two maps by track id and three counters.
+
+    Only what a batch changed is written: tracks that ended leave the map, and what the gallery's
+    age limit drops leaves with them, so that a camera's state is bounded by what is in view and
+    what was within `ttl` frames.
+    """
+
+    def __init__(self, settings: Settings):
+        self.settings = settings
+
+    def init(self, handle) -> None:
+        self.counters = handle.getValueState("counters", COUNTERS)
+        self.tracks = handle.getMapState("tracks", "id long", TRACK)
+        self.looks = handle.getMapState("looks", "id long", LOOK)
+
+    def _load(self) -> Tracker:
+        tracker = Tracker(self.settings)
+        if not self.counters.exists():
+            return tracker
+        tracker.next_id, tracker.frame, tracker.late = self.counters.get()
+        array = lambda v: None if v is None else np.array(v, float)
+        for (k,), (cls, mean, cov, frame, conf, state, hits, missed, look, restored) in sorted(self.tracks.iterator()):
+            tracker.tracks.append(Track(k, cls, array(mean), array(cov).reshape(8, 8), frame, conf, state, hits, missed, array(look), restored))
+        tracker.gallery.entries = {k: (cls, frame, array(look)) for (k,), (cls, frame, look) in sorted(self.looks.iterator())}
+        return tracker
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names Spark calls
+        tracker = self._load()
+        old = {t.id for t in tracker.tracks}, set(tracker.gallery.entries)
+        found = _run(tracker, pd.concat(list(rows)))
+        self.counters.update((tracker.next_id, tracker.frame, tracker.late))
+        now = {t.id: t for t in tracker.tracks}
+        for k in old[0] - set(now):
+            self.tracks.removeKey((k,))
+        for k, t in now.items():
+            self.tracks.updateValue((k,), (t.cls, _list(t.mean), _list(t.cov), int(t.frame), float(t.conf), t.state, int(t.hits), int(t.missed), _list(t.look), bool(t.restored)))
+        for k in old[1] - set(tracker.gallery.entries):
+            self.looks.removeKey((k,))
+        for k, (cls, frame, look) in tracker.gallery.entries.items():
+            if k not in old[1]:
+                self.looks.updateValue((k,), (cls, int(frame), _list(look)))
+        yield _frame(key[0], found)
+
+    def close(self) -> None:
+        pass
+
+
+def track_live(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """track_stream() with typed state (CameraState); needs the state store that keeps maps, see run_live()."""
+    return detections.groupBy("camera_id").transformWithStateInPandas(CameraState(settings), OUTPUT, "Append", "None")
+
+
+#: The state store that keeps maps.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_live(detections: DataFrame, output: str, checkpoint: str, settings: Settings = Settings()) -> None:
+    """Track all that a stream of detections has to offer now, then end; started again, it goes on from there.
+
+    Each micro-batch is a partition of `output`, which doing it again replaces, so that rows are
+    written once. The frames of a camera must come in order; those that come late are left out.
+    """
+    spark = detections.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
+
+    try:
+        stream = track_live(detections, settings).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def live_tracks(spark, output: str) -> DataFrame:
+    """What run_live() has written."""
+    return spark.read.schema(f"{OUTPUT}, batch long").parquet(output).drop("batch")
+
+
 TRACKERS = {name: Settings(strategy=name) for name in ("iou", "bytetrack", "botsort")}
