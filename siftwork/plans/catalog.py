@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import boxes as B
 from siftwork.functions import text as T
 from siftwork.functions import vectors as V
-from siftwork.operators import detection, ingest, labels, metrics, retrieval, tracking_metrics, tracks
+from siftwork.operators import asof, detection, ingest, labels, metrics, retrieval, tracking_metrics, tracks
 from siftwork.plans import adapters as A
 from siftwork.session import fresh_folder, pin, table
 from siftwork.sources import lexical_index, vector_cache
@@ -481,6 +481,23 @@ def camera_pairs(spark, d):
     return tracks.camera_pairs(A.manifest(spark, d))
 
 
+@query("""SELECT e.event_id, e.user_id, coalesce(v.event_id, -1) AS view_id, coalesce(v.value, 0.0) AS value FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts >= v.ts""")
+def last_view_before(spark, d):
+    """Of each error, what its user viewed last; -1 and 0 where there is nothing."""
+    e = table(pin(spark), d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    views = e.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("view_id"), F.col("value").cast("double").alias("value"))
+    return asof.last_before(e.where("event_type = 'error'").select("event_id", "user_id", "at"), views, ["user_id"], "at", ["view_id", "value"]).drop("at").fillna(-1, ["view_id"]).fillna(0.0, ["value"])
+
+
+@query(f"""WITH {WITH_FRAMES} SELECT a.track_id, a.frame, count(*) AS near, min(a.frame - b.frame) AS nearest FROM u a JOIN u b ON a.track_id = b.track_id AND a.frame - b.frame BETWEEN 0 AND 12 AND b.cls = 'click' WHERE a.cls = 'error' GROUP BY ALL""")
+def clicks_within(spark, d):
+    """Of each frame with an error, the frames with a click on the track in the twelve before it."""
+    u = A.user_frames(spark, d)
+    clicks = u.where("cls = 'click'").select("track_id", F.col("frame").alias("_f"))
+    near = asof.within(u.where("cls = 'error'").select("track_id", "frame"), clicks, ["track_id"], F.col("frame"), F.col("_f"), 12)
+    return near.groupBy("track_id", "frame").agg(F.count("*").alias("near"), F.min("_far").alias("nearest"))
+
+
 @query()
 def camera_gallery(spark, d):
     rows = A.vectors(spark, d).select((F.col("id") % 20).alias("track_id"), F.col("id").alias("frame"), "vec")

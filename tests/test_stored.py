@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import detection, ingest, metrics, reports, retrieval, scan
+from siftwork.operators import asof, detection, ingest, metrics, reports, retrieval, scan
 from siftwork.sources import files, lexical_index, vector_cache
 
 
@@ -162,3 +162,25 @@ def test_grades_from_whole_texts(spark, monkeypatch, few):
     asked = spark.createDataFrame(list(enumerate(sorted(cuts))), "span_id long, span string")
     got = {(x["span_id"], x["chunk_id"]) for x in ingest.contained(asked, bodies).distinct().collect()}
     assert got == {(k, c) for k, s in enumerate(sorted(cuts)) for c, body in enumerate(every) if s in body}
+
+
+@pytest.mark.parametrize("least", [scan.LEAST, 50])
+def test_last_row_before(spark, least):
+    r = random.Random(8)
+    left = [(k, r.choice(["a", "a", "a", "b", None]), r.choice([None, *range(60)])) for k in range(400)]
+    right = [(r.choice(["a", "a", "b", "c", None]), r.choice([None, *range(0, 60, 3)]), r.choice([None, 1.5, 2.5]), k % 4) for k in range(120)]
+    found = asof.last_before(spark.createDataFrame(left, "id int, g string, at int"), spark.createDataFrame(right, "g string, at int, v double, w int"), ["g"], "at", ["v", "w"], least)
+    assert found.columns == ["id", "g", "at", "v", "w"]
+    low = lambda v: (v is not None, v or 0)  # noqa: E731  null is the smallest
+    for x in found.collect():
+        fit = [(at, low(v), w, v) for g, at, v, w in right if g is not None and g == x["g"] and at is not None and x["at"] is not None and at <= x["at"]]
+        best = max(fit) if fit else (None, None, None, None)
+        assert (x["v"], x["w"]) == (best[3], best[2])
+    assert found.count() == len(left)
+
+
+def test_rows_within_a_window(spark):
+    r = random.Random(9)
+    left, right = ([(r.choice("ab"), r.randint(-50, 200)) for _ in range(150)] for _ in range(2))
+    found = asof.within(spark.createDataFrame(left, "g string, f int"), spark.createDataFrame(right, "g string, p int"), ["g"], F.col("f"), F.col("p"), 7)
+    assert sorted((x["g"], x["f"], x["p"], x["_far"]) for x in found.collect()) == sorted((g, f, p, f - p) for g, f in left for h, p in right if g == h and 0 <= f - p <= 7)
