@@ -40,8 +40,8 @@ ACCURACY = 100_000
 FOLDS = 5
 #: A group of documents ends at so many bytes of text, or rows.
 GROUP_BYTES, GROUP_ROWS = 16 << 20, 1 << 16
-#: Pairs that a counting task holds before it hands on.
-HELD = 1 << 19
+#: Pairs that a counting task holds before it hands on, and bytes of text that a kernel looks at in one step.
+HELD, STEP_BYTES = 1 << 18, 1 << 19
 #: Bytes of text for which there is one shard of the counts: the first while there are fewer than SHARDS_NARROW shards,
 #: then more, up to the second; and the fewest and most shards.
 SHARD_BYTES, SHARD_BYTES_WIDE, SHARDS_LEAST, SHARDS_NARROW, SHARDS_MOST = 4 << 20, 64 << 20, 16, 256, 1 << 16
@@ -95,7 +95,7 @@ def count(words: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**ORDER, np.int32)  # of one input split, far below 2^31
         for batch in batches:
-            for part in common.slices(batch, "_text"):
+            for part in common.slices(batch, "_text", STEP_BYTES):
                 codes, ends = symbols(part.column(0))
                 if len(codes) < ORDER:
                     continue
@@ -265,7 +265,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "_text"):
+            for part in common.slices(batch, "_text", STEP_BYTES):
                 data, key, _, start, length = words_in(part.column(0))
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
                 whole = data.tobytes()
@@ -314,7 +314,7 @@ def pair_counts(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for batch in batches:
-            for part in common.slices(batch, "_text"):
+            for part in common.slices(batch, "_text", STEP_BYTES):
                 _, key, row, _, _ = words_in(part.column(0))
                 got.append((before(key, row), key))
                 held += len(key)
@@ -460,7 +460,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     for batch in batches:
         if grp is None and batch.num_rows:
             grp = batch.column("_part")[0].as_py() << 24
-        for part in common.slices(batch, "_text"):
+        for part in common.slices(batch, "_text", STEP_BYTES):
             if last is not None:
                 full = size > GROUP_BYTES or held > GROUP_ROWS
                 yield grp, last, full
@@ -635,7 +635,11 @@ def _finisher(words: Words):
         p = hand[prev] * low[number]
         if order > 1:
             real = np.flatnonzero(key[prev] != REPEATED)
-            place, at = np.unique(pair_places(key[prev[real]], key[number[real]], shards, hot), return_inverse=True)
+            place = np.empty(len(real), np.uint64)
+            for begin in range(0, len(real), HELD):
+                some = real[begin : begin + HELD]
+                place[begin : begin + HELD] = pair_places(key[prev[some]], key[number[some]], shards, hot)
+            place, at = np.unique(place, return_inverse=True)
             found = [unpack(blobs[i].as_py()[0]) for i in rows_of(1)]
             count = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
             if len(count) != len(place):
