@@ -89,6 +89,12 @@ def evaluate(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = (0.
     return n_gt.select("threshold", cls).join(ap, ["threshold", cls], "left").select("threshold", cls, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def mean_precision(ap: DataFrame, base: float = 0.5) -> DataFrame:
+    """(map50, map50_95, classes): means of evaluate() over the classes, at the threshold `base` and over all of them."""
+    own = F.avg(F.when(F.abs(F.col("threshold") - base) < 1e-9, F.col("ap")))
+    return ap.agg(F.round(own, 6).alias("map50"), F.round(F.avg("ap"), 6).alias("map50_95"), F.count_distinct("cls").alias("classes"))
+
+
 def operating_point(results: DataFrame, gt: DataFrame, conf: float = 0.25) -> DataFrame:
     """Counts, precision, recall, F1 and mean overlap of the predictions from `conf` on."""
     n = gt.where(~F.col("ign")).agg(F.count("*").alias("n_gt"))

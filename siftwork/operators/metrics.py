@@ -64,6 +64,21 @@ def nearest_rank_p95(values: DataFrame, value: str, by: str) -> DataFrame:
     return scan.at_rank(counts, [by], value, lambda n: F.greatest(F.lit(1), F.floor(n * 0.95))).select(by, F.col(value).alias("p95"))
 
 
+def latencies(rows: DataFrame, by: list[str], group: str, value: str = "ms") -> DataFrame:
+    """(by, group or 'all', n, p50, p95): the median and sorted[int(.95 n) - 1] of each group and of all of `by`.
+
+    Values are counted first, and ranks found by running sums over distinct values.
+    """
+    both = rows.withColumn(group, F.explode(F.array(F.col(group).cast("string"), F.lit("all"))))
+    keys = [*by, group]
+    counts = both.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    at = lambda rank, name: scan.at_rank(counts, keys, value, rank).withColumnRenamed(value, name)
+    low, high = at(lambda n: F.floor((n + 1) / 2), "_a"), at(lambda n: F.floor(n / 2) + 1, "_b")
+    out = counts.groupBy(*keys).agg(F.sum("c").alias("n")).join(low, keys).join(high, keys)
+    out = out.join(at(lambda n: F.greatest(F.lit(1), F.floor(n * 0.95)), "p95"), keys)
+    return out.select(*keys, "n", F.round((F.col("_a") + F.col("_b")) / 2, 6).alias("p50"), "p95")
+
+
 def refusal_sweep(scores: DataFrame, steps: int = 89) -> DataFrame:
     """Thresholds .01, .02, ... over (answerable, confidence); refusing is below the threshold.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
 from siftwork.functions import vectors as V
+from siftwork.operators import scan
 from siftwork.session import spread
 
 #: Rows of a query side that may be broadcast; more are joined in blocks.
@@ -129,6 +130,28 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int = 5, rrf_k: int = 60, mos
     return pool.withColumn("score", F.coalesce("rerank_score", F.nullif(F.col("rrf_score"), F.lit(0.0)), "dense_score", "bm25_score", F.lit(0.0)))
 
 
+def word_overlap(questions: DataFrame, docs: DataFrame):
+    """A re-ranker for hybrid() without a model: the share of a question's distinct words that a document has."""
+    q = questions.select("qid", F.array_distinct(T.tokenize(F.col("text"))).alias("_asked"))
+
+    def scorer(pool: DataFrame) -> DataFrame:
+        own = pool.select("id").distinct()
+        few = own.limit(BROADCAST_QUERIES * 10 + 1).count() <= BROADCAST_QUERIES * 10
+        words = docs.join(F.broadcast(own) if few else own, "id", "left_semi").select("id", T.tokenize(F.col("text")).alias("_words"))
+        both = pool.join(q, "qid", "left").join(words, "id", "left")
+        share = F.size(F.array_intersect("_asked", "_words")) / F.nullif(F.size("_asked"), F.lit(0))
+        return both.withColumn("rerank_score", F.when(F.col("_words").isNotNull(), share)).drop("_asked", "_words")
+
+    return scorer
+
+
+def inspected(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """`n` rows at even distances: every (count // n)-th in the order of a number, from the first on."""
+    step = max(1, rows.count() // n)
+    numbered = scan.numbered(rows, [], [order], F.col(order), "_n")
+    return numbered.where(F.pmod(F.col("_n") - 1, F.lit(step)) == 0).orderBy("_n").limit(n).drop("_n")
+
+
 def gate(questions: DataFrame, hits: DataFrame, threshold: float = 0.02) -> DataFrame:
     """(qid, confidence, refused): the top hit's sigmoid of the re-rank score, or its score; none refuses."""
     top = hits.where("final_rank = 1").select("qid", F.coalesce(V.sigmoid(F.col("rerank_score")), F.col("score")).alias("_c"))

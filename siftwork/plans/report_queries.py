@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
-from siftwork.operators import ingest, metrics, reports, retrieval, tracking_metrics, tracks
+from siftwork.operators import detection, ingest, metrics, reports, retrieval, tracking_metrics, tracks
 from siftwork.plans import adapters as A
 from siftwork.plans import catalog as C
-from siftwork.session import pin, table
+from siftwork.session import pin, table, written
 
 query = C.query
 
@@ -58,10 +58,10 @@ def _fused_sql(sparse_most: int) -> str:
   SELECT means.*, round(ndcg - (SELECT ndcg FROM means WHERE arm = 'A0'), 4) AS delta_ndcg, round(precision / nullif((SELECT round(avg(least(n, 3) / 3), 6) FROM ideal), 0), 4) AS of_ceiling,
     round((l[CAST(floor((len(l) + 1) / 2) AS BIGINT)] + l[CAST(floor(len(l) / 2) + 1 AS BIGINT)]) / 2, 1) AS p50, round(l[greatest(1, CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT))], 1) AS p95 FROM means JOIN lat USING (arm)""")
 def ablation_arms(spark, d):
-    dense, sparse = C._legs(spark, d)
+    dense, sparse = (written(leg, "leg") for leg in C._legs(spark, d))
     fused = lambda most: retrieval.hybrid(dense, sparse.where(F.col("rank") <= most), k=10).select("qid", "id", F.col("final_rank").alias("rank"))
     hits = {"A0": sparse, "A1": dense, "A4": fused(25), "A4b": fused(5)}
-    grades = C._grades(spark, d)
+    grades = written(C._grades(spark, d), "grades")
     per = [metrics.ranking(h.select("qid", "id", "rank"), grades).withColumn("arm", F.lit(arm)) for arm, h in hits.items()]
     every = per[0]
     for p in per[1:]:
@@ -286,3 +286,49 @@ def tracking_bundle(spark, d):
     gt, pred = A.track_boxes(spark, d)
     n = gt.where("NOT ign").select("seq", "frame").union(pred.select("seq", "frame")).distinct().agg(F.count("*").alias("n_frames"))
     return reports.tracking_bundle(tracking_metrics.clear_mot(tracking_metrics.frame_matches(gt, pred)), tracking_metrics.idf1(gt, pred), tracking_metrics.hota(gt, pred), n)
+
+
+# -- means, ranks and re-ranking ---------------------------------------------------------------
+
+
+@query(f"SELECT round(avg(ap) FILTER (WHERE abs(threshold - 0.5) < 1e-9), 6) AS map50, round(avg(ap), 6) AS map50_95, count(DISTINCT cls) AS classes FROM ({C.ORACLES['detection_ap']})")
+def detection_map(spark, d):
+    return detection.mean_precision(C.detection_ap(spark, d))
+
+
+@query(f"SELECT *, round(step / 20, 2) AS tau FROM ({C.ORACLES['tau_sweep']}) ORDER BY f1 DESC, step LIMIT 1")
+def best_tau(spark, d):
+    return tracks.best_tau(C.tau_sweep(spark, d))
+
+
+@query(f"SELECT g.*, item_id % 5 <> 0 AS answerable FROM ({C.ORACLES['refusal_gate']}) g JOIN benchmark ON item_id = qid")
+def confidences(spark, d):
+    """Confidence of each question's best hit, with whether it can be answered."""
+    return C.refusal_gate(spark, d).join(_questions(spark, d).select("qid", "answerable"), "qid")
+
+
+@query("""WITH r AS (SELECT conv_id % 4 AS arm, unnest([role, 'all']) AS category, CAST((conv_id * 37 + turn * 11 + length(text)) % 1000 AS DOUBLE) AS ms FROM conversations),
+  l AS (SELECT arm, category, count(*) AS n, list_sort(list(ms)) AS l FROM r GROUP BY arm, category)
+  SELECT arm, category, n, round((l[CAST(floor((n + 1) / 2) AS BIGINT)] + l[CAST(floor(n / 2) + 1 AS BIGINT)]) / 2, 6) AS p50, l[greatest(1, CAST(floor(n * 0.95::DOUBLE) AS BIGINT))] AS p95 FROM l""")
+def latency_by_category(spark, d):
+    c = table(pin(spark), d, "conversations")
+    ms = ((F.col("conv_id") * 37 + F.col("turn") * 11 + F.length("text")) % 1000).cast("double")
+    return metrics.latencies(c.select((F.col("conv_id") % 4).alias("arm"), F.col("role").alias("category"), ms.alias("ms")), ["arm"], "category")
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS n, greatest(1, count(*) OVER () // 30) AS step FROM documents) WHERE (n - 1) % step = 0 ORDER BY n LIMIT 30""")
+def inspected_documents(spark, d):
+    return retrieval.inspected(A.documents(spark, d).select("doc_id", "lang"), 30, "doc_id")
+
+
+@query(f"""WITH {C.WITH_BM25}, {C.WITH_DENSE}, {C.WITH_GRADES}, pool AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST, id) AS place FROM (
+    SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(dr) AS dr, min(sr) AS sr FROM (SELECT qid, id, rank, rank AS dr, NULL AS sr FROM dense WHERE rank <= 25 UNION ALL SELECT qid, id, rank, NULL, rank FROM sparse WHERE rank <= 25) GROUP BY qid, id)) WHERE place <= 40),
+  qw AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({C.STOP}))) AS w FROM benchmark),
+  dw AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: t NOT IN ({C.STOP})) AS w FROM documents),
+  judged AS (SELECT pool.qid, pool.id, place, len(list_intersect(qw.w, dw.w)) / nullif(len(qw.w), 0) AS s FROM pool JOIN qw USING (qid) LEFT JOIN dw ON dw.id = pool.id)
+  SELECT qid, id, round(s, 6) AS rerank_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC NULLS LAST, place) AS final_rank FROM judged) WHERE final_rank <= 10""")
+def hybrid_reranked(spark, d):
+    """Both legs fused and re-ranked by the share of a question's words that a document has."""
+    dense, sparse = C._legs(spark, d)
+    scorer = retrieval.word_overlap(A.questions(spark, d), A.texts(spark, d))
+    return retrieval.hybrid(dense, sparse, k=10, scorer=scorer).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")

@@ -56,3 +56,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="siftwork-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """`df` written to a folder of its own and read back, for results that several others read."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
