@@ -498,10 +498,17 @@ def clicks_within(spark, d):
     return near.groupBy("track_id", "frame").agg(F.count("*").alias("near"), F.min("_far").alias("nearest"))
 
 
-@query()
+MIXED = "list_transform(range(1, len(a) + 1), lambda i: 0.9::DOUBLE * a[i] + 0.1::DOUBLE * b[i])"
+
+
+@query(f"""WITH r AS (SELECT vec_id % 20 AS track_id, vec_id AS frame, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) - 1 AS n FROM embeddings),
+  g AS (SELECT track_id, list_reduce(list(v ORDER BY frame), lambda a, b: list_transform({MIXED}, lambda x: x / sqrt(list_dot_product({MIXED}, {MIXED})))) AS v FROM r WHERE n % 2 = 0 AND n < 12 GROUP BY track_id)
+  SELECT track_id, round(v[1], 6) AS first, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: i * v[i])), 5) AS weighted FROM g""")
 def camera_gallery(spark, d):
+    """Of each track's average look, its first component and the sum of all, weighted by their places."""
     rows = A.vectors(spark, d).select((F.col("id") % 20).alias("track_id"), F.col("id").alias("frame"), "vec")
-    return tracks.camera_gallery(rows, 2, 6)
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return tracks.camera_gallery(rows, 2, 6).select("track_id", F.round(F.col("vec")[0], 6).alias("first"), F.round(weighted, 5).alias("weighted"))
 
 
 @query(f"WITH {WITH_CLEAR} SELECT * FROM clear")
