@@ -20,7 +20,6 @@ sets link within REACH = 1 - percent / 100. Of the links, what matters are the c
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +39,6 @@ SMALL_LIST = 24
 #: Share of a set, its smallest hashes, that is counted to find frequent shingles: where no more of a set is frequent than of
 #: it is not among its first shingles, none of the first is. From so many sets on; so many shingles are named.
 COUNTED, FREQUENT_FROM, FREQUENT = 0.35, 8, 1 << 16
-#: Sets of a block, and their shingles, as expected.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Far above the rounding of a distance, far below the difference of two.
 SLACK = 1e-9
 
@@ -185,32 +182,15 @@ def _frequent(docs: DataFrame, words: int, scratch: common.Scratch) -> np.ndarra
 def _in_blocks(long: DataFrame, known: DataFrame, docs: DataFrame, words: int, percent: int, far: float, total: int, scratch: common.Scratch) -> DataFrame:
     """(a, b, ring): links of pivots that share a long list, with b; and rings of pivots, without.
 
-    Long lists that share pivots are one family; its sets are parted by size, so that only equal or
-    neighbouring classes can meet. Sets outside the family's largest component meet those of their
-    classes, block by block in tasks of their own; within a component no link is missing.
+    Long lists that share pivots are one family, whose sets meet as neardup.meetings() deals them.
     """
     hub = scratch.keep(long.groupBy("s").agg(F.min("id").alias("hub"), F.count("*").alias("n")))
     spokes = common.dealt_join(long.select("s", "id"), hub, ["s"], total).where("id != hub")
     family = components(spokes.select(F.col("id").alias("a"), F.col("hub").alias("b")), scratch).select("id", F.col("component").alias("family"))
-    width = -math.log(max(1e-6, 1 - far)) * (1 + SLACK)
-    here = long.select("id", "size", "radius").distinct().join(family, "id").join(known, "id", "left")
-    here = scratch.keep(here.select("family", F.floor(F.log(F.col("size").cast("double")) / width).alias("class"), "id", "size", "radius", F.coalesce("component", "id").alias("component")))
-    share = here.groupBy("family", "component").agg(F.count("*").alias("n"))
-    largest = share.groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    largest = scratch.keep(largest.where("parts > 1").select("family", F.col("most.component").alias("largest"), "n"))
-    here = scratch.keep(common.dealt_join(here, largest, ["family"], here.count()).drop("n"))
-    rest = here.where("component != largest").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    plan = here.groupBy("family", "class").agg(blocks.alias("blocks"), F.count("*").alias("n"))
-    plan = scratch.keep(plan.join(rest.groupBy("family", "class").agg(blocks.alias("rest_blocks"), F.count("*").alias("_n")), ["family", "class"]).withColumn("n", F.greatest("n", "_n")).drop("_n"))
-    live = here.join(plan.select("family", "class"), ["family", "class"], "left_semi").select("id").union(rest.select("id"))
-    sets = neardup.set_table(common.small_join(docs, scratch.keep(live.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi"), words)
-    count = 3 * here.count()
-    at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_rest = common.dealt_join(rest, plan, ["family", "class"], count).select("*", each("blocks").alias("_second")).withColumn("_first", at("rest_blocks", 1)).withColumn("_side", F.lit(0))
-    as_all = common.dealt_join(here, plan, ["family", "class"], count).select("*", each("rest_blocks").alias("_first")).withColumn("_second", at("blocks", 2)).withColumn("_side", F.lit(1))
-    every = as_rest.unionByName(as_all).join(sets, "id").where(F.size("shingles") == F.col("size"))
+    here = long.select("id", "size", "radius").distinct().join(family, "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    every, live = neardup.meetings(here, 1 - far, scratch)
+    sets = neardup.set_table(common.small_join(docs, live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), words)
+    every = every.join(sets, "id").where(F.size("shingles") == F.col("size"))
     every = every.select("family", "class", "_first", "_second", "_side", "id", "component", "radius", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ring", pa.float64())])
 

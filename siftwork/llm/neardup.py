@@ -8,6 +8,7 @@ misses all tables with a chance near 2 * (1 - s^2)^8: 7e-5 at 0.85, 3e-6 at 0.9.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,8 +209,8 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     2. Table keys with up to SMALL_BUCKET nodes give all pairs; larger ones give pairs with their
        most central node only, central being a member of many and large buckets.
     3. Pairs are verified on the full sets, and components are taken.
-    4. Exact pass for the large buckets: families (components of the pairs with centres) are cut
-       into blocks; nodes outside their family's largest component meet all of the family, block by
+    4. Exact pass for the large buckets: families (components of the pairs with centres) are parted by
+       size; nodes outside their family's largest component meet those of a like size, block by
        block inside tasks. Only links that join components come out. No candidate is dropped.
     """
     signs = scratch.keep(_signature_table(docs.where(F.col("doc_id").isNotNull()), words))
@@ -253,16 +254,9 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     if any_hot:
         family = components(spokes.select("a", "b"), scratch).select("id", F.col("component").alias("family"))
         here = family.join(grouped, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component"))
-        here = here.join(nodes.groupBy("id").agg(F.max("n_shingles").alias("_size")), "id")
-        share = here.groupBy("family", "component").agg(F.count("*").alias("rows"), F.sum("_size").alias("shingles"))
-        most = share.groupBy("family").agg(F.max(F.struct("rows", "component", "shingles")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"))
-        blocks = lambda rows, shingles: F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
-        rest = blocks(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))
-        most = scratch.keep(most.where("parts > 1").select("family", F.col("most.component").alias("largest"), blocks(F.col("rows"), F.col("shingles")).alias("blocks"), rest.alias("rest_blocks"), F.col("rows").alias("n")))
-        here = scratch.keep(common.dealt_join(scratch.keep(here), most, ["family"], here.count()))
-        if not here.isEmpty():
-            found = scratch.keep(found.union(_exact_pass(here, sets, nodes, percent)))
-            grouped = components(found, scratch)
+        here = here.join(nodes.select("id", F.col("n_shingles").alias("size"), "halves"), "id")
+        found = scratch.keep(found.union(_exact_pass(*meetings(here, percent / 100, scratch), sets, percent)))
+        grouped = components(found, scratch)
     # Ids of copies take the component of the set's name.
     of = copies.groupBy("_node").agg(F.sum("n").alias("n")).join(grouped, F.col("_node") == F.col("id"), "left").select("_node", "n", F.coalesce("component", "_node").alias("component"))
     one = common.small_join(copied, several, "doc_id", "left_anti")
@@ -270,19 +264,40 @@ def links(docs: DataFrame, scratch: common.Scratch, words: int = 5, percent: int
     return signs, grouped.unionByName(joined)
 
 
-def _exact_pass(here: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between components of a family that involve a node outside the largest component.
+def meetings(here: DataFrame, ratio: float, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Block pairs in which the sets (family, id, size, component, ...) of a family may link, but for those within a component.
 
-    The rest of a family is cut into `rest_blocks`, all of it into `blocks`, of BLOCK rows or
-    BLOCK_SHINGLES shingles each, as expected. Each block of the rest meets each of all in a task of
-    its own, so that a node goes out once for each block of the other side.
+    Sets are parted by size into classes, of which only equal or neighbouring ones hold sizes with a
+    ratio of `ratio` or more. Sets outside the family's largest component (side 0) meet those of their classes (side 1).
+    Either side is cut into blocks of BLOCK rows or BLOCK_SHINGLES shingles, as expected, and each pair
+    of blocks is a group of its own, so that a set goes out once for each block of the other side.
+    Returns the rows of both sides, with family, class, _first, _second and _side, and the ids among them.
     """
-    rows = here.join(sets, "id").join(nodes.select("id", "halves"), "id")
+    width = -math.log(max(1e-6, ratio)) * (1 + 1e-9)
+    here = scratch.keep(here.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / width)))
+    share = here.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = share.groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    largest = scratch.keep(largest.where("parts > 1").select("family", F.col("most.component").alias("largest"), "n"))
+    here = scratch.keep(common.dealt_join(here, largest, ["family"], here.count()).drop("n"))
+    rest = here.where("component != largest").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    plan = here.groupBy("family", "class").agg(blocks.alias("blocks"), F.count("*").alias("n"))
+    plan = plan.join(rest.groupBy("family", "class").agg(blocks.alias("rest_blocks"), F.count("*").alias("_n")), ["family", "class"])
+    plan = scratch.keep(plan.withColumn("n", F.greatest("n", "_n")).drop("_n"))
+    count = 3 * here.count()
     at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_rest = rows.where(F.col("component") != F.col("largest")).select("*", each("blocks").alias("_second")).withColumn("_first", at("rest_blocks", 1)).withColumn("_side", F.lit(0))
-    as_all = rows.select("*", each("rest_blocks").alias("_first")).withColumn("_second", at("blocks", 2)).withColumn("_side", F.lit(1))
-    every = as_rest.unionByName(as_all).select("family", "_first", "_second", "_side", "id", "component", "halves", "shingles")
+    as_rest = common.dealt_join(rest, plan, ["family", "class"], count).select("*", each("blocks").alias("_second")).withColumn("_first", at("rest_blocks", 1)).withColumn("_side", F.lit(0))
+    as_all = common.dealt_join(here, plan, ["family", "class"], count).select("*", each("rest_blocks").alias("_first")).withColumn("_second", at("blocks", 2)).withColumn("_side", F.lit(1))
+    live = here.join(plan.select("family", "class"), ["family", "class"], "left_semi").select("id").union(rest.select("id"))
+    return as_rest.unionByName(as_all), scratch.keep(live.distinct())
+
+
+def _exact_pass(every: DataFrame, live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of a family, from the rows of meetings()."""
+    own = common.small_join(sets, live, "id", "left_semi")
+    every = every.join(own, "id").where(F.size("shingles") == F.col("size"))
+    every = every.select("family", "class", "_first", "_second", "_side", "id", "component", "halves", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def block(group: pa.Table) -> pa.Table:
@@ -295,7 +310,7 @@ def _exact_pass(here: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int
         found = _linked_in_block(group.column("id").to_numpy(), flat, size, halves, group.column("component").to_numpy(), side, percent)
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return every.groupBy("family", "_first", "_second").applyInArrow(block, "a long, b long")
+    return every.groupBy("family", "class", "_first", "_second").applyInArrow(block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -145,3 +145,24 @@ def test_hot_keys_and_small_blocks_lose_nothing(spark, monkeypatch):
     want, _ = brute_components(rows, 3, 85)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(x["component_id"] == want[x["doc_id"]] for x in neardup.near_duplicates(df, 3, 85).collect())
+
+
+def test_families_are_parted_by_size(spark):
+    """Sets of very different sizes in one family never share a block; those that may link always do."""
+    r = random.Random(12)
+    rows = [(7, i, r.choice([10, 11, 13, 40, 45, 50, 400]), i if r.random() < 0.4 else 0) for i in range(200)]
+    here = spark.createDataFrame(rows, "family long, id long, size int, component long")
+    every, live = neardup.meetings(here, 0.8, common.Scratch(spark))
+    found = every.collect()
+    groups = {}
+    for x in found:
+        groups.setdefault((x["class"], x["_first"], x["_second"]), ([], []))[x["_side"]].append((x["id"], x["size"], x["component"]))
+    met = set()
+    for rest, every_ in groups.values():
+        assert all(0.6 < a[1] / b[1] < 1.7 for a in rest for b in every_)
+        met |= {tuple(sorted((a[0], b[0]))) for a in rest for b in every_}
+    for _, i, n, c in rows:
+        for _, j, m, e in rows:
+            if i < j and c != e and min(n, m) >= 0.8 * max(n, m):
+                assert (i, j) in met
+    assert {x["id"] for x in live.collect()} == {x["id"] for x in found}

@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 from test_llm_pairs import brute_components, made  # noqa: E402
 
-from siftwork.llm import common, jaccard_join, vector_codes  # noqa: E402
+from siftwork.llm import common, jaccard_join, neardup, vector_codes  # noqa: E402
 
 
 def brute_codes(rows, parts, entries, rounds):
@@ -130,6 +130,6 @@ def test_join_in_small_blocks_with_hot_keys(spark, monkeypatch):
     """Every key hot, long lists from three sets on, blocks of a few rows, no broadcast of pairs."""
     monkeypatch.setattr(common, "_hot", lambda table, total: jaccard_join.F.col("n") > 2)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "SMALL_LIST", 2)
     check_join(spark, made(11, 6, 60), 3, 80)
