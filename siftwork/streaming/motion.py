@@ -68,7 +68,8 @@ def camera_motion(detections: DataFrame, reach: float = 80.0) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def fitted(column: pd.Series) -> pd.Series:
-        rows = (np.array([list(p) for p in points], float).reshape(-1, 4) for points in column)
+        # Python runs for every row, also where the columns around it need no value: a frame without matches is STILL.
+        rows = (np.array([] if points is None else [list(p) for p in points], float).reshape(-1, 4) for points in column)
         return pd.Series([list(similarity(p[:, :2], p[:, 2:])) for p in rows])
 
     follows = boxes.select(*frame).distinct().join(earlier.select(*frame).distinct(), frame, "left_semi")

@@ -93,3 +93,12 @@ def test_random_motions_are_recovered():
         a, b, want = planted(r.randint(12, 60), r.choice([0, 0.2, 0.4]), seed, r.uniform(-0.2, 0.2), r.uniform(0.9, 1.1), (r.uniform(-60, 60), r.uniform(-60, 60)))
         found = np.array(motion.similarity(a, b)).reshape(2, 3)
         assert np.abs(a @ found[:, :2].T + found[:, 2] - a @ np.array(want).reshape(2, 3)[:, :2].T - np.array(want).reshape(2, 3)[:, 2]).max() < 2
+
+
+def test_motion_where_some_frames_share_no_box(spark):
+    """Frames 1 and 3 follow a frame that shares nothing with them; frame 2 has matches. Rows are in one batch."""
+    rows = [(0, 0, 0.0), (1, 1, 5000.0)] + [(2, k, 5000.0 + k * 50) for k in range(10)] + [(3, k, 90_000.0) for k in range(3)] + [(4, k, 90_000.0) for k in range(3)]
+    df = spark.createDataFrame([("c", f, k, "person", 0.9, x, 0.0, x + 40, 80.0, None) for f, k, x in rows], DETECTIONS).coalesce(1)
+    found = {r["frame"]: r for r in motion.camera_motion(df).coalesce(1).collect()}
+    assert {f: r["matches"] for f, r in found.items()} == {1: 0, 2: 1, 3: 0, 4: 1}
+    assert {tuple(r["warp"]) for r in found.values()} == {motion.STILL}
