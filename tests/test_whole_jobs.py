@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,45 @@ def test_all_levels_of_hota_and_average_precision(spark):
     for alpha in (0.05, 0.95):
         kinds = {r["kind"]: r["count"] for r in tracking_metrics.frame_matches(truth, found, alpha).groupBy("kind").count().collect()}
         assert hota[alpha]["deta"] == round(kinds.get("match", 0) / sum(kinds.values()), 6)
+
+
+def crowd(spark, images=12, seed=3):
+    """Truth and predictions of crowded images, where predictions compete for boxes and some boxes are ignored."""
+    r = np.random.default_rng(seed)
+    gt, pred = [], []
+    for image in range(images):
+        for pos in range(12):
+            x, y = (float(v) for v in r.integers(0, 40, 2))
+            gt.append((image, pos, "ab"[pos % 2], x, y, x + 30, y + 30, bool(r.random() < 0.2)))
+            for k in range(2):
+                dx, dy = (float(v) for v in r.integers(-6, 7, 2))
+                pred.append((image, 2 * pos + k, "ab"[pos % 2], x + dx, y + dy, x + dx + 30, y + dy + 30, float(r.integers(30, 60)) / 100))
+    box = "image_id long, pos long, cls string, x1 double, y1 double, x2 double, y2 double"
+    return spark.createDataFrame(gt, box + ", ign boolean"), spark.createDataFrame(pred, box + ", conf double")
+
+
+def test_boxes_are_judged_in_one_grouping_as_by_the_greedy_fold(spark):
+    gt, pred = crowd(spark)
+    keys = ["image_id", "cls"]
+    judged = detection.judged(gt, pred, keys, detection.THRESHOLDS)
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()  # rows are not copied a threshold and joined
+    rows = judged.collect()
+    assert len(rows) == pred.count()
+    for k, t in enumerate(detection.THRESHOLDS):
+        pairs = detection.candidates(gt, pred, keys, t)
+        want = {(m["image_id"], m["cls"], m["pp"], m["gp"]) for m in detection.greedy(pairs, keys, t).collect()}
+        assert {(r["image_id"], r["cls"], r["pp"], r["hits"][k]["gp"]) for r in rows if r["hits"][k]} == want
+        soft = {(p["image_id"], p["cls"], p["pp"]) for p in pairs.where("ign").collect()}
+        assert {(r["image_id"], r["cls"], r["pp"]) for r in rows if (r["soft"] or 0) >= t} == soft
+
+
+def test_average_precision_reads_counted_levels_that_are_written_once(spark):
+    rows = spark.range(2000).selectExpr("'a' AS cls", "id / 2000.0D AS conf", "CAST(id % 3 > 0 AS INT) AS tp", "CAST(id % 3 = 0 AS INT) AS fp")
+    curve = detection.pr_curve(rows, rows.groupBy("cls").agg(F.sum("tp").alias("n_gt")))
+    ap = detection.average_precision(curve)
+    plan = ap._jdf.queryExecution().optimizedPlan().toString()
+    assert all("/levels-" in f for f in curve.inputFiles()[:1]) and plan.count("Window") == 1  # before: three running sums, each over all of the one before
+    points = [(r["precision"], r["recall"]) for r in curve.collect()]
+    assert ap.first()["ap"] == pytest.approx(sum(max((p for p, x in points if x >= k * 0.01), default=0) for k in range(101)) / 101, abs=1e-6)
+    edges = spark.createDataFrame([("a", k * 0.01, k / 100) for k in range(101)], "cls string, recall double, precision double")
+    assert detection.average_precision(edges).first()["ap"] == pytest.approx(1.0)  # every level is reached by its own recall
