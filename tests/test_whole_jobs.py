@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import detection, tracking_metrics
+from siftwork.operators import detection, reports, tracking_metrics
 from siftwork.plans import adapters, catalog
 
 
@@ -83,3 +83,16 @@ def test_average_precision_reads_counted_levels_that_are_written_once(spark):
     assert ap.first()["ap"] == pytest.approx(sum(max((p for p, x in points if x >= k * 0.01), default=0) for k in range(101)) / 101, abs=1e-6)
     edges = spark.createDataFrame([("a", k * 0.01, k / 100) for k in range(101)], "cls string, recall double, precision double")
     assert detection.average_precision(edges).first()["ap"] == pytest.approx(1.0)  # every level is reached by its own recall
+
+
+def test_detection_failures_take_an_image_as_one_row(spark):
+    gt, pred = crowd(spark)
+    frames = spark.createDataFrame([(k, "night" if k % 2 else "day", "blurred") for k in range(11)], "image_id long, lighting string, blur_level string")
+    found = reports.detection_failures(gt, pred, frames)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the frames; before: ten joins
+    causes = {r["cause"]: r["count"] for r in found.groupBy("cause").count().collect()}
+    known, real = frames.select("image_id"), gt.where("NOT ign")
+    matched = detection.greedy(detection.candidates(real, pred, ["image_id"]), ["image_id"]).join(known, "image_id").count()
+    boxes, claims = (x.join(known, "image_id").count() for x in (real, pred))
+    assert sum(n for c, n in causes.items() if c in ("duplicate_box_nms", "false_positive_background")) == claims - matched
+    assert sum(n for c, n in causes.items() if "miss" in c or c == "localisation_drift") == boxes - matched
