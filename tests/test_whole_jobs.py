@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import detection, reports, tracking_metrics
+from siftwork.operators import assignment, detection, reports, tracking_metrics
 from siftwork.plans import adapters, catalog
 
 
@@ -96,3 +96,60 @@ def test_detection_failures_take_an_image_as_one_row(spark):
     boxes, claims = (x.join(known, "image_id").count() for x in (real, pred))
     assert sum(n for c, n in causes.items() if c in ("duplicate_box_nms", "false_positive_background")) == claims - matched
     assert sum(n for c, n in causes.items() if "miss" in c or c == "localisation_drift") == boxes - matched
+
+
+def matched_by_whole_frames(gt, pred, least):
+    """The definition, over the full matrix of every frame: sticky pairs first, then the optimum."""
+    out, last = set(), {}
+    for seq, frame in sorted({r[:2] for r in gt}):
+        g, p = (sorted(r[2:7] for r in rows if r[:2] == (seq, frame)) for rows in ([r for r in gt if not r[7]], pred))
+        overlap = assignment.iou_matrix(np.array([r[1:] for r in g]), np.array([r[1:] for r in p]))
+        of_g = {}
+        for i, r in enumerate(g):
+            j = next((j for j, x in enumerate(p) if x[0] == last.get((seq, r[0]))), None)
+            if j is not None and j not in of_g.values() and overlap[i, j] >= least:
+                of_g[i] = j
+        a, b = [i for i in range(len(g)) if i not in of_g], [j for j in range(len(p)) if j not in of_g.values()]
+        some = overlap[np.ix_(a, b)]
+        of_g |= {a[x]: b[y] for x, y in assignment.solve(1 - some) if some[x, y] >= least}
+        last |= {(seq, g[i][0]): p[j][0] for i, j in of_g.items()}
+        out |= {(seq, frame, g[i][0], p[j][0]) for i, j in of_g.items()}
+    return out
+
+
+def test_competing_tracks_match_as_over_whole_frames(spark):
+    r = np.random.default_rng(5)
+    gt, pred = [], []
+    for seq in range(2):
+        for frame in range(25):
+            for t in range(14):  # of all sizes; half of them crowd together, the others stand apart
+                size = 2.0 ** (t % 6) + 3
+                x = (60 + 3.0 * t if t < 7 else 1000.0 * t) + r.random() * 4
+                gt.append((seq, frame, t, x, 0.0, x + size, size, t == 13))
+                if r.random() < 0.85:
+                    dx = r.random() * size / 2
+                    pred.append((seq, frame, 100 + (t + (frame > 12) * (t < 3)) % 14, x + dx, 0.0, x + dx + size, size))
+    box = "seq long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double"
+    g, p = spark.createDataFrame(gt, box + ", ign boolean"), spark.createDataFrame(pred, box)
+    both = tracking_metrics.Matching(g, p)
+    assert {x["gt_id"] for x in both.groups.collect()} <= set(range(7))  # those apart never go through the assignment
+    levels = {}
+    for least in (0.05, 0.3, 0.5, 0.7):
+        want = matched_by_whole_frames(gt, pred, least)
+        rows = tracking_metrics.frame_matches(g, p, least).collect()
+        assert {(x["seq"], x["frame"], x["gt_id"], x["pred_id"]) for x in rows if x["kind"] == "match"} == want
+        assert sum(x["kind"] in ("match", "miss") for x in rows) == sum(not x[7] for x in gt)
+        assert sum(x["kind"] != "miss" for x in rows) == len(pred)
+        levels[least] = len(want)
+    for x in tracking_metrics.hota(g, p, tuple(levels)).collect():
+        n = levels[x["alpha"]]
+        assert x["deta"] == pytest.approx(n / (sum(not x[7] for x in gt) + len(pred) - n), abs=1e-6)
+
+
+def test_a_frame_of_many_boxes_is_not_compared_pair_by_pair(spark):
+    n = 40_000  # all in one frame: 1.6 billion pairs
+    box = "0L AS seq, 0L AS frame, id AS track_id, id * 30.0D AS x1, 0.0D AS y1, id * 30.0D + 20 AS x2, 20.0D AS y2"
+    rows = spark.range(n).selectExpr(*box.split(", "))
+    gt = rows.withColumn("ign", F.lit(False))
+    assert tracking_metrics.idf1(gt, rows).first()["idtp"] == n
+    assert tracking_metrics.clear_mot(tracking_metrics.frame_matches(gt, rows)).first()["tp"] == n
