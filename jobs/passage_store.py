@@ -37,7 +37,7 @@ REPORT = "lang string, documents long, passages long, noise long, stored long, t
 
 def passages(docs: DataFrame, settings: dict) -> DataFrame:
     """(doc_id, lang, passage_no, text, noise): the lines of every text, white space collapsed, blank ones left out; null text has none."""
-    lines = F.filter(F.transform(F.split(T.collapse_whitespace(F.col("text")), "\n"), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(F.split(T.collapse_whitespace(F.col("text")), "\n"), lambda line: F.trim(line)), lambda line: line != "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.posexplode(lines).alias("passage_no", "text"))
     return rows.withColumn("noise", T.is_noise(F.col("text"), settings["least_chars"], settings["most_marks"]))
 

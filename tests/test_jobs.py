@@ -155,3 +155,11 @@ def test_registered_job_against_duckdb(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and len(ours)
     plain = lambda f: sorted(tuple(str(v)[:10] if c == "day" else str(v) for c, v in zip(sorted(f.columns), r, strict=True)) for r in f[sorted(f.columns)].itertuples(index=False))
     assert plain(ours) == plain(theirs)
+
+
+def test_lines_lose_blanks_only_whatever_their_place(spark):
+    """A line that begins or ends with the digits of its own number keeps them, and loses its blanks."""
+    lines = [f"{n}{n} line number {n} of this document, whose reference is {n}" for n in range(12)]
+    docs = spark.createDataFrame([(1, "en", "\n".join(f"\t{line} "[n % 2 :] for n, line in enumerate(lines)).replace("\t", " "))], "doc_id long, lang string, text string")
+    found = passage_store.passages(docs, {"least_chars": 30, "most_marks": 0.8}).orderBy("passage_no").collect()
+    assert [r["text"] for r in found] == lines
