@@ -1,12 +1,13 @@
 """Registered queries do the whole job: each test here fails on a cut of it."""
 
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import assignment, detection, reports, tracking_metrics
+from siftwork.operators import assignment, detection, reports, retrieval, tracking_metrics
 from siftwork.plans import adapters, catalog
 
 
@@ -153,3 +154,13 @@ def test_a_frame_of_many_boxes_is_not_compared_pair_by_pair(spark):
     gt = rows.withColumn("ign", F.lit(False))
     assert tracking_metrics.idf1(gt, rows).first()["idtp"] == n
     assert tracking_metrics.clear_mot(tracking_metrics.frame_matches(gt, rows)).first()["tp"] == n
+
+
+def test_pairs_of_questions_and_documents_are_not_shuffled(spark):
+    docs = spark.range(300).selectExpr("id", "concat('common words and w', id % 50, ' w', id % 7) AS text")
+    asked = spark.range(40).selectExpr("id AS qid", "concat('common w', id) AS text")
+    top = retrieval.bm25(docs, asked, 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid#" in plan and "hashpartitioning(id#" in plan
+    assert not re.search(r"hashpartitioning\(qid#\d+L, id#", plan)  # each task keeps its k best before they meet
+    assert {r["qid"] for r in top.collect()} == set(range(40))
