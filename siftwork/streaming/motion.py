@@ -52,14 +52,20 @@ def similarity(before: np.ndarray, after: np.ndarray, seed: int = 7) -> tuple[fl
 def camera_motion(detections: DataFrame, reach: float = 80.0) -> DataFrame:
     """(camera_id, frame, warp, matches): the motion from the frame before, for frames that have one before them.
 
-    Boxes of one class match where each is the other's nearest within `reach`, by an equi-join of
-    neighbouring frames; the boxes of a frame are few. Equal distances: the smaller det_id.
+    Boxes of one class match where each is the other's nearest within `reach`; equal distances: the smaller
+    det_id. So of boxes with one centre only that with the smallest det_id can match, and the others are left
+    out; neighbouring frames meet in cells as wide as `reach`, and a box looks at the nine around its own.
     """
     x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    boxes = detections.where(F.col("cls").isNotNull()).select("camera_id", "frame", "cls", "det_id", x.alias("x"), y.alias("y"))
+    every = detections.where(F.col("cls").isNotNull()).select("camera_id", "frame", "cls", "det_id", x.alias("x"), y.alias("y"))
+    boxes = every.groupBy("camera_id", "frame", "cls", "x", "y").agg(F.min("det_id").alias("det_id"))
+    cell = lambda v: F.floor(F.col(v) / F.lit(reach))
+    near = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
+    placed = boxes.withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
     earlier = boxes.select("camera_id", (F.col("frame") + 1).alias("frame"), "cls", F.col("det_id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    around = earlier.withColumn("_cx", near("_x")).withColumn("_cy", near("_y"))
     far = F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
-    pairs = boxes.join(earlier, ["camera_id", "frame", "cls"]).withColumn("far", far).where(F.col("far") <= reach)
+    pairs = placed.join(around, ["camera_id", "frame", "cls", "_cx", "_cy"]).withColumn("far", far).where(F.col("far") <= reach)
     frame = ["camera_id", "frame"]
     own = pairs.groupBy(*frame, "det_id").agg(F.min(F.struct("far", "_id", "_x", "_y", "x", "y")).alias("p"))
     other = pairs.groupBy(*frame, "_id").agg(F.min(F.struct("far", "det_id")).alias("q")).select(*frame, "_id", F.col("q.det_id").alias("det_id"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from test_values import DETECTIONS, detections
 
+from siftwork.operators import assignment
 from siftwork.plans import catalog
 from siftwork.streaming import motion, tracker
 
@@ -102,3 +103,41 @@ def test_motion_where_some_frames_share_no_box(spark):
     found = {r["frame"]: r for r in motion.camera_motion(df).coalesce(1).collect()}
     assert {f: r["matches"] for f, r in found.items()} == {1: 0, 2: 1, 3: 0, 4: 1}
     assert {tuple(r["warp"]) for r in found.values()} == {motion.STILL}
+
+
+def test_sparse_assignment_costs_what_the_whole_matrix_costs():
+    rng = np.random.default_rng(3)
+    for k in range(120):
+        sides = []
+        for n in rng.integers(1, 14, 2):
+            low = rng.random((n, 2)) * 60
+            boxes = np.c_[low, low + rng.random((n, 2)) * 30 + 1]
+            sides.append(boxes[rng.integers(0, max(1, n // 2), n)] if k % 2 else boxes)  # odd turns: several equal boxes
+        a, b = sides
+        cost = 1 - assignment.iou_matrix(a, b)
+        (first, rows), (second, cols) = assignment.equal_rows(a), assignment.equal_rows(b)
+        i, j, overlap = assignment.overlapping(a[first], b[second])
+        x, y, c = assignment.solve_sparse(i, j, 1 - overlap, rows, cols)
+        assert len(set(x)) == len(x) and len(set(y)) == len(y) and np.allclose(cost[x, y], c)
+        assert abs((1 - c).sum() - sum(1 - cost[p] for p in assignment.solve(cost))) < 1e-9
+
+
+def test_a_crowd_is_tracked_without_the_whole_matrix_of_a_frame(monkeypatch):
+    monkeypatch.setattr(assignment, "iou_matrix", None)
+    monkeypatch.setattr(tracker, "iou_matrix", None)
+    monkeypatch.setattr(tracker, "within", None)
+    place = np.arange(600) // 3 * 60.0  # three equal boxes at each of 200 places
+    for name in ("iou", "bytetrack", "botsort"):
+        state = tracker.Tracker(tracker.TRACKERS[name])
+        for f in range(5):
+            boxes = np.c_[place + f, np.zeros(600), place + f + 40, np.full(600, 80.0)]
+            seen = state.step(f, boxes, np.full(600, 0.9), np.full(600, "person", object), np.full(600, None, object))
+        assert seen.id.tolist() == list(range(1, 601)) and np.allclose(np.sort(seen.mean[:, 0]), place + 4 + 20, atol=0.5)
+
+
+def test_camera_motion_of_equal_boxes_takes_the_smallest_ids(spark):
+    rows = [("c", f, p * 300 + k, "person", 0.9, 100.0 * p + 5 * f, 0.0, 100.0 * p + 5 * f + 40, 80.0) for f in range(2) for p in range(10) for k in range(300)]
+    found = motion.camera_motion(spark.createDataFrame(rows, "camera_id string, frame long, det_id long, cls string, conf double, x1 double, y1 double, x2 double, y2 double"))
+    assert "_cx" in found._jdf.queryExecution().toString()  # cells meet, not whole frames
+    (got,) = found.collect()
+    assert got["matches"] == 10 and np.allclose(got["warp"], [1, 0, 5, 0, 1, 0], atol=1e-9)
