@@ -1,5 +1,6 @@
 """Hand-computed values and literal fixtures."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -285,3 +286,13 @@ def test_reports_at_the_edges(spark):
     import hashlib
 
     assert reports.manifest_digest(empty).first().hash == hashlib.sha256(b"").hexdigest()[:12]
+
+
+def test_manifest_digest_of_many_pieces_stays_with_the_executors(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PIECE", 3)
+    rows = [(k // 2, "train" if k % 3 else None, k) for k in range(4000)]
+    frames = spark.createDataFrame(rows, "image_id long, split string, n_objects long").repartition(7)
+    lines = sorted((i, "|".join(str(x) for x in (i, s, n) if x is not None)) for i, s, n in rows)
+    found = reports.manifest_digest(frames)
+    monkeypatch.setattr(type(found), "toLocalIterator", None)  # nothing streams through the driver
+    assert reports.manifest_digest(frames).first().hash == found.first().hash == hashlib.sha256("".join(x for _, x in lines).encode()).hexdigest()[:12]
