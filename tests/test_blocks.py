@@ -1,11 +1,15 @@
 """Vectors that meet in blocks: the same rows as by comparing all pairs one by one."""
 
-import numpy as np
+import math
+import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
-from siftwork.operators import blocks, retrieval
+from siftwork.operators import blocks, ingest, reports, retrieval
 
 VECTORS = "id long, vec array<float>"
 
@@ -38,3 +42,37 @@ def test_probed_buckets_do_not_make_a_pair_for_each_table(spark):
     assert "Generate explode(bucket" not in plan(near) and "CoGroup" in plan(near)
     exact = {(r.qid, r.id) for r in retrieval.knn(rows, rows.where("id % 20 = 0").selectExpr("id as qid", "vec as qvec"), 5).collect()}
     assert len(exact & {(r.qid, r.id) for r in near.collect()}) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_bm25_in_parts_is_the_sum_over_terms(spark, monkeypatch, few):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{min(int(r.expovariate(0.1)), 60)}" for _ in range(n))
+    texts = [text(r.randint(0, 30)) for _ in range(120)]
+    texts[3], texts[4], texts[60:70] = None, "", texts[50:60]
+    asks = [text(r.randint(1, 12)) for _ in range(15)] + ["unknown", "", None]
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 20_000 if few else 0)
+    monkeypatch.setattr(retrieval, "PART_DOCS", 50)
+    monkeypatch.setattr(retrieval, "CELLS", 64)
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(list(enumerate(asks)), "qid long, text string")
+    top = retrieval.bm25(docs, asked, 5)
+    assert ("MapInPandas" if few else "CoGroup") in plan(top)  # pairs are added up in parts, not as rows
+    words = {i: Counter(t.split()) for i, t in enumerate(texts) if t is not None}
+    df = Counter(w for c in words.values() for w in c)
+    raw = {w: math.log((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: 0.25 * sum(raw.values()) / len(raw) if x < 0 else x for w, x in raw.items()}
+    mean, want = sum(c.total() for c in words.values()) / len(words), set()
+    for q, ask in enumerate(asks):
+        score = lambda c: round(sum(n * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for w, n in Counter((ask or "").split()).items() if w in c), 6)  # noqa: B023, E731
+        best = sorted((-score(c), i) for i, c in words.items() if score(c) > 0)[:5]
+        want |= {(q, i, -s, rank) for rank, (s, i) in enumerate(best, 1)}
+    assert {(x["qid"], x["id"], x["score"], x["rank"]) for x in top.collect()} == want
+
+
+def test_a_search_runs_once_however_often_its_hits_are_read(spark):
+    docs = spark.range(50).selectExpr("id", "concat('w', id % 7) AS text")
+    hits = retrieval.bm25(docs, spark.range(7).selectExpr("id AS qid", "concat('w', id) AS text"), 3)
+    assert "MapInPandas" not in plan(reports.lookup(hits, docs))
+    found = ingest.resolve_grades(spark.createDataFrame([(1, "w3", 3)], "qid long, span string, grade int"), docs.selectExpr("id AS chunk_id", "'d' AS doc_id", "'s' AS section", "text"))
+    assert "contains" not in plan(found).lower() and found.count() == 50
