@@ -184,3 +184,15 @@ def test_rows_within_a_window(spark):
     left, right = ([(r.choice("ab"), r.randint(-50, 200)) for _ in range(150)] for _ in range(2))
     found = asof.within(spark.createDataFrame(left, "g string, f int"), spark.createDataFrame(right, "g string, p int"), ["g"], F.col("f"), F.col("p"), 7)
     assert sorted((x["g"], x["f"], x["p"], x["_far"]) for x in found.collect()) == sorted((g, f, p, f - p) for g, f in left for h, p in right if g == h and 0 <= f - p <= 7)
+
+
+def test_postings_are_shuffled_once_into_their_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_index, "RANGE_DOCS", 4)
+    docs = spark.range(200).selectExpr("id", "concat('w', id % 50, ' w', id % 7, ' w', id % 7) AS text")
+    path = tmp_path / "index"
+    index = lexical_index.Index(spark, str(path), lexical_index.write(docs, str(path)))
+    buckets = list((path / "blocks").glob("bucket=*"))
+    assert buckets and all(len(list(b.glob("*.parquet"))) == 1 for b in buckets)  # a task holds all blocks of its bucket
+    asked = spark.createDataFrame([(1, "w3 w3 w10"), (2, "w49")], "qid long, text string")
+    rows = lambda df: {(x["qid"], x["id"], x["score"], x["rank"]) for x in df.collect()}
+    assert rows(index.search(asked, 6)) == rows(retrieval.bm25(docs, asked, 6))
