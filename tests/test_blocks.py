@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
-from siftwork.operators import blocks, ingest, reports, retrieval
+from siftwork.operators import blocks, ingest, reports, retrieval, tracks
 
 VECTORS = "id long, vec array<float>"
 
@@ -76,3 +76,26 @@ def test_a_search_runs_once_however_often_its_hits_are_read(spark):
     assert "MapInPandas" not in plan(reports.lookup(hits, docs))
     found = ingest.resolve_grades(spark.createDataFrame([(1, "w3", 3)], "qid long, span string, grade int"), docs.selectExpr("id AS chunk_id", "'d' AS doc_id", "'s' AS section", "text"))
     assert "contains" not in plan(found).lower() and found.count() == 50
+
+
+def test_identities_are_ranked_and_counted_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", 37)
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    monkeypatch.setattr(tracks, "STEP", 3)
+    rng = np.random.default_rng(9)
+    some = rng.normal(size=(40, 6)).round(1).tolist()
+    vecs = [some[k % 40] if k < 120 else rng.normal(size=6).tolist() for k in range(150)]  # copies tie, also over parts
+    vecs[7], vecs[8], vecs[9] = None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [0.0] * 6
+    identity = [None if k % 17 == 3 else k % 3 for k in range(150)]
+    rows = spark.createDataFrame([(k, identity[k], k % 2, v) for k, v in enumerate(vecs)], "id long, identity int, camera long, vec array<float>")
+    queries = rows.where("id % 9 < 2")
+    ranks = tracks.rank_identities(rows, queries).cache()
+    got, counts = tracks.identity_scores(rows, queries), tracks.distance_counts(rows, queries)
+    assert all("CoGroup" in plan(x) or "MapInPandas" in plan(x) for x in (got, counts)) and "NestedLoop" not in plan(got) + plan(counts)
+    hit = ranks.where("same").selectExpr("qid", "rank", "row_number() OVER (PARTITION BY qid ORDER BY rank) AS k")
+    want = hit.groupBy("qid").agg(F.min("rank").alias("first"), F.avg(F.col("k") / F.col("rank")).alias("ap"))
+    row = lambda x: (x["qid"], x["first"], round(x["ap"], 9))
+    assert sorted(map(row, got.collect())) == sorted(map(row, want.collect()))
+    sweep = tracks.tau_sweep(ranks.selectExpr("same", "round(1 - score, 6) AS distance"))
+    assert sorted(tracks.sweep_counts(counts).collect()) == sorted(sweep.collect())
+    ranks.unpersist()
