@@ -175,17 +175,11 @@ def spelling(words: DataFrame) -> Model:
 def words_in(column: pa.Array) -> tuple[np.ndarray, ...]:
     """Bytes of the rows, and of every word: key, row, first byte and length (repeated words: 0)."""
     data, offsets = common.buffer_of(column)
-    key, row = common.words_of(data, offsets, _INSIDE, _SAME)
-    inside = _INSIDE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[full] = inside[full]
-    start, kept = np.flatnonzero(begins), np.flatnonzero(inside)
-    length = np.diff(np.append(np.searchsorted(kept, start), len(kept)))
+    start, end, row = common.spans_of(data, offsets, _INSIDE)
+    (key,) = common.hash_spans(data, start, end, _SAME)
     again = np.zeros(len(key), bool)
     again[1:] = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
-    return data, np.where(again, REPEATED, key & KEY), row, start, np.where(again, 0, length)
+    return data, np.where(again, REPEATED, key & KEY), row, start, np.where(again, 0, end - start)
 
 
 def before(key: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -621,10 +615,10 @@ def _finisher(words: Words):
         d1, d2, d3 = fixed.pair_cut
         seen = np.maximum(total, 1)
         hand = np.where((total > 0) & (key != REPEATED), (d1 * one + d2 * two + d3 * more) / seen, 1.0) if order > 1 else np.ones(len(key))
-        parts = [(unpack(blobs[i].as_py()[0]).astype(np.uint32), meta[i]) for i in rows_of(3)]
-        number = np.concatenate([p[0] for p in parts])
-        own = pa.concat_arrays([p[1].values for p in parts])
-        del parts, got
+        last = rows_of(3)
+        number = np.concatenate([unpack(blobs[i].as_py()[0]).astype(np.uint32) for i in last])
+        own = pa.concat_arrays([meta[i].values for i in last])
+        del got
         size = own.field("words").to_numpy()
         start = np.cumsum(size) - size
         prev = np.empty_like(number)
@@ -632,27 +626,41 @@ def _finisher(words: Words):
             prev[1:] = number[:-1]
             full = size > 0
             prev[start[full]] = number[(start + size - 1)[full]]
-        p = hand[prev] * low[number]
+        # The words are taken in steps, twice: only their numbers and their sums are held for the whole group.
+        steps = [slice(begin, begin + HELD) for begin in range(0, len(number), HELD)]
+
+        def pairs(step: slice) -> tuple[np.ndarray, np.ndarray]:
+            real = np.flatnonzero(key[prev[step]] != REPEATED)
+            return real, pair_places(key[prev[step][real]], key[number[step][real]], shards, hot)
+
         if order > 1:
-            real = np.flatnonzero(key[prev] != REPEATED)
-            place = np.empty(len(real), np.uint64)
-            for begin in range(0, len(real), HELD):
-                some = real[begin : begin + HELD]
-                place[begin : begin + HELD] = pair_places(key[prev[some]], key[number[some]], shards, hot)
-            place, at = np.unique(place, return_inverse=True)
-            found = [unpack(blobs[i].as_py()[0]) for i in rows_of(1)]
-            count = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+            place, n = np.empty(len(number), np.uint64), 0
+            for step in steps:
+                found = common.distinct(pairs(step)[1])
+                place[n : n + len(found)] = found
+                n += len(found)
+            place = place[:n]
+            place.sort()
+            place = place[np.append(True, place[1:] != place[:-1])[:n]]
+            found = (unpack(blobs[i].as_py()[0]) for i in rows_of(1))
+            count = np.concatenate([np.zeros(0, np.int32), *[x.astype(np.int32 if x.max(initial=0) < 1 << 31 else np.int64) for x in found]])
             if len(count) != len(place):
                 raise RuntimeError("rows changed between two readings of the documents")
-            n = count[at]
-            del place, at, found
-            hit = n > 0
-            real, n = real[hit], n[hit]
-            p[real] += (n - _discount(n, fixed.pair_cut)) / seen[prev[real]]
-        bits = np.rint(np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64)
-        sums = np.concatenate([[0], np.cumsum(bits)])
+        bounds, sums, carry = np.append(0, start + size), np.zeros(len(size) + 1, np.int64), 0
+        for step in steps:
+            p = hand[prev[step]] * low[number[step]]
+            if order > 1:
+                real, asked = pairs(step)
+                asked, at = np.unique(asked, return_inverse=True)
+                n = count[np.searchsorted(place, asked)][at]
+                hit = n > 0
+                real, n = real[hit], n[hit]
+                p[real] += (n - _discount(n, fixed.pair_cut)) / seen[prev[step][real]]
+            total_bits = carry + np.cumsum(np.rint(np.log2(np.maximum(p, 1e-300)) * UNIT).astype(np.int64))
+            here = slice(*np.searchsorted(bounds, [step.start, step.start + len(p)], side="right"))
+            sums[here], carry = total_bits[bounds[here] - step.start - 1], total_bits[-1]
         n_symbols = own.field("n_symbols").to_numpy()
-        value = np.exp2((sums[start] - sums[start + size]) / UNIT / np.maximum(n_symbols, 1))
+        value = np.exp2((sums[:-1] - sums[1:]) / UNIT / np.maximum(n_symbols, 1))
         common.give_back()
         return pa.Table.from_arrays([own.field("row_key"), own.field("doc_id"), own.field("lang"), own.field("n_symbols"), pa.array(value)], schema=schema)
 
