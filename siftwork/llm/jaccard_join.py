@@ -41,6 +41,8 @@ SMALL_LIST = 24
 COUNTED, FREQUENT_FROM, FREQUENT = 0.35, 8, 1 << 16
 #: Far above the rounding of a distance, far below the difference of two.
 SLACK = 1e-9
+#: Columns of postings.
+_POSTING = {"s": (pa.int64(), "long"), "id": (pa.int64(), "long"), "size": (pa.int32(), "int"), "need": (pa.float32(), "float"), "radius": (pa.float64(), "double")}
 
 
 def _set_names(docs: DataFrame, words: int) -> DataFrame:
@@ -51,53 +53,71 @@ def _set_names(docs: DataFrame, words: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "_text"):
-                sets = neardup.shingle_sets(part.column(1), words)
-                size = [len(s) for s in sets]
-                name_a = [int(common.mix64(s).sum().astype(np.int64)) if len(s) else 0 for s in sets]
-                name_b = [int(np.bitwise_xor.reduce(common.mix64(s + np.uint64(77))).astype(np.int64)) if len(s) else 0 for s in sets]
-                marks = np.zeros((len(sets), LANDMARKS), np.uint64)
-                if full := [k for k, s in enumerate(sets) if len(s)]:
-                    flat, start = np.concatenate([sets[k] for k in full]), np.cumsum([0, *[size[k] for k in full[:-1]]])
+                flat, size = neardup.shingles_of(part.column(1), words)
+                marks = np.zeros((len(size), LANDMARKS), np.uint64)
+                if len(full := np.flatnonzero(size)):
+                    start = (np.cumsum(size) - size)[full]
                     for k, salt in enumerate(salts):
                         marks[full, k] = np.minimum.reduceat((flat ^ salt) * np.uint64(0xD6E8FEB86659FD93), start)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LANDMARKS), pa.array(marks.reshape(-1).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(name_a, pa.int64()), pa.array(name_b, pa.int64()), lists], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LANDMARKS), pa.array(marks.reshape(-1).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in (size, *neardup.set_names(flat, size))], lists], schema=schema)
 
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, "doc_id long, n_shingles long, set_a long, set_b long, marks array<long>")
 
 
+def places(flat: np.ndarray, size: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The place of each shingle of all sets in its own set, in the order of all shingles: frequent ones last, else by value."""
+    start = np.cumsum(size) - size
+    place = np.arange(len(flat)) - np.repeat(start, size)
+    if not len(frequent) or not len(flat):
+        return place
+    maybe = np.zeros(1 << 20, bool)  # by their first 20 bits, most shingles are none of the frequent ones
+    maybe[frequent >> np.uint64(44)] = True
+    last = np.flatnonzero(maybe[flat >> np.uint64(44)])
+    last = last[frequent[np.minimum(np.searchsorted(frequent, flat[last]), len(frequent) - 1)] == flat[last]]
+    if len(last):
+        known = np.zeros(len(flat) + 1, np.int64)
+        known[last + 1] = 1
+        np.cumsum(known, out=known)  # how many before
+        before = known[:-1] - np.repeat(known[start], size)
+        own = np.repeat(known[start + size] - known[start], size)
+        at = np.zeros(len(flat), bool)
+        at[last] = True
+        place = np.where(at, np.repeat(size, size) - own + before, place - before)
+    return place
+
+
 def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A set's shingles in the order of all shingles: frequent ones last, else by value; both inputs sorted."""
-    if not len(frequent) or not len(shingles):
-        return shingles
-    known = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
-    return np.concatenate([shingles[~known], shingles[known]])
+    """A set's shingles in the order of all shingles; both inputs sorted."""
+    out = np.empty_like(shingles)
+    out[places(shingles, np.array([len(shingles)]), frequent)] = shingles
+    return out
 
 
-def _postings(docs: DataFrame, words: int, reach: Column, frequent: np.ndarray) -> DataFrame:
-    """(s, id, size, need, radius): the first shingles of each row's set; `need` is the distance from which s counts."""
-    schema = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("need", pa.float32()), ("radius", pa.float64())])
+def _postings(docs: DataFrame, words: int, reach: Column, frequent: np.ndarray, columns: tuple[str, ...] = tuple(_POSTING)) -> DataFrame:
+    """`columns` of (s, id, size, need, radius): the first shingles of each row's set; `need` is the distance from which s counts."""
+    schema = pa.schema([(c, _POSTING[c][0]) for c in columns])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "_text"):
-                sets = neardup.shingle_sets(part.column(1), words)
-                size = np.array([len(s) for s in sets], np.int64)
+                flat, size = neardup.shingles_of(part.column(1), words)
                 far = part.column(2).to_numpy(zero_copy_only=False)
                 count = np.where(size > 0, np.minimum(np.floor(far * size + SLACK).astype(np.int64) + 1, size), 0)
-                first = [ordered(s, frequent)[:c] for s, c in zip(sets, count.tolist(), strict=True)]
-                row = np.repeat(np.arange(len(sets)), count)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                s = np.concatenate(first).astype(np.uint64).astype(np.int64) if first else np.zeros(0, np.int64)
-                # Rounded down: a posting may count a little too early, never too late.
-                need = np.nextafter((place / np.maximum(size[row], 1)).astype(np.float32), np.float32(-1))
-                ids, radius = part.column(0).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+                place = places(flat, size, frequent)
+                first = place < np.repeat(count, size)
+                s, place, row = flat[first].view(np.int64), place[first], np.repeat(np.arange(len(size)), count)
+                made = {"s": s}
+                if "need" in columns:  # rounded down: a posting may count a little too early, never too late
+                    made["need"] = np.nextafter((place / np.maximum(size[row], 1)).astype(np.float32), np.float32(-1))
+                if "id" in columns:
+                    made["id"], made["radius"] = (part.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 3))
+                    made["size"] = size[row].astype(np.int32)
                 for low in range(0, len(row), 1 << 16):
-                    at = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[at], ids[row[at]], size[row[at]].astype(np.int32), need[at], radius[row[at]])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(made[c][low : low + (1 << 16)]) for c in columns], schema=schema)
 
     wanted = docs.select("doc_id", F.col("text").alias("_text"), reach.cast("double").alias("_reach"), F.col("radius").cast("double").alias("radius"))
-    return common.arrow_map(wanted, kernel, "s long, id long, size int, need float, radius double")
+    return common.arrow_map(wanted, kernel, ", ".join(f"{c} {_POSTING[c][1]}" for c in columns))
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, words: int, scratch: common.Scratch) -> DataFrame:
@@ -173,7 +193,7 @@ def _alike(measured: DataFrame, percent: int) -> DataFrame:
 
 def _frequent(docs: DataFrame, words: int, scratch: common.Scratch) -> np.ndarray:
     """The most frequent shingles, counted among the smallest hashes of every set; they decide the work, never the result."""
-    low = _postings(docs.withColumn("radius", F.lit(0.0)), words, F.lit(COUNTED), np.zeros(0, np.uint64))
+    low = _postings(docs.withColumn("radius", F.lit(0.0)), words, F.lit(COUNTED), np.zeros(0, np.uint64), ("s",))
     often = low.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     rows = scratch.keep(often.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s")).toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).astype(np.uint64))
@@ -230,12 +250,13 @@ def _level(docs: DataFrame, marks: DataFrame, several: DataFrame, links: DataFra
     pivots = common.small_join(docs, roles, "doc_id", "left").where(~F.coalesce("_inner", F.lit(False)))
     pivots = pivots.select("doc_id", "text", F.coalesce("_radius", F.lit(0.0)).alias("radius"))
     often = _frequent(docs, words, scratch)
-    posts = _postings(pivots, words, F.lit(reach + widest) + F.col("radius"), often)
+    first = functools.partial(_postings, pivots, words, F.lit(reach + widest) + F.col("radius"), often)
+    counted, posts = first(("s",)), first()
     if widest > 0:  # beyond REACH, a shingle counts only where a wide pivot has it as well
-        of_wide = _postings(pivots.where("radius > 0"), words, F.lit(reach + widest) + F.col("radius"), often)
-        of_wide = scratch.keep(of_wide.select("s").distinct())
-        posts = _semi(posts, of_wide, F.col("need") <= reach + SLACK)
-    shared = scratch.keep(posts.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
+        of_wide = _postings(pivots.where("radius > 0"), words, F.lit(reach + widest) + F.col("radius"), often, ("s",))
+        of_wide = scratch.keep(of_wide.distinct())
+        counted, posts = (_semi(x, of_wide, F.col("need") <= reach + SLACK) for x in (first(("s", "need")), posts))
+    shared = scratch.keep(counted.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     few = shared.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
     lists = posts.join(F.broadcast(shared), "s") if few else common.dealt_join(posts, shared, ["s"], total)

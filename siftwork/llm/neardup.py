@@ -33,42 +33,59 @@ def word_bytes() -> np.ndarray:
     return member
 
 
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row; empty for no words."""
+def shingles_of(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all rows end to end, and how many each row has; none for no words."""
     data, offsets = common.buffer_of(column)
     words, row = common.words_of(data, offsets, word_bytes(), common.ascii_lower())
-    out: list[np.ndarray] = []
-    if not len(words):
-        return [np.zeros(0, np.uint64)] * len(column)
     joined = words.copy()
     for k in range(1, size):
         joined[:-k] = common.mix64(joined[:-k] * np.uint64(0x9FB21C651E98DF25) + words[k:] * np.uint64(2 * k + 1))
-    bounds = np.searchsorted(row, np.arange(len(column) + 1))
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if high - low >= size:
-            out.append(common.distinct(joined[low : high - size + 1]))
-        elif high > low:  # the whole sequence as one shingle
-            whole = np.array([high - low], np.uint64)
-            for w in words[low:high]:
-                whole = common.mix64(whole * np.uint64(0x9FB21C651E98DF25) + w)
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    count = np.bincount(row, minlength=len(column))
+    first = np.cumsum(count) - count
+    for low, n in zip(*(x[(count > 0) & (count < size)].tolist() for x in (first, count)), strict=True):
+        whole = np.array([n], np.uint64)  # the whole sequence as one shingle
+        for w in words[low : low + n]:
+            whole = common.mix64(whole * np.uint64(0x9FB21C651E98DF25) + w)
+        joined[low] = whole[0]
+    held = np.where(count >= size, count - size + 1, count > 0)
+    flat = joined[np.arange(len(row)) - first[row] < held[row]]
+    ends = np.cumsum(held)
+    for low, high in zip((ends - held).tolist(), ends.tolist(), strict=True):
+        flat[low:high].sort()
+    new = np.ones(len(flat), bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:])
+    new[(ends - held)[held > 0]] = True
+    return flat[new], np.diff(np.append(0, np.cumsum(new))[np.append(0, ends)])
+
+
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row; empty for no words."""
+    flat, held = shingles_of(column, size)
+    return np.split(flat, np.cumsum(held)[:-1]) if len(held) else []
+
+
+def set_names(flat: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set of shingles_of(); 0 for an empty one."""
+    out = np.zeros((2, len(held)), np.uint64)
+    full = np.flatnonzero(held)
+    if len(full):
+        start = (np.cumsum(held) - held)[full]
+        out[0, full] = np.add.reduceat(common.mix64(flat), start)
+        out[1, full] = np.bitwise_xor.reduceat(common.mix64(flat + np.uint64(77)), start)
+    return out[0].astype(np.int64), out[1].astype(np.int64)
 
 
 def _salts() -> np.ndarray:
     return common.mix64(np.arange(1, 2 * HALVES * HALF_ROWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(flat: np.ndarray, held: np.ndarray) -> np.ndarray:
     """2 * HALVES half keys of each non-empty set; rows of empty sets are zero."""
-    out = np.zeros((len(sets), 2 * HALVES), np.uint64)
-    full = [k for k, s in enumerate(sets) if len(s)]
-    if not full:
+    out = np.zeros((len(held), 2 * HALVES), np.uint64)
+    full = np.flatnonzero(held)
+    if not len(full):
         return out
-    flat = np.concatenate([sets[k] for k in full])
-    start = np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
+    start = (np.cumsum(held) - held)[full]
     for k, salt in enumerate(_salts()):
         low = np.minimum.reduceat((flat ^ salt) * np.uint64(0xD6E8FEB86659FD93), start)
         column = out[full, k // HALF_ROWS]
@@ -83,12 +100,10 @@ def _signature_table(docs: DataFrame, size: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "_text"):
-                sets = shingle_sets(part.column(1), size)
-                name_a = [int(common.mix64(s).sum().astype(np.int64)) if len(s) else 0 for s in sets]
-                name_b = [int(np.bitwise_xor.reduce(common.mix64(s + np.uint64(77))).astype(np.int64)) if len(s) else 0 for s in sets]
-                halves = signatures(sets).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * HALVES), pa.array(halves.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(name_a, pa.int64()), pa.array(name_b, pa.int64()), lists], schema=schema)
+                flat, held = shingles_of(part.column(1), size)
+                halves = signatures(flat, held).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * 2 * HALVES), pa.array(halves.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in (held, *set_names(flat, held))], lists], schema=schema)
 
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>")
 
@@ -100,9 +115,8 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "_text"):
-                sets = shingle_sets(part.column(1), size)
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).astype(np.int64)))
+                flat, held = shingles_of(part.column(1), size)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], schema=schema)
 
     return common.arrow_map(docs.select("doc_id", F.col("text").alias("_text")), kernel, "id long, shingles array<long>")

@@ -1,4 +1,4 @@
-"""Kernels by themselves: memory of a group of the quality model, words hashed block by block."""
+"""Kernels by themselves: memory of a group of the quality model, words and sets of all rows at once."""
 
 import tracemalloc
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
-from siftwork.llm import common, neardup, quality  # noqa: E402
+from siftwork.llm import common, jaccard_join, neardup, quality  # noqa: E402
 
 
 def group(n, distinct=5000, docs=300, seed=3):
@@ -76,3 +76,24 @@ def test_words_of_long_rows_are_hashed_as_by_themselves():
     assert hashed[x] == plain_hash(long.encode())
     value = [sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w[:4])) + (4 << 32) for w in (b"two", b"words")]
     assert first[:2].tolist() == common.mix64(np.array([v % (1 << 64) for v in value], np.uint64)).tolist()
+
+
+def test_sets_names_and_places_of_all_rows_at_once_are_those_of_each_row():
+    r = np.random.default_rng(5)
+    rows = [" ".join(f"w{x}" for x in r.integers(0, 9, k)) for k in r.integers(0, 60, 200)] + [None, "", " ", "one", "One"]
+    column = pa.array(rows, pa.string())
+    flat, held = neardup.shingles_of(column, 3)
+    each = [neardup.shingles_of(column.slice(k, 1), 3)[0] for k in range(len(rows))]
+    assert held.tolist() == [len(x) for x in each] and np.array_equal(flat, np.concatenate(each))
+    assert all((np.diff(x.astype(object)) > 0).all() for x in each)
+    name_a, name_b = neardup.set_names(flat, held)
+    for k, x in enumerate(each):
+        assert name_a[k] == common.mix64(x).sum().astype(np.int64)
+        assert name_b[k] == (np.bitwise_xor.reduce(common.mix64(x + np.uint64(77))).astype(np.int64) if len(x) else 0)
+    frequent = np.sort(r.choice(flat, 40))
+    place, at = jaccard_join.places(flat, held, frequent), 0
+    for x in each:
+        known = np.isin(x, frequent)
+        inverse = np.argsort(np.concatenate([np.flatnonzero(~known), np.flatnonzero(known)]), kind="stable")
+        assert place[at : at + len(x)].tolist() == inverse.tolist()
+        at += len(x)
