@@ -133,3 +133,62 @@ def test_join_in_small_blocks_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "SMALL_LIST", 2)
     check_join(spark, made(11, 6, 60), 3, 80)
+
+
+def test_sketches_never_rule_out_a_link():
+    """Sketches differ in at most as many places as the sets in shingles, also where their lengths differ."""
+    r = np.random.default_rng(3)
+    new = lambda n: r.integers(0, 2**64, n, np.uint64)
+    sets = [np.sort(new(n)) for n in (1, 40, 64, 65, 100, 129, 500, 1000, 3000)]
+    sets += [np.sort(np.concatenate([x[: int(0.9 * len(x))], new(k)])) for x in sets[1:] for k in (1, 5, 20)]
+    size = np.array([len(x) for x in sets])
+    words = jaccard_join._words_of(jaccard_join.sketches(np.concatenate(sets), size))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    places = jaccard_join._places_apart(*words, a, b)
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (places <= apart).all() and (places[a == b] == 0).all() and (places[(apart > 500) & (np.minimum(size[a], size[b]) > 400)] > 100).all()
+    far = apart / np.array([len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (places <= jaccard_join.most_apart(size[a] + size[b], far)).all()
+
+
+def passages(n=150, seed=4):
+    """Texts that share a passage and are not alike, but for a few near copies of each eighth."""
+    r = random.Random(seed)
+    common_part, rows = [f"shared{k}" for k in range(40)], []
+    for i in range(n):
+        own = [f"own{i}w{k}" for k in range(60)]
+        rows.append((3 * i + 1, " ".join([*common_part, *own])))
+        for c in range(3 if i % 8 == 0 else 0):
+            rows.append((3 * n + 3 * len(rows), " ".join([*common_part, *[w if r.random() > 0.03 else f"new{i}{c}{w}" for w in own]])))
+    return rows
+
+
+def test_sets_that_only_share_a_passage_do_not_meet(spark, monkeypatch):
+    """Of long lists, full sets move only in families whose sketches allow links; before, all that a list holds met all."""
+    met = []
+
+    def meetings(here, *rest):
+        met.append(here.count())
+        return neardup_meetings(here, *rest)
+
+    neardup_meetings = neardup.meetings
+    monkeypatch.setattr(neardup, "meetings", meetings)
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", 4)
+    monkeypatch.setattr(jaccard_join, "CELLS_FROM", 10_000)  # no cells: every set is a pivot
+    rows = passages()
+    check_join(spark, rows, 1, 80)
+    assert met and max(met) <= 0.5 * len(rows), (met, len(rows))
+
+
+def test_join_in_rounds_and_in_cut_lists(spark, monkeypatch):
+    """Pairs are looked at by sketches and measured in several rounds, long lists are cut into blocks."""
+    rounds, one = [], neardup.set_table
+    monkeypatch.setattr(neardup, "set_table", lambda *a: rounds.append(1) or one(*a))
+    monkeypatch.setattr(jaccard_join, "_at_once", lambda held: 40_000)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "SKETCH_WORDS", 256)
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", 6)
+    check_join(spark, made(2), 3, 70)
+    assert len(rounds) > 4
+    monkeypatch.setattr(jaccard_join, "CELLS_FROM", 10_000)
+    check_join(spark, passages(60) + [(1, "a second text of the first id " * 3)], 1, 80)
