@@ -479,7 +479,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tied = common.small_join(copies, several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("_node").alias("b"))
     single = scratch.keep(common.small_join(copies, several, "doc_id", "left_anti"))
     links = scratch.keep(tied)
-    sets = common.small_join(docs, single.select("doc_id"), "doc_id", "left_anti")
+    if single.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        sets = docs.join(F.broadcast(single.select("doc_id")), "doc_id", "left_anti")
+    else:  # the nodes may be few enough to go to the texts
+        sets = common.small_join(docs, scratch.keep(nodes.select(F.col("id").alias("doc_id")).union(several).distinct()), "doc_id", "left_semi")
     marks = nodes.select("id", "marks")
     for level in range(LEVELS):
         most = marks.limit(CELLS_FROM + 1).count()

@@ -192,3 +192,19 @@ def test_join_in_rounds_and_in_cut_lists(spark, monkeypatch):
     assert len(rounds) > 4
     monkeypatch.setattr(jaccard_join, "CELLS_FROM", 10_000)
     check_join(spark, passages(60) + [(1, "a second text of the first id " * 3)], 1, 80)
+
+
+def test_texts_stay_where_they_are_when_most_rows_are_copies(spark, monkeypatch):
+    """Of many copies the few nodes go to the texts; before, the copies' ids were too many to go there, and texts were shuffled."""
+    joined, one = [], common.small_join
+
+    def small_join(df, ids, key, how="inner", *rest):
+        if "text" in df.columns:
+            joined.append(ids.count())
+        return one(df, ids, key, how, *rest)
+
+    monkeypatch.setattr(common, "small_join", small_join)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 40)
+    texts = [" ".join(f"t{k // 2}w{i}" for i in range(30)) + f" end{k}" for k in range(8)]
+    check_join(spark, [(100 * c + k, x) for c in range(12) for k, x in enumerate(texts)] + [(1, "second text of an id"), (2000, "second text of an id")], 3, 80)
+    assert joined and max(joined) <= 40
